@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import language, simhash, tokens, toxicity
+from pagewright.llm import fingerprint, language, simhash, tokens, toxicity
 from pagewright.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language(table(spark, sf_dir, "documents"))
 
 
+def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
