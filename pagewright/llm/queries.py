@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import chat, fingerprint, language, secrets, simhash, tokens, toxicity
+from pagewright.llm import chat, extract, fingerprint, language, secrets, simhash, tokens, toxicity
 from pagewright.llm.common import table
 
 
@@ -30,6 +30,10 @@ def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extraction(table(spark, sf_dir, "pages"))
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
