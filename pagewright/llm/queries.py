@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import chat, extract, fingerprint, language, secrets, simhash, tokens, toxicity
+from pagewright.llm import chat, extract, fingerprint, language, packing, secrets, simhash, tokens, toxicity
 from pagewright.llm.common import table
 
 
@@ -22,6 +22,13 @@ def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.language(table(spark, sf_dir, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path
+    return packing.packed(table(spark, sf_dir, "documents"), path(packing.TOKENIZER), path(packing.RANKS), public_tokenizers.PATTERN)
+
+
 def op5_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edited_fingerprints(table(spark, sf_dir, "documents"))
 
