@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import chat, extract, fingerprint, language, packing, secrets, simhash, tokens, toxicity
+from pagewright.llm import chat, decontaminate, extract, fingerprint, language, packing, secrets, simhash, tokens, toxicity
 from pagewright.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract.extraction(table(spark, sf_dir, "pages"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
