@@ -18,6 +18,7 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -259,8 +260,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            walks = Walks()
-            index = build(shared.value, walks)
+            index, walks = tools(tuple(shared.value))
             for batch in batches:
                 found = find_all(batch.column(1).to_pylist(), index, walks, similarity)
                 rows = [(d, *hit) for d, hits in zip(batch.column(0).to_pylist(), found, strict=True) for hit in hits]
@@ -285,18 +285,15 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
 def _hit(shared, similarity: float):
     @F.pandas_udf("boolean")
     def hit(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        index, walks = tools(tuple(shared.value))
         for texts in parts:
-            yield pd.Series([bool(hits) for hits in find_all(texts.tolist(), *tools(shared), similarity)])
+            yield pd.Series([bool(hits) for hits in find_all(texts.tolist(), index, walks, similarity)])
 
     return hit
 
 
-_tools: dict[int, tuple[Index, Walks]] = {}
-
-
-def tools(shared) -> tuple[Index, Walks]:
-    """The index of a broadcast block, built once in a worker."""
-    if shared.id not in _tools:
-        walks = Walks()
-        _tools[shared.id] = build(shared.value, walks), walks
-    return _tools[shared.id]
+@lru_cache(maxsize=4)
+def tools(block: tuple[tuple[int, str], ...]) -> tuple[Index, Walks]:
+    """The index of a block, built once in a worker, and its walks."""
+    walks = Walks()
+    return build(list(block), walks), walks
