@@ -14,8 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import stored
-
 STRONG = 16
 SKETCH = 64
 STRONG_BITS = 32
@@ -143,19 +141,23 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next"), F.lit(1), cut))
-    order = Window.partitionBy("bucket").orderBy("doc_id", "text")
-    rows = rows.select("bucket", "doc_id", F.row_number().over(order).alias("nth"), "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    order = Window.partitionBy("bucket").orderBy(F.col("doc_id").asc_nulls_first(), "text")
+    rows = rows.select("bucket", "doc_id", F.row_number().over(order).alias("nth"), "text", n.cast("long").alias("n_chars"), edited.alias("edited"), "next")
+    # within a bucket the next row has the next fingerprint; only for a bucket's last row it is made from the text
+    rows = rows.withColumn("after", F.when(F.lead("nth").over(Window.partitionBy("bucket").orderBy("nth")).isNull(), F.col("next"))).drop("next")
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256))
     key = ("bucket", "doc_id", "nth", "n_chars", "edited_sha256")
-    prints = fingerprints(rows, key, {"own": "text", "edited": "edited"})
-    packed = prints.select(*key, *(c for c in prints.columns if c not in key), to_text(F.col("own_strong"), F.col("own_sketch")).alias("fingerprint"))
-    packed = stored(packed.withColumn("edited_fingerprint", to_text(F.col("edited_strong"), F.col("edited_sketch"))))
-    both = with_next(packed, "fingerprint", "nth", "next")
-
-    def lanes(of: Column, start: int, count: int, digits: int) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.conv(F.substring(of, i * digits + start, F.lit(digits)), 16, 10).cast("long"))
-
-    next_ = F.col("next")
-    both = both.withColumn("next_strong", lanes(next_, 1, STRONG, STRONG_BITS // 4)).withColumn("next_sketch", lanes(next_, 1 + STRONG * STRONG_BITS // 4, SKETCH, SKETCH_BITS // 4))
+    prints = fingerprints(rows, key, {"own": "text", "edited": "edited", "after": "after"})
+    nth = Window.partitionBy("bucket").orderBy("nth")
+    for part in ("strong", "sketch"):
+        prints = prints.withColumn(f"next_{part}", F.coalesce(F.lead(f"own_{part}").over(nth), F.col(f"after_{part}")))
     near = lambda x: likeness(F.col("own_strong"), F.col("own_sketch"), F.col(f"{x}_strong"), F.col(f"{x}_sketch"))
-    return both.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("edited").alias("near_edited"), near("next").alias("near_next"))
+    return prints.select(
+        "doc_id",
+        "n_chars",
+        "edited_sha256",
+        to_text(F.col("own_strong"), F.col("own_sketch")).alias("fingerprint"),
+        to_text(F.col("edited_strong"), F.col("edited_sketch")).alias("edited_fingerprint"),
+        near("edited").alias("near_edited"),
+        near("next").alias("near_next"),
+    )
