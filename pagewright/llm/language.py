@@ -74,7 +74,7 @@ class Model:
         best = int(np.argmax(cos))
         lang = int(self.owner[best])
         score = float(min(1.0, max(0.0, cos[best])))
-        return self.languages[lang], score, score < self.floor[lang]
+        return self.languages[lang], score, bool(score < self.floor[lang])
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
