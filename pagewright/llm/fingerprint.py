@@ -24,6 +24,8 @@ PHRASE = r"[.!?;:|\n]+|\s(?=[aeiouAEIOU])"
 #: Rows of a bucket of neighbouring ids, about, and quantiles from which buckets are laid out.
 BUCKET_ROWS = 1000
 QUANTILES = 32
+#: The table of buckets' first rows is broadcast up to so many rows (of 24 bytes); beyond, Spark joins as it sees fit.
+BROADCAST_ROWS = 1_000_000
 
 
 def _sums(which: Column, tag: str) -> list[Column]:
@@ -92,8 +94,8 @@ def fingerprints(rows: DataFrame, key: Sequence[str], texts: dict[str, str]) ->
     return found.select(*key, *(F.col(f"{t}.{part}").alias(f"{t}_{part}") for t in texts for part in ("strong", "sketch")))
 
 
-def bucketed(docs: DataFrame) -> DataFrame:
-    """docs with `bucket`: ascending ranges of doc_id of about BUCKET_ROWS rows; null ids come first, in bucket -1.
+def bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs with `bucket`, and how many buckets there may be: ascending ranges of doc_id of about BUCKET_ROWS rows; null ids come first, in bucket -1.
 
     Ranges come from approximate quantiles and are divided evenly between them: a fixed expression of doc_id, so that what
     is recomputed after a loss lands where it was.
@@ -102,15 +104,15 @@ def bucketed(docs: DataFrame) -> DataFrame:
     found = docs.agg(F.count("doc_id").alias("n"), F.percentile_approx("doc_id", share, 1000).alias("at")).first()
     at = sorted(set(found["at"] or [0]))
     each = max(1, found["n"] // BUCKET_ROWS // max(1, len(at) - 1) + 1)
-    cell, id_ = F.lit(0), F.col("doc_id")
+    id_ = F.col("doc_id")
     inner = F.lit(0).cast("long")
     for i in range(len(at) - 1):
         width = max(1, -(-(at[i + 1] - at[i]) // each))
         inner = F.when(id_ >= at[i], i * each + F.least(F.lit(each - 1), F.floor((id_ - at[i]) / F.lit(width)).cast("long"))).otherwise(inner)
-    return docs.withColumn("bucket", F.when(id_.isNull(), F.lit(-1).cast("long")).otherwise(inner + cell))
+    return docs.withColumn("bucket", F.when(id_.isNull(), F.lit(-1).cast("long")).otherwise(inner)), each * len(at) + 1
 
 
-def with_next(rows: DataFrame, column: str, tie: str, out: str) -> DataFrame:
+def with_next(rows: DataFrame, column: str, tie: str, out: str, buckets: int) -> DataFrame:
     """rows (bucket, doc_id, ...) with `out`: `column` of the row that comes next by (doc_id, tie); the last row gets the first's.
 
     Within a bucket that is a window; a bucket's last row gets the first row of the next bucket that has any, from a table of
@@ -120,6 +122,8 @@ def with_next(rows: DataFrame, column: str, tie: str, out: str) -> DataFrame:
     firsts = rows.groupBy("bucket").agg(F.min("doc_id").alias("doc_id"))
     whole = Window.orderBy("bucket")  # one row for each bucket
     firsts = firsts.withColumn("before", F.coalesce(F.lag("bucket").over(whole), F.max("bucket").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
+    if buckets <= BROADCAST_ROWS:
+        firsts = F.broadcast(firsts)
     heads = rows.alias("r").join(firsts.alias("f"), (F.col("r.bucket") == F.col("f.bucket")) & F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")))
     heads = heads.select(F.col("f.before").alias("bucket"), F.struct(F.col(f"r.{tie}").alias("t"), F.coalesce(F.col(f"r.{column}"), F.lit("")).alias("x")).alias("head"))
     heads = heads.groupBy("bucket").agg(F.min("head").alias("head"))
@@ -136,8 +140,8 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
     text counts as empty; a null doc_id comes before all others. An empty table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")))
-    rows = with_next(rows, "text", "text", "next")
+    rows, buckets = bucketed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")))
+    rows = with_next(rows, "text", "text", "next", buckets)
     n = F.char_length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.col("next"), F.lit(1), cut))
