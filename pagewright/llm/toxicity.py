@@ -34,7 +34,7 @@ RATE_W = 0.1
 #: The pairs are hundreds of thousands in a long text: their factors learn slowly and shrink at every step.
 RATE_V = 0.003
 SHRINK_V = 0.005
-L2_W = 1e-5
+L2_W = 5e-3
 BATCH = 32
 #: One row in TUNE of the sample isn't fitted on; the bias is set on those, where the fewest of them are misjudged.
 TUNE = 5
