@@ -31,6 +31,8 @@ BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 TABLES = tuple(combinations(range(len(BLOCKS)), 2))
 HOT = 20_000
 TOP = 12
+#: Ids of 8 bytes that a broadcast may hold; beyond, documents are joined by shuffling both sides.
+BROADCAST_IDS = 1_000_000
 #: Node pairs and shingles handled at once.
 FRONTIER = 1 << 18
 CHUNK = 1 << 16
@@ -281,14 +283,18 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     return prints.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """docs with one document of each component: the one with the least doc_id.
 
-    Of rows that repeat its id one stays. Rows whose doc_id is null can't be told apart by it: all of them stay.
+    Of rows that repeat its id one stays. Rows whose doc_id is null can't be told apart by it: all of them stay. What is
+    joined to docs is the table of ids that don't simply stay: broadcast up to broadcast_ids of them, merged beyond.
     """
-    found = near_duplicates(docs).where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    found = stored(found)
-    once = docs.join(found.where("copies = 1"), "doc_id", "left_semi")
-    repeated = docs.join(found.where("copies > 1"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    kept = once.select(docs.columns).unionByName(repeated.select(docs.columns))
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+    ids = near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("copies"), F.max(F.col("doc_id") == F.col("component_id")).alias("least"))
+    special = stored(ids.where("doc_id IS NOT NULL AND (copies > 1 OR NOT least)"))
+    count = special.agg(F.count("*"), F.count_if("least")).first()
+    way = "broadcast" if count[0] <= broadcast_ids else "merge"
+    kept = docs.join(special.select("doc_id").hint(way), "doc_id", "left_anti").select(docs.columns)
+    if count[1]:
+        repeated = docs.join(special.where("least").select("doc_id").hint(way), "doc_id", "left_semi")
+        kept = kept.unionByName(repeated.dropDuplicates(["doc_id"]).select(docs.columns))
+    return kept

@@ -63,7 +63,8 @@ def test_documents(spark):
     out = sorted((r.doc_id if r.doc_id is not None else -1, r.component_id) for r in simhash.near_duplicates(docs).collect())
     near = (simhash.simhash(rows[0][1].encode()) ^ simhash.simhash(rows[1][1].encode())).bit_count() <= 3
     assert out == [(-1, None), (3, 3), (5, 3 if near else 5), (7, 7), (7, 7), (8, 8), (9, 8)]
-    kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(["3", "7", "8", "None"] + [] if near else ["3", "5", "7", "8", "None"])
+    for most in (simhash.BROADCAST_IDS, 0):
+        kept = simhash.keep_one(docs, most)
+        assert kept.columns == docs.columns
+        assert sorted(str(r.doc_id) for r in kept.collect()) == ["3", *["5"] * (not near), "7", "8", "None"]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
