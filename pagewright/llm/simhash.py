@@ -208,8 +208,6 @@ def _join_groups(batches: Iterator[pa.RecordBatch], hot: int | None) -> Iterator
 
 def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     """Edges (u, v) with the same components as all pairs of distinct fingerprints within BUDGET bits. prints: (fp), distinct."""
-    spark = prints.sparkSession
-
     def block(b: int):
         return F.shiftrightunsigned("fp", BLOCKS[b][0]).bitwiseAND(F.lit((1 << BLOCKS[b][1]) - 1))
 
@@ -226,7 +224,7 @@ def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
     large = first.where("tab >= 0")
     if large.isEmpty():
         return found
-    masks = [m for m in range(1 << TOP) if m.bit_count() <= BUDGET]
+    masks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << TOP) - 1).cast("long")), lambda m: F.bit_count(m) <= BUDGET)
     tops = F.lit(None).cast("long")
     for t, pair in enumerate(TABLES):
         packed, width = F.lit(0).cast("long"), 0
@@ -234,8 +232,7 @@ def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
             if b not in pair:
                 packed, width = packed + F.shiftleft(block(b), width), width + size
         tops = F.when(F.col("tab") == t, F.shiftrightunsigned(packed, width - TOP)).otherwise(tops)
-    mask = spark.createDataFrame([(masks,)], "masks array<long>")
-    again = large.select("tab", F.col("a").alias("fp")).withColumn("top", tops).crossJoin(F.broadcast(mask)).select("tab", "fp", "top", F.explode("masks").alias("m"))
+    again = large.select("tab", F.col("a").alias("fp")).withColumn("top", tops).select("tab", "fp", "top", F.explode(masks).alias("m"))
     other = F.col("top").bitwiseXOR(F.col("m"))
     key = F.lit(0).cast("long")
     for t, (x, y) in enumerate(TABLES):
