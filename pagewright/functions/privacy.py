@@ -15,6 +15,8 @@ SWEPT = (
     ("phone", r"\+?[0-9][0-9 ().-]{7,}[0-9]"),
     ("street", r"[0-9]{1,5} [A-Z][a-z]+ (?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd)\b\.?"),
 )
+#: Without any of these no pattern can match: one plain search spares most lines the patterns.
+NEEDED = r"[@0-9]|://|www\."
 PROTECTED = (
     "date of birth", "age", "gender", "marital status", "children", "nationality", "citizenship", "visa status", "religion", "ethnicity", "health", "disability", "photo",
 )
@@ -22,9 +24,10 @@ PROTECTED = (
 
 def sweep(x: Column) -> Column:
     """A line without e-mails, URLs, handles, phone numbers and street addresses; null where nothing is left."""
+    swept = x
     for _, pattern in SWEPT:
-        x = F.regexp_replace(x, pattern, "")
-    return F.nullif(normalize_text(x), F.lit(""))
+        swept = F.regexp_replace(swept, pattern, "")
+    return F.nullif(normalize_text(F.when(x.rlike(NEEDED), swept).otherwise(x)), F.lit(""))
 
 
 def leaks(x: Column) -> Column:
@@ -32,7 +35,7 @@ def leaks(x: Column) -> Column:
     found = F.lit(False)
     for _, pattern in SWEPT:
         found = found | x.rlike(pattern)
-    return found
+    return x.rlike(NEEDED) & found
 
 
 def protected(x: Column) -> Column:
