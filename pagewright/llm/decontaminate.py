@@ -2,14 +2,14 @@
 
 The CGK embedding walks over a string: at each of its steps it writes the current character, and a random function of the
 step and the character says whether the walk moves on. Strings at edit distance k get embeddings at Hamming distance
-O(k^2), mostly O(k), as two walks meet again soon after an edit. Here the walk is the hash: a key samples STEPS of the
-coordinates of the walk from a word's start, and REPEATS walks with other random functions make REPEATS tables.
-
-Every item-sized window of a document that starts at a word is looked up at all the offsets at which an item's words start,
-so an edit spoils only the few walks that cross it, and a window of length n has about n / 6 chances of each table to meet
-its item: that, and not one walk, gives the recall. A table's keys are kept as prefixes of 4, 8, ... coordinates; windows
-whose prefix no item has are given up, which most are after a few characters. What remains votes for the place where the
-item would start; each place is verified by the exact edit distance between the item and the best passage there.
+O(k^2), mostly O(k), as two walks meet again soon after an edit. Here the walk is the hash: a key samples some coordinates
+of the walk from a place, and REPEATS walks with other random functions make REPEATS tables.
+
+A walk passes over about half as many characters as it has steps, so that at a fifth of edits some walks of a passage still
+agree with the item's. They start at every character of items and documents, and not at words, as there are texts without
+spaces. A table's keys are kept as prefixes of PREFIX coordinates and more; places whose prefix no item has are given up. What
+remains votes for the place where the item would start. Where an item has as many votes as needed() says, within the shift
+that its budget of edits allows, it is verified by the exact edit distance between it and the best passage there.
 """
 
 from __future__ import annotations
@@ -30,14 +30,17 @@ from pagewright.llm.common import bounded_batches
 
 SIMILARITY = 0.8
 REPEATS = 3
-#: Coordinates of a key, and how many of the walk's steps there are for each.
-SAMPLED = 16
+#: Steps of a walk for each coordinate of its key, and after how many coordinates a prefix ends.
 THIN = 3
 PREFIX = 4
+#: Least length of an item and coordinates of its keys: short items need short walks, long ones bear keys that chance seldom meets.
+LENGTHS = ((80, 12), (48, 11))
+SHORT = min(least for least, _ in LENGTHS)
 #: Items in a block that is broadcast, by characters at most; more items make more blocks, each against all documents.
-BLOCK_CHARS = 4 << 20
-#: Word starts handled at once, and characters of texts searched together.
+BLOCK_CHARS = 1 << 20
+#: Places handled at once, votes at once, and characters of texts searched together.
 CHUNK = 1 << 16
+VOTES = 1 << 20
 TOGETHER = 1 << 19
 #: Leading bits of a key by which a filter tells whether an item may have it.
 FILTER = 20
@@ -52,88 +55,105 @@ def normal(text: str | None) -> str:
 
 
 def codes(text: str) -> np.ndarray:
-    """A byte for each character (its code point, folded)."""
+    """A number under 256 for each character (its code point, folded)."""
     x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-    return (x ^ (x >> 8) ^ (x >> 16)).astype(np.uint8)
-
-
-def starts(chars: np.ndarray) -> np.ndarray:
-    """Where words start."""
-    space = chars == 32
-    return np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(chars) else np.zeros(0, np.int64)
+    return ((x ^ (x >> 8) ^ (x >> 16)) & 255).astype(np.int64)
 
 
 class Walks:
     """REPEATS random walks; the same on every machine."""
 
-    def __init__(self, repeats: int = REPEATS, sampled: int = SAMPLED, thin: int = THIN, seed: int = SEED):
+    def __init__(self, sampled: int, repeats: int = REPEATS, thin: int = THIN, seed: int = SEED):
         rng = np.random.default_rng(seed)
         self.sampled, self.steps, self.repeats = sampled, sampled * thin, repeats
-        self.move = rng.integers(0, 2, (repeats, self.steps, 256)).astype(np.int32)
+        self.move = rng.integers(0, 2, (repeats, self.steps, 256)).astype(np.int64)
         self.taken = np.stack([np.sort(rng.choice(self.steps, sampled, replace=False)) for _ in range(repeats)])
         self.mix = rng.integers(1, 2**63, (repeats, sampled), dtype=np.uint64) | np.uint64(1)
 
-    def keys(self, chars: np.ndarray, at: np.ndarray, repeat: int, known: list[np.ndarray] | None) -> tuple[np.ndarray, list[np.ndarray] | np.ndarray]:
-        """Keys of the walks from the places `at`; chars ends in zeros beyond the text.
+    def keys(self, chars: np.ndarray, at: np.ndarray, repeat: int, known: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(places, keys, keys after each PREFIX coordinates) of the walks from `at`; chars (of long) ends in steps + 1 zeros.
 
-        Without `known`: all places and the keys after each PREFIX coordinates. With `known`, filters of those keys of the
-        items: the places whose prefixes pass them all, and their keys.
+        With `known`, filters of those prefixes of the items: only the places whose prefixes pass them all. Without, only the
+        places from which the walk stays within chars.
         """
-        place, key, here = at.astype(np.int32), np.zeros(len(at), np.uint64), at.astype(np.int32)
+        place, key, here = at, np.zeros(len(at), np.uint64), at.copy()
         levels, n = [], 0
-        for step in range(self.steps):
-            c = chars[here]
-            if n < self.sampled and step == self.taken[repeat, n]:
-                key = (key ^ (c.astype(np.uint64) + np.uint64(1))) * self.mix[repeat, n]
+        for step in range(self.taken[repeat, -1] + 1):
+            c = chars.take(here)
+            if step == self.taken[repeat, n]:
+                key = (key ^ (c.view(np.uint64) + np.uint64(1))) * self.mix[repeat, n]
                 key ^= key >> np.uint64(29)
                 n += 1
                 if n % PREFIX == 0:
                     if known is None:
-                        levels.append(key.copy())
+                        levels.append(key)
                     else:
-                        keep = known[n // PREFIX - 1][key >> np.uint64(64 - FILTER)]
-                        place, key, here, c = place[keep], key[keep], here[keep], c[keep]
+                        keep = np.flatnonzero(known[n // PREFIX - 1].take((key >> np.uint64(64 - FILTER)).astype(np.int64)))
+                        place, key, here, c = place.take(keep), key.take(keep), here.take(keep), c.take(keep)
                         if not len(place):
                             break
-            here = here + self.move[repeat, step][c]
-        return place, levels if known is None else key
+            here = here + self.move[repeat, step].take(c)
+        if known is None:
+            keep = here <= len(chars) - self.steps - 1
+            place, key, levels = place[keep], key[keep], [x[keep] for x in levels]
+        return place, key, levels
+
+
+@dataclass
+class Table:
+    walks: Walks
+    known: list[list[np.ndarray]]  # of each repeat: filters of the keys after each PREFIX coordinates
+    posts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # of each repeat: keys, ascending, and item and offset of each
 
 
 @dataclass
 class Index:
     ids: list[int]
     texts: list[str]
-    known: list[list[np.ndarray]]  # of each repeat: filters of the keys after each PREFIX coordinates
-    posts: list[dict[int, list[tuple[int, int]]]]  # of each repeat: key to (item, offset)
+    tables: list[Table]  # of the items of each of LENGTHS, where there are any
+    shift: np.ndarray  # of each item: the edits that it may have
+    needed: np.ndarray  # of each item: votes that it is verified for
     exact: dict[str, list[int]]  # items too short for a walk
 
 
-def build(items: list[tuple[int, str]], walks: Walks) -> Index:
+def needed(length: int) -> int:
+    """Votes for which an item is verified. Random passages with a fifth of edits nearly all have as many; tests hold recall to 0.9."""
+    if length < LENGTHS[0][0]:
+        return max(1, (length - 65) // 5)
+    return max(1, (length - 70) // 8, (length - 110) // 5)
+
+
+def build(items: list[tuple[int, str]], similarity: float = SIMILARITY) -> Index:
     ids, texts = [i for i, _ in items], [t for _, t in items]
-    known: list[list[list[np.ndarray]]] = [[[] for _ in range(walks.sampled // PREFIX)] for _ in range(walks.repeats)]
-    posts: list[dict[int, list[tuple[int, int]]]] = [defaultdict(list) for _ in range(walks.repeats)]
     exact = defaultdict(list)
+    dealt: list[list[int]] = [[] for _ in LENGTHS]
     for n, text in enumerate(texts):
-        chars = np.concatenate([codes(text), np.zeros(walks.steps + 1, np.uint8)])
-        at = starts(chars[: len(text)])
-        # a walk that runs beyond the item compares what follows it; half of a walk's steps move on
-        at = at[at + walks.steps <= len(text)]
-        if not len(at):
+        own = next((x for x, (least, _) in zip(dealt, LENGTHS, strict=True) if len(text) >= least), None)
+        if own is None:
             exact[text].append(n)
-            continue
-        for r in range(walks.repeats):
-            place, levels = walks.keys(chars, at, r, None)
-            for kept, level in zip(known[r], levels, strict=True):
-                kept.append(level)
-            for p, k in zip(place.tolist(), levels[-1].tolist(), strict=True):
-                posts[r][k].append((n, p))
-    filters = []
-    for one in known:
-        filters.append([np.zeros(1 << FILTER, bool) for _ in one])
-        for bits, level in zip(filters[-1], one, strict=True):
-            for key in level:
-                bits[key >> np.uint64(64 - FILTER)] = True
-    return Index(ids, texts, filters, [dict(p) for p in posts], dict(exact))
+        else:
+            own.append(n)
+    tables = [_table(texts, own, Walks(sampled)) for own, (_, sampled) in zip(dealt, LENGTHS, strict=True) if own]
+    most = np.array([budget(t, similarity) for t in texts], np.int64)
+    return Index(ids, texts, tables, most, np.array([needed(len(t)) for t in texts], np.int64), dict(exact))
+
+
+def _table(texts: list[str], own: list[int], walks: Walks) -> Table:
+    known, posts = [], []
+    coded = [np.concatenate([codes(texts[n]), np.zeros(walks.steps + 1, np.int64)]) for n in own]
+    for r in range(walks.repeats):
+        filters = [np.zeros(1 << FILTER, bool) for _ in range(walks.sampled // PREFIX)]
+        found = []
+        for n, chars in zip(own, coded, strict=True):
+            place, key, prefixes = walks.keys(chars, np.arange(len(texts[n])), r, None)
+            for bits, prefix in zip(filters, prefixes, strict=True):
+                bits[prefix >> np.uint64(64 - FILTER)] = True
+            found.append((key, np.full(len(key), n, np.int32), place.astype(np.int32)))
+        key, item, offset = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(key, kind="stable")
+        known.append(filters)
+        posts.append((key[order], item[order], offset[order]))
+    return Table(walks, known, posts)
 
 
 def infix_distance(item: str, text: str) -> tuple[int, int]:
@@ -146,16 +166,18 @@ def infix_distance(item: str, text: str) -> tuple[int, int]:
         peq[c] |= 1 << i
     mask, high = (1 << m) - 1, 1 << (m - 1)
     pv, mv, score, best, end = mask, 0, m, m, 0
-    for j, c in enumerate(text):
-        eq = peq.get(c, 0)
+    for j, eq in enumerate([peq.get(c, 0) for c in text]):
         xv = eq | mv
         xh = (((eq & pv) + pv) ^ pv) | eq
         ph, mh = mv | ~(xh | pv), pv & xh
-        score += bool(ph & high) - bool(mh & high)
+        if ph & high:
+            score += 1
+        elif mh & high:
+            score -= 1
+            if score < best:
+                best, end = score, j + 1
         ph, mh = ph << 1, mh << 1
         pv, mv = (mh | ~(xv | ph)) & mask, ph & xv & mask
-        if score < best:
-            best, end = score, j + 1
     return best, end
 
 
@@ -163,25 +185,60 @@ def budget(item: str, similarity: float = SIMILARITY) -> int:
     return int((1 - similarity) * len(item) + 1e-9)
 
 
-def candidates(texts: list[str], index: Index, walks: Walks) -> list[dict[tuple[int, int], int]]:
-    """For each normalised text, (item, place where it would start) and how many walks say so."""
+def votes(chars: np.ndarray, n: int, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(item << 32 | place where it would start, ascending, how many walks say so) for the first n of chars; places are moved on by 2**31."""
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for table, r in ((t, r) for t in index.tables for r in range(t.walks.repeats)):
+        keys, items, offsets = table.posts[r]
+        for lo in range(0, n, CHUNK):
+            place, key, _ = table.walks.keys(chars, np.arange(lo, min(n, lo + CHUNK)), r, table.known[r])
+            first = np.searchsorted(keys, key)
+            many = np.searchsorted(keys, key, side="right") - first
+            upto = np.cumsum(many)
+            at = 0
+            while at < len(many) and upto[-1]:
+                to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + VOTES, side="right")))
+                some = many[at:to]
+                post = np.arange(some.sum()) + np.repeat(first[at:to] - np.cumsum(some) + some, some)
+                start = np.repeat(place[at:to], some) - offsets[post] + (1 << 31)
+                found.append(np.unique(items[post].astype(np.int64) << 32 | start, return_counts=True))
+                at = to
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    key, count = (np.concatenate(x) for x in zip(*found, strict=True))
+    key, same = np.unique(key, return_inverse=True)
+    return key, np.bincount(same, count, len(key)).astype(np.int64)
+
+
+def candidates(texts: list[str], index: Index) -> list[list[tuple[int, int, int]]]:
+    """For each normalised text, (item, first and last place where it would start) with as many votes as are needed, ascending."""
     lengths = np.array([len(t) for t in texts]) + 1
     ends = np.cumsum(lengths)
-    chars = np.concatenate([codes("\n".join(texts)), np.zeros(walks.steps + 2, np.uint8)])
-    chars[ends - 1] = 32
-    at = starts(chars[: ends[-1]])
-    votes: list[dict[tuple[int, int], int]] = [{} for _ in texts]
-    for lo in range(0, len(at), CHUNK):
-        for r in range(walks.repeats):
-            place, keys = walks.keys(chars, at[lo : lo + CHUNK], r, index.known[r])
-            owner = np.searchsorted(ends, place, side="right")
-            for d, p, k in zip(owner.tolist(), (place - (ends - lengths)[owner]).tolist(), keys.tolist(), strict=True):
-                for n, offset in index.posts[r].get(k, ()):
-                    votes[d][n, p - offset] = votes[d].get((n, p - offset), 0) + 1
-    return votes
-
-
-def find_all(texts: list[str | None], index: Index, walks: Walks, similarity: float = SIMILARITY) -> list[list[tuple[int, int, int]]]:
+    chars = np.concatenate([codes("\n".join(texts)), np.zeros(max((t.walks.steps for t in index.tables), default=0) + 2, np.int64)])
+    key, count = votes(chars, int(ends[-1]) - 1, index)
+    item = key >> 32
+    total = np.concatenate([[0], np.cumsum(count)])
+    enough = total[np.searchsorted(key, key + index.shift[item], side="right")] - total[:-1] >= index.needed[item]
+    key, item = key[enough], item[enough]
+    out: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+    if not len(key):
+        return out
+    cut = np.flatnonzero(np.diff(key) > index.shift[item[1:]]) + 1
+    for lo, hi in zip([0, *cut.tolist()], [*(cut - 1).tolist(), len(key) - 1], strict=True):
+        n = int(item[lo])
+        most = int(index.shift[n])
+        first, last = (int(key[x] & 0xFFFFFFFF) - (1 << 31) for x in (lo, hi))
+        last += most
+        # the passage may lie in any text that the window touches
+        d = int(np.searchsorted(ends, max(0, first - most), side="right"))
+        while d < len(texts) and ends[d] - lengths[d] < last + len(index.texts[n]) + most:
+            begin = int(ends[d] - lengths[d])
+            out[d].append((n, first - begin, last - begin))
+            d += 1
+    return out
+
+
+def find_all(texts: list[str | None], index: Index, similarity: float = SIMILARITY) -> list[list[tuple[int, int, int]]]:
     """verified() of each text, texts being searched together up to TOGETHER characters."""
     out: list[list[tuple[int, int, int]]] = []
     some: list[str] = []
@@ -193,26 +250,23 @@ def find_all(texts: list[str | None], index: Index, walks: Walks, similarity: fl
             if size < TOGETHER:
                 continue
         if some:
-            out += [verified(text, votes, index, similarity) for text, votes in zip(some, candidates(some, index, walks), strict=True)]
+            out += [verified(text, places, index, similarity) for text, places in zip(some, candidates(some, index), strict=True)]
         some, size = [], 0
     return out
 
 
-def verified(text: str, votes: dict[tuple[int, int], int], index: Index, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
+def verified(text: str, places: list[tuple[int, int, int]], index: Index, similarity: float = SIMILARITY) -> list[tuple[int, int, int]]:
     """(item_id, distance, end) of the items that have a passage in the normalised text within the budget; the nearest, then first, of each."""
     best: dict[int, tuple[int, int]] = {}
-    seen: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for n, start in sorted(votes, key=lambda v: (v[0], -votes[v], v[1])):
+    for n, first, last in places:
         item = index.texts[n]
         most = budget(item, similarity)
-        if any(lo <= start <= hi for lo, hi in seen[n]) or n in best and best[n][0] == 0:
-            continue  # a place that a verified window has covered
-        lo, hi = max(0, start - most), start + len(item) + most
-        seen[n].append((start - most // 2, start + most // 2))
-        if text[max(0, start) : start + len(item)] == item:
-            best[n] = (0, start + len(item))
+        lo, hi = max(0, first - most), last + len(item) + most
+        passage = text[lo:hi]
+        if len(passage) < len(item) - most or n in best and best[n][0] == 0:
             continue
-        distance, end = infix_distance(item, text[lo:hi])
+        where = passage.find(item)
+        distance, end = (0, where + len(item)) if where >= 0 else infix_distance(item, passage)
         if distance <= most and (n not in best or (distance, lo + end) < best[n]):
             best[n] = (distance, lo + end)
     found = [(index.ids[n], *best[n]) for n in best]
@@ -260,9 +314,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
         shared = spark.sparkContext.broadcast(block)
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index, walks = tools(tuple(shared.value))
+            index = tools(tuple(shared.value), similarity)
             for batch in batches:
-                found = find_all(batch.column(1).to_pylist(), index, walks, similarity)
+                found = find_all(batch.column(1).to_pylist(), index, similarity)
                 rows = [(d, *hit) for d, hits in zip(batch.column(0).to_pylist(), found, strict=True) for hit in hits]
                 cols = list(zip(*rows, strict=True)) or [()] * 4
                 types = (pa.int64(), pa.int64(), pa.int32(), pa.int64())
@@ -285,15 +339,14 @@ def clean(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY)
 def _hit(shared, similarity: float):
     @F.pandas_udf("boolean")
     def hit(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        index, walks = tools(tuple(shared.value))
+        index = tools(tuple(shared.value), similarity)
         for texts in parts:
-            yield pd.Series([bool(hits) for hits in find_all(texts.tolist(), index, walks, similarity)])
+            yield pd.Series([bool(hits) for hits in find_all(texts.tolist(), index, similarity)])
 
     return hit
 
 
 @lru_cache(maxsize=4)
-def tools(block: tuple[tuple[int, str], ...]) -> tuple[Index, Walks]:
-    """The index of a block, built once in a worker, and its walks."""
-    walks = Walks()
-    return build(list(block), walks), walks
+def tools(block: tuple[tuple[int, str], ...], similarity: float = SIMILARITY) -> Index:
+    """The index of a block, built once in a worker."""
+    return build(list(block), similarity)

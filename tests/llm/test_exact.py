@@ -274,3 +274,27 @@ def test_contaminated(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, *_ in rows} - {d for d, _ in found}
     assert decontaminate.contaminated(docs.limit(0), bench).count() == 0
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0
+
+
+def recalled(length, share, some_text, letters, n=100):
+    """The share of n items of a length that are found in texts that hold them with a share of their characters edited."""
+    rng = random.Random(length)
+    items, texts = [], []
+    for i in range(n):
+        items.append((i, some_text(rng, length)))
+        passage, around = list(items[-1][1]), some_text(rng, 200)
+        for _ in range(int(share * length)):
+            p, o = rng.randrange(len(passage)), rng.randrange(3)
+            passage[p : p + (o < 2)] = [rng.choice(letters)] if o else []
+        texts.append(around[:130] + "".join(passage) + around[130:])
+    found = decontaminate.find_all(texts, decontaminate.build(items))
+    return sum(any(hit[0] == i for hit in hits) for i, hits in enumerate(found)) / n
+
+
+@pytest.mark.parametrize("length", [48, 60, 80, 100, 130, 200, 300])
+def test_edited_items_are_found(length):
+    def words(rng, n):
+        return " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 8))) for _ in range(n))[:n].strip().ljust(n, "x")
+
+    for share in (0.1, 0.15, 0.2):
+        assert recalled(length, share, words, "etaoinshrdlu ") >= 0.9
