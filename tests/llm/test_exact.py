@@ -298,3 +298,12 @@ def test_edited_items_are_found(length):
 
     for share in (0.1, 0.15, 0.2):
         assert recalled(length, share, words, "etaoinshrdlu ") >= 0.9
+
+
+@pytest.mark.parametrize("length", [48, 75, 130, 250])
+def test_items_in_texts_without_spaces_are_found(length):
+    def unspaced(rng, n):
+        return "".join(chr(0x4E00 + int(rng.random() ** 2 * 800)) for _ in range(n))
+
+    assert recalled(length, 0, unspaced, "的一是不了") == 1
+    assert recalled(length, 0.15, unspaced, "的一是不了") >= 0.9
