@@ -10,6 +10,9 @@ agree with the item's. They start at every character of items and documents, and
 spaces. A table's keys are kept as prefixes of PREFIX coordinates and more; places whose prefix no item has are given up. What
 remains votes for the place where the item would start. Where an item has as many votes as needed() says, within the shift
 that its budget of edits allows, it is verified by the exact edit distance between it and the best passage there.
+
+Items too short for walks are cut into one piece more than they may have edits, so one piece is in any passage as it is: every
+place of a piece is verified. Their passages are whole words, as many as the item's; in scripts without spaces they are any.
 """
 
 from __future__ import annotations
@@ -47,6 +50,11 @@ FILTER = 20
 SEED = 11
 
 _SPACE = re.compile(r"\s+")
+_WORD = re.compile(r"\w+")
+#: Thai, Lao, Burmese, Khmer, kana and Chinese characters: words aren't told apart by spaces.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: Characters of a piece of a short item at most, 8 bits each.
+PIECE = 7
 
 
 def normal(text: str | None) -> str:
@@ -106,6 +114,88 @@ class Table:
     posts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # of each repeat: keys, ascending, and item and offset of each
 
 
+class Short:
+    """Short items by pieces; an item without the punctuation at its ends, if it has words."""
+
+    def __init__(self, texts: list[str], own: list[int], similarity: float):
+        self.item: dict[int, str] = {}
+        self.words: dict[int, int] = {}  # 0: passages need not be whole words
+        pieces: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+        for n in own:
+            item = texts[n]
+            spans = [] if _UNSPACED.search(item) else [m.span() for m in _WORD.finditer(item)]
+            if spans:
+                item = item[spans[0][0] : spans[-1][1]]
+            self.item[n], self.words[n] = item, len(spans)
+            most = budget(item, similarity)
+            size = min(PIECE, len(item) // (most + 1))
+            for x in range(most + 1):
+                at = x * len(item) // (most + 1)
+                before = sum(a - spans[0][0] <= at for a, _ in spans) - 1
+                pieces[size].append((int(packed(codes(item[at : at + size]), size)[0]), n, at, before))
+        self.similarity = similarity
+        self.pieces = {size: np.array(sorted(rows), np.int64).T for size, rows in pieces.items()}
+
+    def hits(self, texts: list[str]) -> list[dict[int, tuple[int, int]]]:
+        """For each normalised text, items and (distance, end) of their nearest, then first, passages."""
+        joined = "\n".join(texts)
+        chars = codes(joined)
+        lengths = np.array([len(t) for t in texts]) + 1
+        ends = np.cumsum(lengths)
+        spans = np.array([m.span() for m in _WORD.finditer(joined)] if any(self.words.values()) else [], np.int64).reshape(-1, 2)
+        out: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
+
+        def found(d: int, n: int, distance: int, end: int) -> None:
+            end -= int(ends[d] - lengths[d])
+            if n not in out[d] or (distance, end) < out[d][n]:
+                out[d][n] = (distance, end)
+
+        for size, (keys, items, offsets, before) in self.pieces.items():
+            text_keys = packed(chars, size)
+            first = np.searchsorted(keys, text_keys)
+            there = np.flatnonzero(keys.take(np.minimum(first, len(keys) - 1)) == text_keys)
+            many = np.searchsorted(keys, text_keys[there], side="right") - first[there]
+            post = np.arange(many.sum()) + np.repeat(first[there] - np.cumsum(many) + many, many)
+            place = np.repeat(there, many)
+            for n in np.unique(items[post]).tolist():
+                own = items[post] == n
+                self._verify(n, place[own], offsets[post[own]], before[post[own]], joined, spans, ends, found)
+        return out
+
+    def _verify(self, n: int, place: np.ndarray, offset: np.ndarray, before: np.ndarray, joined: str, spans: np.ndarray, ends: np.ndarray, found) -> None:
+        item, words = self.item[n], self.words[n]
+        most = budget(item, self.similarity)
+        if not words:
+            for start in np.unique(place - offset).tolist():
+                at = int(np.searchsorted(ends, max(0, start), side="right"))
+                for d in {at, min(at + 1, len(ends) - 1)}:  # the first characters may be missing at the start of a text
+                    lo = max(0, start - most, int(ends[d - 1]) if d else 0)
+                    hi = min(start + len(item) + most, int(ends[d]) - 1)
+                    if lo < hi:
+                        distance, end = infix_distance(item, joined[lo:hi])
+                        if distance <= most:
+                            found(d, n, distance, lo + end)
+            return
+        word = np.searchsorted(spans[:, 0], place, side="right") - 1 - before
+        first = np.unique(np.concatenate([word + shift for shift in range(-(most // 2), most // 2 + 1)]))
+        first = first[(first >= 0) & (first + words <= len(spans))]
+        lo, hi = spans[first, 0], spans[first + words - 1, 1]
+        near = (abs(hi - lo - len(item)) <= most) & (np.searchsorted(ends, lo, side="right") == np.searchsorted(ends, hi - 1, side="right"))
+        for a, b in zip(lo[near].tolist(), hi[near].tolist(), strict=True):
+            distance = whole_distance(item, joined[a:b])
+            if distance <= most:
+                found(int(np.searchsorted(ends, a, side="right")), n, distance, b)
+
+
+def packed(chars: np.ndarray, size: int) -> np.ndarray:
+    """Every `size` characters that follow each other as one number."""
+    n = max(0, len(chars) - size + 1)
+    out = np.zeros(n, np.int64)
+    for i in range(size):
+        out = out << 8 | chars[i : i + n]
+    return out
+
+
 @dataclass
 class Index:
     ids: list[int]
@@ -113,7 +203,7 @@ class Index:
     tables: list[Table]  # of the items of each of LENGTHS, where there are any
     shift: np.ndarray  # of each item: the edits that it may have
     needed: np.ndarray  # of each item: votes that it is verified for
-    exact: dict[str, list[int]]  # items too short for a walk
+    short: Short | None  # items too short for a walk, where there are any
 
 
 def needed(length: int) -> int:
@@ -125,17 +215,17 @@ def needed(length: int) -> int:
 
 def build(items: list[tuple[int, str]], similarity: float = SIMILARITY) -> Index:
     ids, texts = [i for i, _ in items], [t for _, t in items]
-    exact = defaultdict(list)
+    short: list[int] = []
     dealt: list[list[int]] = [[] for _ in LENGTHS]
     for n, text in enumerate(texts):
         own = next((x for x, (least, _) in zip(dealt, LENGTHS, strict=True) if len(text) >= least), None)
         if own is None:
-            exact[text].append(n)
+            short.append(n)
         else:
             own.append(n)
     tables = [_table(texts, own, Walks(sampled)) for own, (_, sampled) in zip(dealt, LENGTHS, strict=True) if own]
     most = np.array([budget(t, similarity) for t in texts], np.int64)
-    return Index(ids, texts, tables, most, np.array([needed(len(t)) for t in texts], np.int64), dict(exact))
+    return Index(ids, texts, tables, most, np.array([needed(len(t)) for t in texts], np.int64), Short(texts, short, similarity) if short else None)
 
 
 def _table(texts: list[str], own: list[int], walks: Walks) -> Table:
@@ -181,6 +271,16 @@ def infix_distance(item: str, text: str) -> tuple[int, int]:
     return best, end
 
 
+def whole_distance(a: str, b: str) -> int:
+    """Edit distance of short strings."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
 def budget(item: str, similarity: float = SIMILARITY) -> int:
     return int((1 - similarity) * len(item) + 1e-9)
 
@@ -239,7 +339,7 @@ def candidates(texts: list[str], index: Index) -> list[list[tuple[int, int, int]
 
 
 def find_all(texts: list[str | None], index: Index, similarity: float = SIMILARITY) -> list[list[tuple[int, int, int]]]:
-    """verified() of each text, texts being searched together up to TOGETHER characters."""
+    """verified() of each text, and its short items; texts being searched together up to TOGETHER characters."""
     out: list[list[tuple[int, int, int]]] = []
     some: list[str] = []
     size = 0
@@ -250,7 +350,11 @@ def find_all(texts: list[str | None], index: Index, similarity: float = SIMILARI
             if size < TOGETHER:
                 continue
         if some:
-            out += [verified(text, places, index, similarity) for text, places in zip(some, candidates(some, index), strict=True)]
+            more = index.short.hits(some) if index.short else [{}] * len(some)
+            out += [
+                sorted([*verified(text, places, index, similarity), *((index.ids[n], *hit) for n, hit in short.items())])
+                for text, places, short in zip(some, candidates(some, index), more, strict=True)
+            ]
         some, size = [], 0
     return out
 
@@ -269,14 +373,7 @@ def verified(text: str, places: list[tuple[int, int, int]], index: Index, simila
         distance, end = (0, where + len(item)) if where >= 0 else infix_distance(item, passage)
         if distance <= most and (n not in best or (distance, lo + end) < best[n]):
             best[n] = (distance, lo + end)
-    found = [(index.ids[n], *best[n]) for n in best]
-    if index.exact:
-        spaced = f" {text} "
-        for item, owners in index.exact.items():
-            where = spaced.find(f" {item} ")
-            if where >= 0:
-                found += [(index.ids[n], 0, where + len(item)) for n in owners]
-    return sorted(found)
+    return sorted((index.ids[n], *best[n]) for n in best)
 
 
 def item_blocks(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple[int, str]]]:
@@ -301,8 +398,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     """(doc_id, item_id, distance, end_char), a row for each item that a row of docs has a passage of.
 
     distance is the edit distance between the normalised item and the nearest passage of the normalised text (lower case,
-    white space collapsed), at most 1 - similarity of the item's length; end_char is where the first such passage ends. Items
-    too short for a walk count where they occur as they are, between spaces. Null and empty texts have no passage. Rows that
+    white space collapsed), at most 1 - similarity of the item's length; end_char is where the first such passage ends. Passages
+    of items under SHORT characters are whole words, as many as the item's, and punctuation at an item's ends doesn't count. Null and empty texts have no passage. Rows that
     repeat give their rows again; an empty table on either side gives none.
     """
     spark = docs.sparkSession

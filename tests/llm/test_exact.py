@@ -307,3 +307,40 @@ def test_items_in_texts_without_spaces_are_found(length):
 
     assert recalled(length, 0, unspaced, "的一是不了") == 1
     assert recalled(length, 0.15, unspaced, "的一是不了") >= 0.9
+
+
+def test_short_items():
+    items = [(1, "what is the capital?"), (2, "forty two"), (3, "首都是哪里呢"), (4, "ab")]
+    texts = [
+        'He asked: "What is the capital?" twice',
+        "what is the captial, then",
+        "forty two.",
+        "(fourty two)",
+        "fortytwo times",
+        "问首都是哪裡呢答",
+        "abc, cab; ab!",
+        "",
+        None,
+        "what is a dog. the capital",
+        "都是哪里呢",
+    ]
+    found = decontaminate.find_all(texts, decontaminate.build(items))
+    assert found == [[(1, 0, 30)], [(1, 2, 19)], [(2, 0, 9)], [(2, 1, 11)], [], [(3, 1, 7)], [(4, 0, 12)], [], [], [], [(3, 1, 5)]]
+
+
+def test_short_items_against_brute_force():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 5)))
+    items = [(i, " ".join(word() for _ in range(rng.randint(1, 6)))) for i in range(25)]
+    texts = [" ".join(word() for _ in range(40)) for _ in range(15)]
+    found = decontaminate.find_all(texts, decontaminate.build(items))
+    for text, hits in zip(texts, found, strict=True):
+        words, expected = text.split(), []
+        for i, t in items:
+            n, near = t.count(" ") + 1, []
+            for at in range(len(words) - n + 1):
+                passage = " ".join(words[at : at + n])
+                near.append((decontaminate.whole_distance(t, passage), len(" ".join(words[: at + n]))))
+            if near and min(near)[0] <= decontaminate.budget(t):
+                expected.append((i, *min(near)))
+        assert hits == expected
