@@ -1,11 +1,12 @@
 """Lexical retrieval packing: windows filled with the neighbours that a sharded BM25 index returns.
 
 A document's ids (with the end id) fill whole windows of their own; what is left over, under a window, is packed. Shards hold
-a bounded number of leftovers, dealt by a hash of the document, and each has an inverted index over their token ids, weighted
-by BM25 with document frequencies of the whole corpus. In a shard the longest unused leftover is the seed of a window; its
-rarest terms are the query, and unused neighbours, best first, fill the window: those that fit whole, then, where none of
-those retrieved fits, the best of the others is cut to fill it, and its rest is packed on. Only a shard's last window is
-padded.
+a bounded number of leftovers of like content: a tree of k-means centroids, fitted on a sample, leads a leftover to its shard,
+so that most neighbours meet. Only groups that centroids can't part, as of copies, are dealt by a hash. Each shard has an
+inverted index over its token ids, weighted by BM25 with document frequencies of the whole corpus. In a shard the longest unused
+leftover is the seed of a window; its rarest terms are the query, and unused neighbours, best first, fill the window: those
+that fit whole, then, where none of those retrieved fits, the best of the others is cut to fill it, and its rest is packed on.
+Only a shard's last window is padded.
 """
 
 from __future__ import annotations
@@ -29,6 +30,13 @@ WINDOW = 1024
 END = 0
 #: Leftovers in a shard, about.
 SHARD = 4000
+#: The tree: how many times SHARD a shard may hold (by the sample), sampled leftovers for each shard, at least and at most, ways
+#: of a node, its vectors' length, and rounds of k-means.
+LOOSE = 1.25
+EACH, LEAST, MOST = 40, 4000, 60_000
+WAYS = 8
+DIM = 1024
+ROUNDS = 8
 #: Terms of a query; K1 and B are the usual constants of BM25.
 TERMS = 24
 K1, B = 1.2, 0.75
@@ -190,6 +198,86 @@ def fill(items: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WI
         sequence, offset = sequence + 1, 0
 
 
+def vectors(items: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """Unit vectors of the items' rarest terms: idf by hashed id, each id once."""
+    key = np.concatenate([np.unique(x).astype(np.int64) + (i << 16) for i, x in enumerate(items)])
+    id_ = key & 0xFFFF
+    lane = (id_ * 40503 & 0xFFFF) * DIM >> 16
+    x = np.bincount((key >> 16) * DIM + lane, idf[id_] ** 2, len(items) * DIM).reshape(len(items), DIM).astype(np.float32)
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
+class Tree:
+    """Centroids by which leftovers are led to shards.
+
+    Small leaves that follow each other share a shard; a leaf that no centroid parts has several, dealt by a hash.
+    """
+
+    def __init__(self, items: list[np.ndarray], idf: np.ndarray, share: float, shard: int, seed: int = 7):
+        self.nodes: list[tuple[np.ndarray, list[int]]] = []  # centroids, and of each: a node, or a leaf as -1 - leaf
+        self.expected: list[float] = []  # leftovers of each leaf
+        self.idf, self.rng = idf, np.random.default_rng(seed)
+        x = np.concatenate([vectors(items[i : i + 1000], idf) for i in range(0, len(items), 1000)]) if items else np.zeros((0, DIM), np.float32)
+        self.root = self._grow(x, share, shard)
+        # of each leaf: its first shard, and how many it has
+        self.base, self.parts = np.zeros((2, len(self.expected)), np.int64)
+        self.count, held = 0, np.inf
+        for leaf, n in enumerate(self.expected):
+            self.parts[leaf] = max(1, np.ceil(n / shard / LOOSE))
+            if held + n > shard * LOOSE:
+                self.count, held = self.count + int(self.parts[leaf]), 0.0
+            held = held + n if self.parts[leaf] == 1 else np.inf
+            self.base[leaf] = self.count - self.parts[leaf]
+
+    def _grow(self, x: np.ndarray, share: float, shard: int) -> int:
+        expected = len(x) / share
+        if expected > shard * LOOSE:
+            centre, near = self._parted(x, int(min(WAYS, max(2, round(expected / shard)))))
+            if len(centre) > 1:
+                at = len(self.nodes)
+                self.nodes.append((centre, []))
+                self.nodes[at][1].extend([self._grow(x[near == i], share, shard) for i in range(len(centre))])
+                return at
+        self.expected.append(expected)
+        return -len(self.expected)
+
+    def _parted(self, x: np.ndarray, ways: int) -> tuple[np.ndarray, np.ndarray]:
+        centre = np.unique(x[self.rng.choice(len(x), ways, replace=False)], axis=0)
+        for _ in range(ROUNDS):
+            near = np.argmax(x @ centre.T, axis=1)
+            there = np.unique(near)
+            centre = np.stack([x[near == i].mean(axis=0) for i in there])
+            centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
+        near = np.argmax(x @ centre.T, axis=1)
+        there, near = np.unique(near, return_inverse=True)
+        return centre[there], near
+
+    def shards(self, items: list[np.ndarray], hashes: np.ndarray) -> np.ndarray:
+        """The shard of each item."""
+        x = vectors(items, self.idf)
+        leaf = np.zeros(len(items), np.int64)
+        stack = [(self.root, np.arange(len(items)))]
+        while stack:
+            node, rows = stack.pop()
+            if node < 0:
+                leaf[rows] = -1 - node
+                continue
+            centre, below = self.nodes[node]
+            near = np.argmax(x[rows] @ centre.T, axis=1)
+            stack += [(to, rows[near == i]) for i, to in enumerate(below) if (near == i).any()]
+        return self.base[leaf] + hashes % self.parts[leaf]
+
+
+def grown(pieces: DataFrame, idf: np.ndarray, n: int, shard: int) -> Tree:
+    """The tree of a sample of leftovers, those with the least hash."""
+    share = min(1.0, min(MOST, max(LEAST, EACH * (n // shard + 1))) / max(1, n))
+    own = pieces.where("ids IS NOT NULL")
+    if share < 1:
+        own = own.where(F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    found = sorted(bytes(r.ids) for r in own.select("ids").collect())
+    return Tree([np.frombuffer(x, "<u2") for x in found], idf, share, shard)
+
+
 def packed(docs: DataFrame, path: str, ranks: str, pattern: str, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset), a row for each piece.
 
@@ -200,8 +288,19 @@ def packed(docs: DataFrame, path: str, ranks: str, pattern: str, window: int = W
     pieces = stored(encoded(docs, path, ranks, pattern, window))
     df, n, mean = frequencies(pieces)
     idf = spark.sparkContext.broadcast(np.log1p((n - df + 0.5) / (df + 0.5)))
-    shards = n // shard + 1
-    own = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(shards)))
+    tree = spark.sparkContext.broadcast(grown(pieces, idf.value, n, shard))
+
+    @F.pandas_udf("long")
+    def led(ids: pd.Series, hashes: pd.Series) -> pd.Series:
+        out = hashes.to_numpy() % tree.value.count  # whole windows go anywhere
+        left = np.flatnonzero(ids.notna())
+        for at in range(0, len(left), 500):
+            rows = left[at : at + 500]
+            out[rows] = tree.value.shards([np.frombuffer(ids.iloc[i], "<u2") for i in rows], hashes.to_numpy()[rows])
+        return pd.Series(out)
+
+    # the sample takes the hash's low bits, so others deal here
+    own = pieces.withColumn("shard", led("ids", F.shiftrightunsigned(F.xxhash64("doc_id", "ids_crc32"), 31)))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:

@@ -92,6 +92,29 @@ def test_a_seed_takes_its_neighbours_first():
     assert np.mean(same) > 0.6
 
 
+def test_neighbours_meet_in_shards():
+    rng = np.random.default_rng(3)
+    topics = [rng.choice(np.arange(1, 20_000, dtype="<u2"), 80, replace=False) for _ in range(40)]
+    common = np.arange(30_000, 30_040, dtype="<u2")
+    items = [np.concatenate([rng.choice(topics[i % 40], 60), rng.choice(common, 60)]).astype("<u2") for i in range(1600)]
+    df = np.zeros(1 << 16)
+    for x in items:
+        df[np.unique(x)] += 1
+    idf = np.log1p((1600 - df + 0.5) / (df + 0.5))
+    index, hashes = packing.Index(items, idf, 120.0), rng.integers(0, 1 << 30, 1600)
+    for shard in (400, 100, 50):
+        own = packing.Tree(items, idf, 1.0, shard).shards(items, hashes)
+        assert np.bincount(own).max() <= 3 * shard and own.max() + 1 >= 1600 // shard // 2
+        met = []
+        for seed in range(0, 1600, 40):
+            near, score = index.neighbours(seed + seed // 40)
+            best = near[np.argsort(-score, kind="stable")[1:9]]
+            met.append(np.mean(own[best] == own[seed + seed // 40]))
+        assert np.mean(met) > 0.6  # by a hash: shard / 1600
+    copies = packing.Tree([items[0]] * 1000, idf, 1.0, 100).shards([items[0]] * 1000, hashes[:1000])
+    assert np.bincount(copies).max() < 200
+
+
 # --- fingerprints
 
 
