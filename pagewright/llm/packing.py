@@ -40,7 +40,7 @@ ROUNDS = 8
 #: Terms of a query; K1 and B are the usual constants of BM25.
 TERMS = 24
 K1, B = 1.2, 0.75
-#: Best neighbours that are tried for one window before any that fits is taken.
+#: Neighbours that are tried for a window at once, best first; the next ones only if all of them are placed.
 TRIED = 64
 
 
@@ -178,11 +178,22 @@ def fill(items: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WI
         near, score = near[open_], score[open_]
         if len(near) > TRIED:
             top = np.argpartition(-score, TRIED)[:TRIED]
-            near, score = near[top], score[top]
-        near = near[np.lexsort((near, -score))].tolist()
-        for i in near:
-            if size[i] - done[i] <= window - offset:
-                place(i, window)
+            ranked = top[np.lexsort((near[top], -score[top]))]
+        else:
+            ranked = np.lexsort((near, -score))
+        tried = 0
+        while True:
+            some = near[ranked[tried : tried + TRIED]].tolist()
+            for i in some:
+                if size[i] - done[i] <= window - offset:
+                    place(i, window)
+            tried += TRIED
+            if offset == window or tried >= len(near) or any(done[i] < size[i] for i in some):
+                break
+            if len(ranked) < len(near):  # all of the best are placed: on through those that come next
+                rest = np.setdiff1d(np.arange(len(near)), ranked)
+                ranked = np.concatenate([ranked, rest[np.lexsort((near[rest], -score[rest]))]])
+        near = some
         spare = cursor
         while offset < window:  # none of them fits whole: the best of the rest is cut
             i = next((i for i in near if done[i] < size[i]), None)

@@ -115,6 +115,17 @@ def test_neighbours_meet_in_shards():
     assert np.bincount(copies).max() < 200
 
 
+def test_neighbours_beyond_the_best_are_tried():
+    rng = np.random.default_rng(2)
+    near = [np.full(5, 7, "<u2") for _ in range(150)]
+    far = [np.arange(100 + 20 * i, 120 + 20 * i).astype("<u2") for i in range(60)]
+    items = [np.append(np.full(599, 7), 8).astype("<u2"), *near, *far]
+    idf = rng.uniform(1, 1.1, 1 << 16)
+    pieces = packing.fill(items, idf, 50.0)
+    first = {item for item, _, _, sequence, _ in pieces if sequence == 0}
+    assert len(first & set(range(1, 151))) == 85
+
+
 # --- fingerprints
 
 
