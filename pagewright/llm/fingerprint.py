@@ -3,7 +3,7 @@
 A paragraph (a line) is hashed to a wide vector; a document's fingerprint is the sum of its paragraphs' vectors, each lane
 modulo a power of two. So the order of paragraphs doesn't count, and paragraphs are inserted or deleted by adding or
 subtracting their vectors (`combine`). A vector has STRONG lanes modulo 2**32, hashes of the paragraph that make different
-multisets differ, and SKETCH lanes modulo 2**16, that count the paragraph's phrases by their hash; the sketch's inner
+multisets differ, and SKETCH lanes modulo 2**32, that count the paragraph's phrases by their hash; the sketch's inner
 products estimate how many phrases two documents share, which gives their likeness.
 """
 
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 STRONG = 16
 SKETCH = 64
 STRONG_BITS = 32
-SKETCH_BITS = 16
+SKETCH_BITS = 32
 #: A phrase ends at the end of a clause, or before a word that begins with a vowel: wherever a text is edited, phrases
 #: elsewhere stay as they are.
 PHRASE = r"[.!?;:|\n]+|\s(?=[aeiouAEIOU])"
@@ -65,7 +65,7 @@ def likeness(a_strong: Column, a: Column, b_strong: Column, b: Column) -> Column
     """Shared phrases over all phrases of two documents, 0 to 1, from their lanes; 1 for equal fingerprints."""
     plus = lambda x, y: x + y
     total = lambda x: F.aggregate(x, F.lit(0.0), plus)
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), plus)
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q), F.lit(0.0), plus)
     parts = F.array(F.struct(dot(a, b).alias("ab"), dot(a, a).alias("aa"), dot(b, b).alias("bb"), total(a).alias("na"), total(b).alias("nb")))
 
     def ratio(p: Column) -> Column:

@@ -142,6 +142,12 @@ def test_multiset_hash_ignores_order_and_adds_up(spark):
     assert mod(a, b, 1) == both and mod(both, b, -1) == a
 
 
+def test_likeness_of_a_text_that_repeats_one_phrase(spark):
+    docs = spark.createDataFrame([(1, "a " * 100_000), (2, "b. c. " * 40_000)], "doc_id long, text string")
+    out = fingerprint.edited_fingerprints(docs).where("doc_id = 1").first()
+    assert out.near_edited > 0.5  # three quarters are equal
+
+
 def test_edited_fingerprints(spark):
     rng = random.Random(8)
     text = lambda n: "\n".join(" ".join(rng.choice("an of river stone is under table on walk eat").__str__() + rng.choice("abcde") for _ in range(9)) + "." for _ in range(n))
