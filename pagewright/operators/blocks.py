@@ -1,85 +1,77 @@
-"""The block walker: an element's content as headings, paragraphs and bullets, as set operations on its nodes.
+"""The block walker: an element's content as headings, paragraphs and bullets, in one pass over its nodes.
 
-Nothing is walked. Breaks are counted: a text belongs to the block whose number is the count of breaking elements that open
-or close before it, a running sum over the page. What kind of block, how deep a bullet, and whether it is strong follows from
-a fold over the tags of its ancestors. One shuffle, by page.
+It runs where the page is parsed, so a page is read once and nothing is joined or shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from pagewright.functions.text import normalize_text, utf16_length
-from pagewright.operators.nodes import inside, string_value
+from pagewright.functions.text import utf16_length
+from pagewright.operators.nodes import normal
 
 #: Elements whose content is left out, that are headings, that make text strong, that are lists.
 IGNORED = ("script", "style", "noscript", "svg")
 HEADINGS = ("h1", "h2", "h3", "h4")
 STRONG = ("strong", "b")
 LISTS = ("ul", "ol")
+BLOCK = "struct<kind:string,text:string,depth:int>"
 
 
-def _context(tags: Column) -> Column:
-    """What a node's ancestors below the root mean for it: (in_list, dead, kind, depth, strong).
+def walk(nodes: list[dict], root: int) -> list[dict]:
+    """Blocks (kind, text, depth) below a node, depth only for bullets; none if it has no text. The root's own tag doesn't count.
 
-    in_list: its parent is a list whose children are taken as items whatever their tags; such children aren't looked at by
-    tag, a list directly in such a list isn't one. dead: an ancestor takes its content away.
+    A list's children are items whatever their tags, and a list directly in a list isn't one; loose text in a list is left out.
     """
-    state = F.struct(F.lit(False).alias("in_list"), F.lit(False).alias("dead"), F.lit("paragraph").alias("kind"), F.lit(0).alias("depth"), F.lit(False).alias("strong"))
+    out: list[dict] = []
+    held: list[tuple[str, bool]] = []
 
-    def step(s: Column, raw: Column) -> Column:
-        tag = F.lower(raw)
-        seen = ~s["in_list"]
-        opens = tag.isin(*LISTS) & seen
-        return F.struct(
-            opens.alias("in_list"),
-            (s["dead"] | (seen & tag.isin(*IGNORED, *HEADINGS, "br"))).alias("dead"),
-            F.when(tag == "li", "bullet").when((tag == "p") | ~seen, "paragraph").otherwise(s["kind"]).alias("kind"),
-            (s["depth"] + opens.cast("int")).alias("depth"),
-            (~opens & (s["strong"] | (seen & tag.isin(*STRONG)))).alias("strong"),
-        )
+    def flush(kind: str, depth: int) -> None:
+        text = normal("".join(t for t, _ in held))
+        if text:
+            if kind != "bullet":
+                kind = "heading" if text.endswith(":") or all(strong or not normal(t) for t, strong in held) else "paragraph"
+            out.append({"kind": kind, "text": text, "depth": depth if kind == "bullet" else None})
+        held.clear()
 
-    return F.aggregate(tags, state, step)
-
-
-def walk(rows: DataFrame, key: str, root: str) -> DataFrame:
-    """(key, blocks) for rows (key, nodes, root) whose root isn't null; key must be unique.
-
-    blocks: an array of (kind, text, depth), depth only for bullets; empty where root has no text. The root's own tag doesn't count.
-    """
-    r = F.col(root)
-    node = F.explode(inside(F.col("nodes"), r)).alias("n")
-    content = rows.where(r.isNotNull()).select(key, r["level"].alias("at"), F.when(F.exists("nodes", lambda n: n["tag"].isin(*HEADINGS)), F.col("nodes")).alias("nodes"), node)
-    below = F.slice(F.col("n.tags"), F.col("at") + 2, F.greatest(F.lit(0), F.col("n.level") - F.col("at") - 1))
-    tag = F.lower("n.tag")
-    c = F.col("c")
-    seen = ~c["in_list"]
-    marked = F.col("n.tag").isNotNull() & (~seen | tag.isin(*LISTS, *HEADINGS, "br", "li", "p"))
-    heading = seen & F.coalesce(tag.isin(*HEADINGS), F.lit(False))
-    text = F.when(F.col("n.tag").isNull(), F.when(seen, F.col("n.text"))).when(heading, normalize_text(string_value(F.col("nodes"), F.col("n"))))
-    open_ = F.struct((F.col("n.pre") * 2).alias("pos"), marked.cast("int").alias("mark"), text.alias("text"), heading.alias("heading"), c.alias("c"))
-    # after the last node below it
-    shut = F.struct((F.col("n.last") * 2 + 1).alias("pos"), F.lit(1).alias("mark"), F.lit(None).cast("string").alias("text"), F.lit(False).alias("heading"), c.alias("c"))
-    events = content.withColumn("c", _context(below)).where(~F.col("c.dead"))
-    events = events.select(key, F.explode(F.when(marked, F.array(open_, shut)).otherwise(F.array(open_))).alias("e")).select(key, "e.*")
-    numbered = events.withColumn("block", F.sum("mark").over(Window.partitionBy(key).orderBy("pos", F.desc("mark")).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    texts = numbered.where("text IS NOT NULL")
-    strong = F.col("heading") | F.col("c.strong") | (normalize_text(F.col("text")) == "")
-    piece = F.struct("pos", "text")
-    made = texts.groupBy(key, "block", "heading").agg(
-        F.min("pos").alias("pos"),
-        normalize_text(F.array_join(F.transform(F.array_sort(F.collect_list(piece)), lambda p: p["text"]), "")).alias("text"),
-        F.bool_and(strong).alias("strong"),
-        F.min(F.struct("c.kind", "c.depth")).alias("c"),
-    )
-    bullet = (F.col("c.kind") == "bullet") & ~F.col("heading")
-    kind = F.when(bullet, "bullet").when(F.col("heading") | F.col("strong") | F.col("text").endswith(":"), "heading").otherwise("paragraph")
-    block = F.struct("pos", kind.alias("kind"), "text", F.when(bullet, F.col("c.depth")).alias("depth"))
-    found = made.where("text <> ''").groupBy(key).agg(F.array_sort(F.collect_list(block)).alias("b"))
-    shaped = F.transform("b", lambda b: F.struct(b["kind"].alias("kind"), b["text"].alias("text"), b["depth"].alias("depth")))
-    none = F.array().cast("array<struct<kind:string,text:string,depth:int>>")
-    return rows.where(r.isNotNull()).select(key).join(found.select(key, shaped.alias("blocks")), key, "left").select(key, F.coalesce("blocks", none).alias("blocks"))
+    # of each element that is open: where it ends, whether a block ends with it, and what holds inside
+    inside = [(nodes[root]["last"], True, False, "paragraph", 0, False)]
+    i = root + 1
+    while inside:
+        last, ends, in_list, kind, depth, strong = inside[-1]
+        if i > last:
+            inside.pop()
+            if ends:
+                flush(kind, depth)
+            continue
+        node = nodes[i]
+        i += 1
+        if node["tag"] is None:
+            if not in_list:
+                held.append((node["text"], strong))
+            continue
+        tag = node["tag"].lower()
+        if in_list:
+            inside.append((node["last"], True, False, "bullet" if tag == "li" else "paragraph", depth, False))
+        elif tag in IGNORED:
+            i = node["last"] + 1
+        elif tag == "br" or tag in HEADINGS:
+            flush(kind, depth)
+            if tag != "br":
+                text = normal("".join(n["text"] for n in nodes[i : node["last"] + 1] if n["tag"] is None))
+                if text:
+                    out.append({"kind": "heading", "text": text, "depth": None})
+            i = node["last"] + 1
+        elif tag in LISTS:
+            flush(kind, depth)
+            inside.append((node["last"], False, True, kind, depth + 1, False))
+        elif tag in ("li", "p"):
+            flush(kind, depth)
+            inside.append((node["last"], True, False, "bullet" if tag == "li" else "paragraph", depth, strong))
+        else:
+            inside.append((node["last"], False, False, kind, depth, strong or tag in STRONG))
+    return out
 
 
 def char_count(blocks: Column) -> Column:

@@ -16,18 +16,17 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-NODE = "struct<pre:int,last:int,level:int,parent:int,path:array<int>,tags:array<string>,tag:string,attrs:map<string,string>,text:string>"
+from pagewright.operators.markup import CLOSE, RAW, TEXT, attributes, tokens
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z_][\w:.-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*?)(?P<own>/?)(?:>|\Z)",
-    re.S,
-)
-_ATTR = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NODE = "struct<pre:int,last:int,level:int,parent:int,path:array<int>,tag:string,attrs:map<string,string>,text:string>"
+
+#: Elements deeper than this become siblings, as in browsers: so a node's path is of bounded length.
+DEEPEST = 256
+WS = re.compile("[\t-\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
 #: Elements without content, of plain text, that end a paragraph, and that end one another.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 PLAIN = frozenset("script style textarea title".split())
@@ -38,17 +37,22 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 FENCES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "p": {"button"}}
 
 
-def parse(markup: str, xml: bool = False) -> list[dict]:
+def normal(text: str) -> str:
+    """White space collapsed and trimmed."""
+    return WS.sub(" ", text).strip(" ")
+
+
+def parse(page: str, xml: bool = False) -> list[dict]:
     """Nodes of a page; text nodes have no tag. White space at the very start and end of the page makes no node."""
     nodes: list[dict] = []
     open_: list[int] = []
+    paths: list[list[int]] = [[]]  # of the children of each open element, which share it
+    counts: dict[str, int] = {}  # of open elements by tag
 
     def add(tag: str | None, attrs: dict[str, str], text: str | None) -> int:
-        parent = open_[-1] if open_ else None
-        tags = [] if parent is None else [*nodes[parent]["tags"], nodes[parent]["tag"]]
-        nodes.append({"pre": len(nodes), "last": 0, "level": len(open_), "parent": parent, "path": list(open_), "tags": tags, "tag": tag, "attrs": list(attrs.items()), "text": text})
-        nodes[-1]["last"] = nodes[-1]["pre"]
-        return len(nodes) - 1
+        me = len(nodes)
+        nodes.append({"pre": me, "last": me, "level": len(open_), "parent": open_[-1] if open_ else None, "path": paths[-1], "tag": tag, "attrs": list(attrs.items()), "text": text})
+        return me
 
     def text(raw: str, decode: bool = True) -> None:
         if raw and (open_ or raw.strip()):
@@ -56,9 +60,14 @@ def parse(markup: str, xml: bool = False) -> list[dict]:
 
     def close(to: int) -> None:
         while len(open_) > to:
-            nodes[open_.pop()]["last"] = len(nodes) - 1
+            node = nodes[open_.pop()]
+            paths.pop()
+            node["last"] = len(nodes) - 1
+            counts[node["tag"]] -= 1
 
     def close_tag(tags: set[str], fences: set[str]) -> None:
+        if not any(counts.get(t) for t in tags):
+            return
         for i in range(len(open_) - 1, -1, -1):
             tag = nodes[open_[i]]["tag"]
             if tag in tags:
@@ -67,57 +76,60 @@ def parse(markup: str, xml: bool = False) -> list[dict]:
             if tag in fences:
                 return
 
-    at, n = 0, len(markup)
-    while at < n:
-        m = _TOKEN.search(markup, at)
-        if m is None:
-            text(markup[at:])
-            break
-        text(markup[at : m.start()])
-        at = m.end()
-        if m["cdata"] is not None and xml:
-            text(m["cdata"], decode=False)
-        tag = m["tag"]
-        if tag is None:
-            continue
-        tag = tag if xml else tag.lower()
-        if m["end"]:
-            close_tag({tag}, set())
-            continue
-        if not xml:
-            if tag in ENDS_P:
-                close_tag({"p"}, FENCES["p"])
-            if tag in SIBLINGS:
-                close_tag(SIBLINGS[tag], FENCES[tag])
-        attrs: dict[str, str] = {}
-        for name, *values in _ATTR.findall(m["attrs"]):
-            attrs.setdefault(name if xml else name.lower(), html.unescape("".join(values)))
-        me = add(tag, attrs, None)
-        if (xml and m["own"]) or (not xml and tag in VOID):
-            continue
-        open_.append(me)
-        if not xml and tag in PLAIN:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(markup, at)
-            text(markup[at : end.start() if end else n], decode=tag in ("title", "textarea"))
-            at = end.end() if end else n
-            close(len(open_) - 1)
+    for kind, name, more in tokens(page, frozenset() if xml else PLAIN, xml):
+        if kind == TEXT:
+            text(name)
+        elif kind == RAW:
+            text(name, decode=more in ("title", "textarea"))
+            if more:
+                close(len(open_) - 1)
+        elif kind == CLOSE:
+            close_tag({name}, set())
+        else:
+            if not xml:
+                if name in ENDS_P:
+                    close_tag({"p"}, FENCES["p"])
+                if name in SIBLINGS:
+                    close_tag(SIBLINGS[name], FENCES[name])
+            if len(open_) == DEEPEST:
+                close(DEEPEST - 1)
+            me = add(name, attributes(more, not xml), None)
+            if (xml and more.endswith("/")) or (not xml and name in VOID):
+                continue
+            open_.append(me)
+            paths.append([*nodes[me]["path"], me])
+            counts[name] = counts.get(name, 0) + 1
     close(0)
     return nodes
 
 
+#: Rows and bytes of pages that go to a Python worker at once, and rows that it turns into trees at once.
+BATCH_ROWS, BATCH_BYTES, PIECE_ROWS = 500, 4 << 20, 50
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Keeps Arrow batches small: a tree takes many times the bytes of its page."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, PIECE_ROWS):
+            yield batch.slice(at, PIECE_ROWS)
+
+
 def trees(pages: DataFrame, markup: str = "html", xml: bool = False) -> DataFrame:
     """pages with `nodes`, the array of its nodes, in place of the markup; a null page has none."""
     kept = [c for c in pages.columns if c != markup]
     schema = StructType([*pages.select(*kept).schema.fields, StructField("nodes", DataType.fromDDL(f"array<{NODE}>"))])
-    kinds = pa.list_(
-        pa.struct(
-            [("pre", pa.int32()), ("last", pa.int32()), ("level", pa.int32()), ("parent", pa.int32()), ("path", pa.list_(pa.int32())), ("tags", pa.list_(pa.string()))]
-            + [("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())]
-        )
-    )
+    places = [(x, pa.int32()) for x in ("pre", "last", "level", "parent")]
+    kinds = pa.list_(pa.struct([*places, ("path", pa.list_(pa.int32())), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())]))
+
+    bounded_batches(pages.sparkSession)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             made = pa.array([parse(x or "", xml) for x in batch.column(len(kept)).to_pylist()], kinds)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], made], names=[*kept, "nodes"])
 

@@ -16,12 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from pagewright.operators.nodes import NODE, parse
+from pagewright.operators.blocks import BLOCK, walk
+from pagewright.operators.nodes import bounded_batches, normal, parse, pieces
 
 FACT = "struct<matched:int,value:string,pre:int,last:int,level:int>"
 
 _PART = re.compile(r"""\s*(?:(\*|[a-zA-Z][\w-]*)|\.([\w-]+)|\#([\w-]+)|\[([\w-]+)(?:([\^$*]?=)"([^"]*)")?\])""")
-_WS = re.compile("[\t-\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
 
 Node = dict
 Test = Callable[[Node, dict[str, str]], bool]
@@ -90,10 +90,6 @@ class Page:
         return any(self.matches(i, chains) for i in (*self.nodes[at]["path"], at))
 
 
-def normal(text: str) -> str:
-    return _WS.sub(" ", text).strip(" ")
-
-
 @lru_cache(maxsize=256)
 def compiled(selector: str) -> tuple[tuple[Test, ...], ...]:
     """Chains of tests of a selector's alternatives."""
@@ -161,30 +157,39 @@ def apply(rule: Rule, page: Page) -> tuple[int, str | None, int | None]:
     return len(at), value, chosen
 
 
-def root_of(page: Page, selectors: Sequence[str], ancestor_of: str) -> int:
+def root_of(page: Page, selectors: Sequence[str], ancestor_of: str | None) -> int:
     """The first element of the first selector that has one, else the nearest common ancestor of ancestor_of's, else the page."""
     for s in selectors:
         if found := page.all(s, -1):
             return found[0]
-    paths = [page.nodes[i]["path"] for i in page.all(ancestor_of, -1)]
+    paths = [page.nodes[i]["path"] for i in page.all(ancestor_of, -1)] if ancestor_of else []
     shared = set(paths[0]).intersection(*paths[1:]) if paths else set()
     return max(shared, default=-1)
 
 
-def read(pages: DataFrame, rules: Sequence[Rule], roots: Sequence[str], ancestor_of: str, params: Sequence[str], scripts: str, xml: bool = False) -> DataFrame:
-    """pages (html, ...) with `facts` (rule name to FACT), `scripts` (texts of the elements of that selector) and `nodes`, in place of html.
-
-    params: string columns that selectors and rules refer to, null as empty. A page whose html is null has no nodes.
+def read(
+    pages: DataFrame,
+    rules: Sequence[Rule],
+    roots: Sequence[str] = (),
+    ancestor_of: str | None = None,
+    params: Sequence[str] = (),
+    scripts: str | None = None,
+    walks: dict[str, Sequence[str]] | None = None,
+    xml: bool = False,
+) -> DataFrame:
+    """pages (html, ...) with `facts` (rule name to FACT), `scripts` (texts of the elements of that selector) and `walked`, in place of html.
+
+    params: string columns that selectors and rules refer to, null as empty. walks: for each name the rules whose first find is
+    the element that is walked; walked holds its blocks under that name, none for an element without text, null without an
+    element. All in one pass over the page, which is parsed once; a page whose html is null has no elements.
     """
     kept = [c for c in pages.columns if c != "html"]
-    added = [("facts", f"map<string,{FACT}>"), ("scripts", "array<string>"), ("nodes", f"array<{NODE}>")]
+    added = [("facts", f"map<string,{FACT}>"), ("scripts", "array<string>"), ("walked", f"map<string,array<{BLOCK}>>")]
     schema = StructType([*pages.select(*kept).schema.fields, *(StructField(n, DataType.fromDDL(t)) for n, t in added)])
     fact = pa.struct([("matched", pa.int32()), ("value", pa.string()), ("pre", pa.int32()), ("last", pa.int32()), ("level", pa.int32())])
-    node = pa.struct(
-        [("pre", pa.int32()), ("last", pa.int32()), ("level", pa.int32()), ("parent", pa.int32()), ("path", pa.list_(pa.int32())), ("tags", pa.list_(pa.string()))]
-        + [("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("text", pa.string())]
-    )
-    rules, roots, params = tuple(rules), tuple(roots), tuple(params)
+    block = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string()), ("depth", pa.int32())]))
+    rules, roots, params, walks = tuple(rules), tuple(roots), tuple(params), dict(walks or {})
+    bounded_batches(pages.sparkSession)
 
     def one(html: str | None, values: dict[str, str]):
         nodes = parse(html or "", xml)
@@ -196,14 +201,19 @@ def read(pages: DataFrame, rules: Sequence[Rule], roots: Sequence[str], ancestor
         for rule in rules:
             n, value, at = apply(rule, page)
             facts.append((rule.name, {"matched": n, "value": value} | {k: None if at is None else nodes[at][k] for k in ("pre", "last", "level")}))
-        return facts, [page.text(i) for i in page.all(scripts, -1)], nodes
+        walked = []
+        for name, ordered in walks.items():
+            at = next((page.found[r] for r in ordered if page.found[r] is not None), None)
+            if at is not None:
+                walked.append((name, walk(nodes, at)))
+        return facts, [page.text(i) for i in page.all(scripts, -1)] if scripts else [], walked
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             table = batch.to_pydict()
             made = [one(table["html"][i], {p: table[p][i] or "" for p in params}) for i in range(batch.num_rows)]
-            facts, scripts_, nodes = zip(*made, strict=True) if made else ((), (), ())
-            cols = [pa.array(facts, pa.map_(pa.string(), fact)), pa.array(scripts_, pa.list_(pa.string())), pa.array(nodes, pa.list_(node))]
+            facts, scripts_, walked = zip(*made, strict=True) if made else ((), (), ())
+            cols = [pa.array(facts, pa.map_(pa.string(), fact)), pa.array(scripts_, pa.list_(pa.string())), pa.array(walked, pa.map_(pa.string(), block))]
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), *cols], names=schema.names)
 
     return pages.select(*kept, F.col("html").cast("string").alias("html")).mapInArrow(run, schema)

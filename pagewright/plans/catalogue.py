@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import atoms, privacy, text, urls
-from pagewright.operators import blocks, decide, nodes
+from pagewright.operators import blocks, decide, nodes, rules
 
 WS = text.WS
 _found: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -191,15 +191,15 @@ kept AS (SELECT *, CASE WHEN contains(raw, '<h1>') OR starts_with(raw, '<b>') OR
 """
 
 
-def _walked(spark, d) -> DataFrame:
-    n = F.col("nodes")
-    rows = _pages(spark, d).withColumn("root", nodes.first(nodes.select(n, nodes.root_of(n), nodes.tag_is("article"))))
-    return blocks.walk(rows, "page_id", "root")
+def _walked(rows: DataFrame) -> DataFrame:
+    """rows (html, ...) with `blocks`, those of the first article, in place of html."""
+    found = rules.read(rows, [rules.Rule("article", "article", scope="document")], walks={"article": ["article"]})
+    return found.withColumn("blocks", F.col("walked")["article"]).drop("facts", "scripts", "walked")
 
 
 @query(_BLOCKS_SQL + "SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY nth) - 1 AS INT) AS pos, kind, text, CAST(NULL AS INT) AS depth FROM kept")
 def blocks_of_pages(spark, d):
-    return _walked(spark, d).select("page_id", F.posexplode("blocks").alias("pos", "b")).select("page_id", "pos", "b.kind", "b.text", "b.depth")
+    return _walked(table(spark, d, "pages").select("page_id", "html")).select("page_id", F.posexplode("blocks").alias("pos", "b")).select("page_id", "pos", "b.kind", "b.text", "b.depth")
 
 
 _POSTING_SQL = _BLOCKS_SQL + f""", sizes AS (SELECT page_id, count(*) AS n, sum(length(text)) AS chars FROM kept GROUP BY page_id),
@@ -213,8 +213,8 @@ postings AS (SELECT p.page_id, {TITLE_SQL} AS title, coalesce(s.n, 0) AS n_block
 def _postings(spark, d) -> DataFrame:
     rows = table(spark, d, "pages")
     url = F.col("url")
-    read = rows.select("page_id", urls.path(url).rlike("^/(en|fr|de)/").alias("ours"), urls.identity(url, "page", "(?!)").alias("id"), text.document_title(F.col("html")).alias("title"))
-    found = read.join(_walked(spark, d), "page_id", "left")
+    read = rows.select("page_id", "html", urls.path(url).rlike("^/(en|fr|de)/").alias("ours"), urls.identity(url, "page", "(?!)").alias("id"), text.document_title(F.col("html")).alias("title"))
+    found = _walked(read)
     n, chars = F.coalesce(F.size("blocks"), F.lit(0)).cast("long"), F.coalesce(blocks.char_count(F.col("blocks")), F.lit(0))
     failure = (
         F.when(~F.coalesce("ours", F.lit(False)), "not_a_page").when(F.col("id.job_id") == "", "no_id").when(F.col("title") == "", "no_title").when((chars < 300) | (n < 3), "description_too_short")

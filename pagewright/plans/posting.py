@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagewright.functions.text import document_title, title_parts
 from pagewright.functions.urls import guard, identity
 from pagewright.operators import jsonld
-from pagewright.operators.blocks import char_count, walk
+from pagewright.operators.blocks import char_count
 from pagewright.operators.fallback import HIT, field, pick, tried
 from pagewright.operators.rules import Rule, read
 
@@ -90,15 +90,15 @@ RULES = (
 def extract(pages: DataFrame, xml: bool = False) -> DataFrame:
     """pages (page_id, url, html) to (page_id, ok, failure, layout, url, pane_job_id, title, company, location, workplace_type, description, health).
 
-    failure is the first reason of a fixed order; what comes after it in that order is null, what came before stays. page_id
-    must be unique. Null URLs and pages are refused like bad ones; an empty table gives no rows.
+    failure is the first reason of a fixed order; what comes after it in that order is null, what came before stays. Rows that
+    repeat stay. Null URLs and pages are refused like bad ones; an empty table gives no rows.
     """
     ident = F.when(guard(F.col("url")), identity(F.col("url"))).otherwise(F.struct(F.lit("").alias("job_id"), F.lit("path").alias("source")))
     parts = title_parts(document_title(F.col("html")))
     rows = pages.select("page_id", guard(F.col("url")).alias("guarded"), ident.alias("url"), parts.alias("seg"), "html")
     rows = rows.select("*", F.col("url.job_id").alias("job_id"), F.col("seg.first").alias("segment"))
     # sdui roots only scope sdui pages: on others no such element exists, and the page itself is the root
-    rows = read(rows, RULES, SDUI_ROOTS, LAYOUTS[2][1], ("job_id", "segment"), JSONLD, xml)
+    rows = read(rows, RULES, SDUI_ROOTS, LAYOUTS[2][1], ("job_id", "segment"), JSONLD, {lay: [r for r, _ in steps] for lay, steps in BOXES.items()}, xml)
     job_id = F.col("job_id")
     docs = F.filter(F.transform("scripts", F.try_parse_json), lambda v: v.isNotNull())
     rows = rows.withColumn("json", F.when(job_id != "", jsonld.job(docs, job_id, F.col("segment"))))
@@ -126,8 +126,7 @@ def extract(pages: DataFrame, xml: bool = False) -> DataFrame:
         return F.concat(F.lit(s.split("{job_id}")[0]), job_id, F.lit(s.split("{job_id}")[1])) if "{job_id}" in s else F.lit(s)
 
     def box(lay: str) -> Column:
-        node = lambda r: F.struct(*(F.col("facts")[r][x].alias(x) for x in ("pre", "last", "level")))
-        return F.coalesce(*(F.when(F.col("facts")[r]["pre"].isNotNull(), F.struct(label(s).alias("selector"), node(r).alias("node"))) for r, s in BOXES[lay]))
+        return F.coalesce(*(F.when(F.col("facts")[r]["pre"].isNotNull(), F.struct(label(s).alias("selector"))) for r, s in BOXES[lay]))
 
     rows = rows.withColumn("box", by(box))
     for name, steps in FIELDS.items():
@@ -143,8 +142,7 @@ def extract(pages: DataFrame, xml: bool = False) -> DataFrame:
         .when(F.col("box").isNull(), "no_description")
     )
     rows = rows.withColumn("early", early)
-    body = F.when(F.col("early").isNull(), F.col("box.node"))
-    rows = rows.join(walk(rows.select("page_id", "nodes", body.alias("r")), "page_id", "r"), "page_id", "left")
+    rows = rows.withColumn("blocks", F.when(F.col("early").isNull(), by(lambda lay: F.col("walked")[lay])))
     lead = F.get("blocks", F.lit(0))
     chrome = ~sdui & (lead["kind"] == "heading") & (F.lower(lead["text"]) == CHROME_HEADING)
     rows = rows.withColumn("blocks", F.when(chrome, F.slice("blocks", 2, F.size("blocks"))).otherwise(F.col("blocks"))).withColumn("chars", char_count(F.col("blocks")))

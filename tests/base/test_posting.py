@@ -53,7 +53,8 @@ CASES = {
     "low pair": (URL, sdui(key=101, title="Elsewhere | Acme | Site", about="x.other").replace('<div data-testid', '<i></i></div><div data-testid'), "low_confidence_fields"),
     "ld only": (URL, ld(title="T", identifier={"value": "101"}), "no_description"),
     "ld of another job": (URL, ld(title="T", identifier="999"), "unknown_layout"),
-    "no title": (URL, classic().replace("h1", "h6"), "stale_pane"),
+    "classic without its link": (URL, classic().replace("h1", "h6"), "stale_pane"),
+    "no title": (URL, classic().replace("h1", "h6") + '<button class="jobs-apply-button" data-job-id="101">Apply</button>', "no_title"),
 }
 
 
