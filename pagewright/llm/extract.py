@@ -1,13 +1,16 @@
 """Main text of web pages by minimum-cut labelling.
 
-A page becomes a list of text blocks. A logistic classifier gives each the cost of being content and of being boilerplate,
-which are its capacities to source and sink. Blocks that follow each other, and blocks of the same parent element, are tied
-by smoothness edges whose capacity grows with the share of ancestors they have in common. The minimum cut, found by
-maximum flow, labels all blocks at once.
-
-The classifier is fitted on blocks of a bounded sample of pages that carry their label in the markup (inside an article; or
-inside navigation, a footer and the like), with that evidence hidden at random, so that wording and links get weights too.
-PRIOR is the mean of a Gaussian prior, and stands where the sample says nothing.
+A page becomes a graph: a node for each text block, and one for each region, an element whose tag, role, class or id tells
+content or boilerplate. A logistic classifier of a block's own text (words, links, sentence, heading, item) gives it the costs
+of the two labels, which are its capacities to source and sink; it doesn't see where the block stands. A region's capacity is
+its cue's, for each of its blocks. Smoothness edges tie a block to the region that it is in, regions to the regions around
+them, blocks that follow each other (the more the nearer they are in the tree) and blocks of the same parent. The minimum cut, found
+by maximum flow, labels all at once: what a page marks reaches its blocks through the edges only, and where it marks nothing
+uncertain blocks follow their neighbours.
+
+The classifier is fitted on blocks of a bounded sample of pages whose region tells their label. PRIOR is the mean of a Gaussian
+prior, and stands where the sample says nothing. Forms and headers that hold most of a page's long blocks are wrappers: their
+cue and the edges to it fade with that share.
 """
 
 from __future__ import annotations
@@ -26,12 +29,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.llm.common import bounded_batches, first_by_hash
+from pagewright.operators.markup import CLOSE, OPEN, RAW, TEXT, attributes, tokens
 
 SAMPLE_PAGES = 1500
 BLOCKS_PER_PAGE = 40
-SMOOTH = 0.6
-SIBLING = 0.3
-LIMIT = 8.0
+#: Capacities of edges: blocks that follow each other, of the same parent, block and region, region and outer region.
+SMOOTH, SIBLING, REGION, OUTER = 1.0, 0.2, 5.0, 1.0
+#: What a block's text may count for, and each block of a region for its cue.
+LIMIT = 3.5
+GOOD, GOOD_WORD, BAD = 4.0, 1.5, -6.0
+#: Words of a long block. Elements deeper than DEEPEST become siblings, as in browsers.
+LONG = 15
+DEEPEST = 256
 
 #: Elements that end a block, whose text isn't text, that hold content or boilerplate; words of class and id.
 BLOCK = frozenset(
@@ -40,7 +49,7 @@ BLOCK = frozenset(
     "tfoot th thead tr ul video audio".split()
 )
 VOID = frozenset("br hr".split())
-RAW = "script|style|noscript|template|title|textarea|svg|iframe|canvas|object|math"
+RAWS = frozenset("script style noscript template title textarea svg iframe canvas object math".split())
 GOOD_TAGS = frozenset("article main".split())
 BAD_TAGS = frozenset("nav footer header aside form menu dialog button select fieldset search option label legend".split())
 GOOD_WORDS = frozenset("article content contents entry main post story text body prose".split())
@@ -51,32 +60,31 @@ BAD_WORDS = frozenset(
     "tags toolbar widget widgets".split()
 )
 BAD_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert".split())
+WRAPPERS = frozenset("form header".split())
 #: (feature, prior mean)
-PRIOR = (("bias", -1.0), ("words", 0.6), ("links", -3.0), ("sentence", 1.0), ("heading", 0.5), ("item", -0.5), ("good", 3.5), ("good_words", 1.5), ("bad", -11.0), ("rights", -2.0))
-NAMES = tuple(n for n, _ in PRIOR)
-#: Features that carry the label of a training block.
-EVIDENCE = ("good", "good_words", "bad")
-
-_TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</(?P=raw)\s*>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)",
-    re.S | re.I,
-)
-_CUE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+PRIOR = (("bias", -1.0), ("words", 1.0), ("links", -3.0), ("sentence", 1.0), ("heading", 0.5), ("item", -0.5), ("rights", -2.0))
+
 _LETTERS = re.compile(r"[a-zA-Z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 _NO_P = BLOCK - VOID - {"label", "button", "legend", "option"}
 
 
+@dataclass
+class Region:
+    """cue: what each block of it counts; tag; the region around it."""
+
+    cue: float
+    tag: str
+    outer: Region | None
+
+
 @dataclass
 class Element:
     tag: str
     depth: int
     parent: Element | None
-    good: bool
-    good_words: bool
-    bad: bool
+    region: Region | None
 
 
 @dataclass
@@ -87,19 +95,27 @@ class Block:
     chars: int = 0
 
 
+def _cue(tag: str, attrs: str) -> float:
+    if tag in BAD_TAGS:
+        return BAD
+    found = GOOD if tag in GOOD_TAGS else 0.0
+    if attrs and tag not in ("html", "body"):
+        own = attributes(attrs)
+        if set(own.get("role", "").lower().split()) & BAD_ROLES:
+            return BAD
+        words = {w.lower() for w in _LETTERS.findall(_CAMEL.sub(" ", own.get("class", "") + " " + own.get("id", "")))}
+        if not found and words & BAD_WORDS:
+            return BAD
+        if not found and words & GOOD_WORDS:
+            found = GOOD_WORD
+    return found
+
+
 def _element(tag: str, attrs: str, parent: Element | None) -> Element:
-    good, good_words, bad = tag in GOOD_TAGS, False, tag in BAD_TAGS
-    if parent is not None:
-        good, good_words, bad = good or parent.good, parent.good_words, bad or parent.bad
-    if attrs and not bad:
-        for kind, *values in _CUE.findall(attrs):
-            words = {w.lower() for w in _LETTERS.findall(_CAMEL.sub(" ", "".join(values)))}
-            if kind.lower() == "role":
-                bad = bad or bool(words & BAD_ROLES)
-            elif tag not in ("html", "body", "article", "main"):
-                bad = bad or bool(words & BAD_WORDS)
-                good_words = good_words or bool(words & GOOD_WORDS)
-    return Element(tag, 0 if parent is None else parent.depth + 1, parent, good, good_words, bad)
+    region, cue = parent.region if parent is not None else None, _cue(tag, attrs)
+    if cue:
+        region = Region(cue, tag, region)
+    return Element(tag, 0 if parent is None else parent.depth + 1, parent, region)
 
 
 def blocks(page: str) -> list[tuple[Block, str]]:
@@ -108,48 +124,40 @@ def blocks(page: str) -> list[tuple[Block, str]]:
     Open elements end where HTML ends them: a paragraph at the next block, an item at the next item; an end tag closes what
     is open inside its element; end tags of nothing and unfinished tags are left out.
     """
-    root = _element("html", "", None)
-    here, out, link = root, [], False
+    here, out, link = _element("html", "", None), [], False
     now = Block(here)
-
-    def text(raw: str) -> None:
-        if raw:
-            s = html.unescape(raw) if "&" in raw else raw
+    for kind, name, more in tokens(page, RAWS):
+        if kind == TEXT:
+            s = html.unescape(name) if "&" in name else name
             now.text.append(s)
             n = len(s.strip())
             now.chars += n
             now.link_chars += n * link
-
-    at = 0
-    for m in _TOKEN.finditer(page):
-        text(page[at : m.start()])
-        at = m.end()
-        tag = m["tag"]
-        if tag is None:
             continue
-        tag = tag.lower()
-        if tag not in BLOCK:
-            if tag == "a":
-                link = not m["end"]
+        if kind == RAW:
+            continue
+        if name not in BLOCK:
+            if name == "a":
+                link = kind == OPEN
             continue
         if now.text:
             out.append(now)
         link = False
-        if m["end"]:
+        if kind == CLOSE:
             up = here
-            while up is not None and up.tag != tag:
+            while up is not None and up.tag != name:
                 up = up.parent
             if up is not None and up.parent is not None:
                 here = up.parent
-        elif tag not in VOID and tag not in ("html", "body"):
-            if tag in _NO_P and here.tag == "p":
+        elif name not in VOID and name not in ("html", "body"):
+            if name in _NO_P and here.tag == "p":
+                here = here.parent
+            if here.tag in _CLOSES.get(name, ()):
                 here = here.parent
-            if here.tag in _CLOSES.get(tag, ()):
+            if here.depth == DEEPEST:
                 here = here.parent
-            if not m["attrs"].endswith("/"):
-                here = _element(tag, m["attrs"], here)
+            here = _element(name, more, here)
         now = Block(here)
-    text(page[at:])
     out.append(now)
     found = ((b, " ".join("".join(b.text).split())) for b in out)
     return [(b, t) for b, t in found if t]
@@ -161,26 +169,18 @@ def features(b: Block, text: str) -> tuple[float, ...]:
         1.0,
         math.log1p(text.count(" ") + 1) / 2,
         b.link_chars / max(1, b.chars),
-        float(text[-1] in ".!?…\"'”»" and " " in text),
+        float(text[-1] in ".!?…\"'”»。！？" and len(text) > 20),
         float(len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()),
         float(tag in ("li", "td", "th", "dt", "dd")),
-        float(b.element.good),
-        float(b.element.good_words),
-        float(b.element.bad),
         float("©" in text or "all rights reserved" in text.lower()),
     )
 
 
-def fit(x: np.ndarray, y: np.ndarray, seed: int = 3) -> np.ndarray:
-    """Logistic weights near PRIOR, by gradient descent; the evidence features are hidden in half of the rows."""
+def fit(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic weights near PRIOR, by gradient descent."""
     prior = np.array([v for _, v in PRIOR])
-    if not len(x):
-        return prior
-    x = x.copy()
-    hide = np.random.default_rng(seed).random(len(x)) < 0.5
-    x[np.ix_(hide, [NAMES.index(n) for n in EVIDENCE])] = 0
     w = prior.copy()
-    for _ in range(300):
+    for _ in range(300 if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         w -= 0.5 * (x.T @ (p - y) / len(x) + 0.02 * (w - prior))
     return w
@@ -224,68 +224,145 @@ def min_cut(gain: list[float], edges: dict[tuple[int, int], float]) -> list[bool
 
 
 def _flow(part: list[int], gain: list[float], near: list[dict[int, float]]) -> set[int]:
-    """The nodes on the source's side of a minimum cut."""
-    source, sink = -1, -2
-    rest: dict[int, dict[int, float]] = {i: dict(near[i]) for i in part}
-    rest[source], rest[sink] = {}, {}
-    for i in part:
-        if gain[i] > 0:
-            rest[source][i], rest[i][source] = gain[i], 0.0
+    """The nodes on the source's side of a minimum cut: flow is sent by shortest paths, level by level."""
+    source, sink = len(part), len(part) + 1
+    number = {x: i for i, x in enumerate(part)}
+    edges: list[list[int]] = [[] for _ in range(len(part) + 2)]
+    to: list[int] = []
+    room: list[float] = []
+
+    def join(a: int, b: int, there: float, back: float) -> None:
+        edges[a].append(len(to))
+        edges[b].append(len(to) + 1)
+        to.extend((b, a))
+        room.extend((there, back))
+
+    for x, i in number.items():
+        if gain[x] > 0:
+            join(source, i, gain[x], 0.0)
         else:
-            rest[i][sink], rest[sink][i] = -gain[i], 0.0
+            join(i, sink, -gain[x], 0.0)
+        for y, w in near[x].items():
+            if number[y] > i:
+                join(i, number[y], w, w)
     while True:
-        back, queue = {source: source}, deque([source])
-        while queue and sink not in back:
+        level = [-1] * len(edges)
+        level[source] = 0
+        queue = deque([source])
+        while queue:
             i = queue.popleft()
-            for j, w in rest[i].items():
-                if w > 1e-12 and j not in back:
-                    back[j] = i
-                    queue.append(j)
-        if sink not in back:
-            return set(back)
-        path, j = [], sink
-        while j != source:
-            path.append((back[j], j))
-            j = back[j]
-        least = min(rest[i][j] for i, j in path)
-        for i, j in path:
-            rest[i][j] -= least
-            rest[j][i] = rest[j].get(i, 0.0) + least
-
-
-def _shared(a: Element, b: Element) -> float:
-    """Ancestors in common, over those of the deeper one."""
-    deepest = max(a.depth, b.depth) + 1
+            for e in edges[i]:
+                if room[e] > 1e-9 and level[to[e]] < 0:
+                    level[to[e]] = level[i] + 1
+                    queue.append(to[e])
+        if level[sink] < 0:
+            return {x for x, i in number.items() if level[i] >= 0}
+        at = [0] * len(edges)
+        path: list[int] = []
+        here = source
+        while True:
+            if here == sink:
+                least = min(room[e] for e in path)
+                for e in path:
+                    room[e] -= least
+                    room[e ^ 1] += least
+                full = next(k for k, e in enumerate(path) if room[e] <= 1e-9)
+                here = to[path[full] ^ 1]
+                del path[full:]
+                continue
+            own = edges[here]
+            while at[here] < len(own) and not (room[own[at[here]]] > 1e-9 and level[to[own[at[here]]]] == level[here] + 1):
+                at[here] += 1
+            if at[here] < len(own):
+                path.append(own[at[here]])
+                here = to[path[-1]]
+            elif path:
+                here = to[path.pop() ^ 1]
+                at[here] += 1
+            else:
+                break
+
+
+def _closeness(a: Element, b: Element) -> float:
+    """1 for the same element and for children of one; less by the square of the steps between them in the tree."""
+    steps = 0
     while a is not b:
+        steps += 1
         if a.depth >= b.depth:
             a = a.parent
         else:
             b = b.parent
-    return (a.depth + 1) / deepest
+    return 1 / max(1, steps - 1) ** 2
 
 
-def extract(page: str | None, weights: np.ndarray) -> str:
-    """The content blocks of a page, joined by one space; empty if there are none, or the page is null."""
-    found = blocks(page or "")
+def graph(found: list[tuple[Block, str]], weights: np.ndarray) -> tuple[list[float], dict[tuple[int, int], float]]:
+    """(gain of being content, capacities of edges) of the blocks, then the regions."""
     w = weights.tolist()
     gain = [max(-LIMIT, min(LIMIT, sum(p * q for p, q in zip(w, features(b, t), strict=True)))) for b, t in found]
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
-    for i, (b, _) in enumerate(found):
+    number: dict[int, int] = {}
+    held: list[list] = []  # regions, their blocks, the long ones of all inside
+    inside: list[tuple[int, int]] = []
+    long_blocks = 0
+
+    def node(region: Region) -> int:
+        """The region's number; those around it get theirs, too."""
+        first = None
+        inner = None
+        while region is not None:
+            i = number.get(id(region))
+            new = i is None
+            if new:
+                i = number[id(region)] = len(held)
+                held.append([region, 0, 0])
+            first = i if first is None else first
+            if inner is not None:
+                edges[len(found) + inner, len(found) + i] = OUTER
+            if not new:
+                break
+            inner, region = i, region.outer
+        return first
+
+    for i, (b, t) in enumerate(found):
         if i:
-            edges[i - 1, i] = SMOOTH * _shared(found[i - 1][0].element, b.element)
+            edges[i - 1, i] = SMOOTH * _closeness(found[i - 1][0].element, b.element)
         parent = id(b.element.parent)
         if parent in last:
             edges[last[parent], i] = edges.get((last[parent], i), 0) + SIBLING
         last[parent] = i
-    return " ".join(t for (_, t), keep in zip(found, min_cut(gain, edges), strict=True) if keep)
+        is_long = t.count(" ") + 1 >= LONG
+        long_blocks += is_long
+        if b.element.region is not None:
+            r = node(b.element.region)
+            inside.append((i, r))
+            held[r][1] += 1
+            up = b.element.region
+            while is_long and up is not None:
+                held[number[id(up)]][2] += 1
+                up = up.outer
+    weight = [1 - many / long_blocks if region.tag in WRAPPERS and long_blocks else 1.0 for region, _, many in held]
+    for i, r in inside:
+        edges[i, len(found) + r] = REGION * weight[r]
+    return gain + [region.cue * n * v for (region, n, _), v in zip(held, weight, strict=True)], edges
+
+
+def extract(page: str | None, weights: np.ndarray) -> str:
+    """The content blocks of a page, joined by one space; empty if there are none, or the page is null."""
+    found = blocks(page or "")
+    kept = min_cut(*graph(found, weights))
+    return " ".join(t for (_, t), keep in zip(found, kept, strict=False) if keep)
 
 
 def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = []
         for page in batch.column(0).to_pylist():
-            rows = [(zlib.crc32(t.encode("utf-8", "surrogatepass")), features(b, t)) for b, t in blocks(page or "") if b.element.good or b.element.bad]
+            rows = []
+            for b, t in blocks(page or ""):
+                cue = b.element.region.cue if b.element.region else 0
+                if cue in (GOOD, BAD):
+                    rows.append((zlib.crc32(t.encode("utf-8", "surrogatepass")), (*features(b, t), float(cue > 0))))
             made.append(np.array([r for _, r in sorted(rows)[:BLOCKS_PER_PAGE]], np.float32).tobytes())
         yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["x"])
 
@@ -296,8 +373,8 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> np.ndarray:
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
     ids = first_by_hash(own.select("page_id").where("page_id IS NOT NULL").distinct(), "page_id", sample)
     rows = own.join(F.broadcast(ids), "page_id", "left_semi").select("html").mapInArrow(_labelled, "x binary").collect()
-    x = np.frombuffer(b"".join(sorted(bytes(r.x) for r in rows)), np.float32).reshape(-1, len(PRIOR)).astype(float)
-    return fit(x, (x[:, NAMES.index("bad")] == 0).astype(float))
+    x = np.frombuffer(b"".join(sorted(bytes(r.x) for r in rows)), np.float32).reshape(-1, len(PRIOR) + 1).astype(float)
+    return fit(x[:, :-1], x[:, -1])
 
 
 def main_text(pages: DataFrame, weights: np.ndarray) -> DataFrame:
@@ -318,4 +395,5 @@ def main_text(pages: DataFrame, weights: np.ndarray) -> DataFrame:
 
 
 def extraction(pages: DataFrame) -> DataFrame:
+    """main_text of pages with weights fitted on a sample of them; without rows to fit on PRIOR stands. Cases as in main_text."""
     return main_text(pages, train(pages))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -252,6 +253,72 @@ def test_main_text(spark):
     assert extract.extraction(pages.limit(0)).count() == 0
 
 
+def labelled_pages(rng, n):
+    """Pages as lists of (markup before, text, markup after, content or not): half mark nothing, a third are wrapped in one form."""
+    sentence = lambda: " ".join("".join(rng.choice("etaoin") for _ in range(rng.randint(2, 7))) for _ in range(rng.randint(14, 40))).capitalize() + "."
+    word = lambda: "".join(rng.choice("etaoin") for _ in range(rng.randint(2, 7))).capitalize()
+    for i in range(n):
+        marked, wrapped = i % 2 == 1, i % 3 == 0
+        tag = lambda name: name if marked else "div"  # noqa: E731, B023
+        menu = [(f"<{tag('nav')}><ul>" * (k == 0) + '<li><a href="/">', word(), "</a></li>" + f"</ul></{tag('nav')}>" * (k == 4), False) for k in range(5)]
+        body = [("<h1>", word() + " " + word(), "</h1>", True)]
+        body += [("<p>", word() if rng.random() < 0.25 else sentence(), "</p>", True) for _ in range(rng.randint(6, 12))]
+        if marked:
+            body.insert(4, ('<div class="ad">', sentence(), "</div>", False))
+        foot = [(f"<{tag('footer')}>", "© " + word() + " 2024", f"</{tag('footer')}>", False)]
+        first, *rest = body
+        *rest, final = rest
+        body = [("<div>" + first[0], *first[1:]), *rest, (*final[:2], final[2] + "</div>", final[3])]
+        yield [("<form>" * wrapped, "", "", None), *menu, *body, *foot, ("", "", "</form>" * wrapped, None)]
+
+
+def test_the_cut_is_better_than_its_parts():
+    """Errors of the cut, of each block's own sign, and of the rule that takes all but what the markup names as boilerplate."""
+    weights = extract.fit(np.zeros((0, len(extract.PRIOR))), np.zeros(0))
+    total, wrong = 0, {"cut": 0, "own sign": 0, "tags": 0}
+    changed = 0
+    for parts in labelled_pages(random.Random(5), 120):
+        found = extract.blocks("".join(a + t + b for a, t, b, _ in parts))
+        truth = [c for _, t, _, c in parts if t]
+        assert len(found) == len(truth)
+        gain, edges = extract.graph(found, weights)
+        cut = extract.min_cut(gain, edges)[: len(found)]
+        sign = [g > 0 for g in gain[: len(found)]]
+        tags = [b.element.region is None or b.element.region.cue > 0 for b, _ in found]
+        total += len(truth)
+        changed += sum(c != s for c, s in zip(cut, sign, strict=True))
+        for name, own in (("cut", cut), ("own sign", sign), ("tags", tags)):
+            wrong[name] += sum(a != b for a, b in zip(own, truth, strict=True))
+    assert changed > 0.05 * total
+    assert wrong["cut"] < 0.5 * wrong["own sign"] and wrong["cut"] < 0.2 * wrong["tags"] and wrong["cut"] < 0.05 * total, (total, wrong)
+
+
+@pytest.mark.parametrize("piece", ["<a x", '<a x="', "<div>", "<div><p>x</p>", "<p>ab</p>", "<p>one two three four five six seven eight nine ten.</p>", "<nav>", "</p>"])
+def test_hostile_pages_take_linear_time(piece):
+    weights = extract.fit(np.zeros((0, len(extract.PRIOR))), np.zeros(0))
+
+    def seconds(n):
+        at = time.process_time()
+        extract.extract(piece * (n // len(piece)) + "\"", weights)
+        return time.process_time() - at
+
+    assert seconds(1 << 20) < max(1.0, 40 * min(seconds(1 << 16), seconds(1 << 16)))
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p data-x=it's>Hello, don't stop here.</p></article>", "Hello, don't stop here."),
+        ("""<article><p title='a "quoted" > b'>x y</p></article>""", "x y"),
+        ('<article><p>seen</p><p title="never closed>lost</p></article>', "seen"),
+        ("<form><header><a>x</a></header><article><p>In a form.</p><aside>no</aside></article></form>", "In a form."),
+        ("<article><p>a &lt;b&gt; c<br>d</p><section class='commentList'><div><p>Nice and long, and well said by all of you who came along today.</p></div></section></article>", "a <b> c d"),
+    ],
+)
+def test_markup_of_pages(page, text):
+    assert extract.extract(page, extract.fit(np.zeros((0, len(extract.PRIOR))), np.zeros(0))) == text
+
+
 # --- decontamination
 
 
