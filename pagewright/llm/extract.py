@@ -364,7 +364,7 @@ def _labelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if cue in (GOOD, BAD):
                     rows.append((zlib.crc32(t.encode("utf-8", "surrogatepass")), (*features(b, t), float(cue > 0))))
             made.append(np.array([r for _, r in sorted(rows)[:BLOCKS_PER_PAGE]], np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], names=["x"])
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(1)], names=["x", "page_id"])
 
 
 def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> np.ndarray:
@@ -372,7 +372,8 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> np.ndarray:
     bounded_batches(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
     ids = first_by_hash(own.select("page_id").where("page_id IS NOT NULL").distinct(), "page_id", sample)
-    rows = own.join(F.broadcast(ids), "page_id", "left_semi").select("html").mapInArrow(_labelled, "x binary").collect()
+    made = own.join(F.broadcast(ids), "page_id", "left_semi").select("html", "page_id").mapInArrow(_labelled, "x binary, page_id long")
+    rows = made.groupBy("page_id").agg(F.min("x").alias("x")).collect()  # one row of an id that repeats
     x = np.frombuffer(b"".join(sorted(bytes(r.x) for r in rows)), np.float32).reshape(-1, len(PRIOR) + 1).astype(float)
     return fit(x[:, :-1], x[:, -1])
 

@@ -3,8 +3,10 @@
 A text is the set of its terms, hashed into 2**BITS features: its words (runs of letters, lower case) and the words'
 first STEMS letters, so that inflected forms share evidence. The machine scores
 w0 + sum of w_i + sum over pairs of <v_i, v_j>, so that two terms together can count for more than both alone, and a
-logistic link gives the score. It is fitted on the driver by AdaGrad, on at most SAMPLE labelled rows whose features the
-executors have made; the model that is broadcast has a fixed size, (1 + FACTORS) * 2**BITS floats.
+logistic link gives the score. Factors are given to terms that go with a label more than chance allows (Z_TERM standard
+deviations); the pairs of all others are so many in a long text that they would only add noise. The machine is fitted on the
+driver by AdaGrad, on at most SAMPLE labelled rows whose features the executors have made; what is broadcast is a number and
+FACTORS more for each term that the sample has often, 2**BITS of them at most.
 """
 
 from __future__ import annotations
@@ -29,12 +31,10 @@ MIN_ROWS = 8
 MIN_SHARE = 500
 #: Labelled rows that the machine is fitted on, at most.
 SAMPLE = 12_000
-EPOCHS = 4
-RATE_W = 0.1
-#: The pairs are hundreds of thousands in a long text: their factors learn slowly and shrink at every step.
-RATE_V = 0.003
-SHRINK_V = 0.005
-L2_W = 5e-3
+EPOCHS = 8
+RATE_W, L2_W = 0.1, 5e-3
+RATE_V, L2_V, START_V = 0.2, 1e-3, 0.05
+Z_TERM = 4.0
 BATCH = 32
 #: One row in TUNE of the sample isn't fitted on; the bias is set on those, where the fewest of them are misjudged.
 TUNE = 5
@@ -57,63 +57,77 @@ def features(text: str | None) -> np.ndarray:
 
 @dataclass
 class Machine:
+    """ids: the terms that count, ascending; w and v: a row for each."""
+
     w0: float
+    ids: np.ndarray
     w: np.ndarray
     v: np.ndarray
 
-    def logit(self, idx: np.ndarray) -> float:
-        if not len(idx):
+    def logit(self, terms: np.ndarray) -> float:
+        if not len(terms) or not len(self.ids):
             return self.w0
-        v = self.v[idx]
+        at = np.minimum(np.searchsorted(self.ids, terms), len(self.ids) - 1)
+        at = at[self.ids[at] == terms]
+        v = self.v[at].astype(float)
         s = v.sum(axis=0)
-        return float(self.w0 + self.w[idx].sum() + 0.5 * ((s * s).sum() - (v * v).sum()))
+        return float(self.w0 + self.w[at].sum(dtype=float) + 0.5 * ((s * s).sum() - (v * v).sum()))
 
     def score(self, text: str | None) -> float:
         return float(1 / (1 + np.exp(-np.clip(self.logit(features(text)), -30, 30))))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
-    """Fits by AdaGrad on the log loss. Without rows, or with one label only, the machine gives the label's share."""
-    n = 1 << BITS
+def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7, pairs: bool = True) -> Machine:
+    """Fits by AdaGrad on the log loss; without `pairs` the linear part alone.
+
+    Without rows, or with one label only, the machine gives the label's share.
+    """
     rng = np.random.default_rng(seed)
-    w, v = np.zeros(n, np.float32), rng.normal(0, 0.01, (n, FACTORS)).astype(np.float32)
     share = (labels.sum() + 0.5) / (len(labels) + 1)
     w0 = float(np.log(share / (1 - share)))
+    none = np.zeros(0, np.int32)
     if not len(rows) or labels.min() == labels.max():
-        return Machine(w0, w, np.zeros_like(v))
-    rows_of = np.bincount(np.concatenate(rows), minlength=n)
-    common = rows_of >= min(MIN_ROWS, 2 + len(rows) // MIN_SHARE)
-    rows = [x[common[x]] for x in rows]
-    gw, gv, g0 = np.full(n, 1e-2, np.float32), np.full((n, FACTORS), 1e-2, np.float32), 1.0
+        return Machine(w0, none, np.zeros(0), np.zeros((0, FACTORS)))
+    ids, many = np.unique(np.concatenate(rows), return_counts=True)
+    often = many >= min(MIN_ROWS, 2 + len(rows) // MIN_SHARE)
+    ids, many = ids[often], many[often]
+    if not len(ids):
+        return Machine(w0, none, np.zeros(0), np.zeros((0, FACTORS)))
+    rows = [np.flatnonzero(np.isin(ids, x, assume_unique=True)) for x in rows]
+    toxic = np.bincount(np.concatenate([x for x, y in zip(rows, labels, strict=True) if y > 0]), minlength=len(ids))
+    p = labels.mean()
+    telling = pairs & (abs(toxic - many * p) >= Z_TERM * np.sqrt(many * p * (1 - p)))
+    w, v = np.zeros(len(ids)), rng.normal(0, START_V, (len(ids), FACTORS)) * telling[:, None]
+    gw, gv, g0 = np.full(len(ids), 1e-2), np.full((len(ids), FACTORS), 1e-2), 1.0
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
-        for at in range(0, len(order), BATCH):
-            some = [rows[i] for i in order[at : at + BATCH]]
-            y = labels[order[at : at + BATCH]]
-            sizes = np.array([len(x) for x in some])
-            idx = np.concatenate(some)
-            row = np.repeat(np.arange(len(some)), sizes)
-            vi = v[idx]
+        for start in range(0, len(order), BATCH):
+            some = order[start : start + BATCH]
+            term = np.concatenate([rows[i] for i in some])
+            row = np.repeat(np.arange(len(some)), [len(rows[i]) for i in some])
+            own = telling[term]
+            pair, pair_row = term[own], row[own]
+            vi = v[pair]
             s = np.zeros((len(some), FACTORS))
-            np.add.at(s, row, vi)
-            square = np.bincount(row, (vi * vi).sum(axis=1), len(some))
-            z = w0 + np.bincount(row, w[idx], len(some)) + 0.5 * ((s * s).sum(axis=1) - square)
-            err = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y
-            err = err * np.where(y > 0, WEIGHT, 1.0)
-            e = (err / len(some))[row]
-            uniq, inv = np.unique(idx, return_inverse=True)
-            dw = np.bincount(inv, e, len(uniq)) + L2_W * w[uniq]
-            term = e[:, None] * (s[row] - vi)
-            dv = np.stack([np.bincount(inv, term[:, k], len(uniq)) for k in range(FACTORS)], axis=1) 
-            gw[uniq] += dw * dw
-            gv[uniq] += dv * dv
-            w[uniq] -= RATE_W * dw / np.sqrt(gw[uniq])
-            v[uniq] = (1 - SHRINK_V) * (v[uniq] - RATE_V * dv / np.sqrt(gv[uniq]))
+            np.add.at(s, pair_row, vi)
+            squares = np.bincount(pair_row, (vi * vi).sum(axis=1), len(some))
+            z = w0 + np.bincount(row, w[term], len(some)) + 0.5 * ((s * s).sum(axis=1) - squares)
+            y = labels[some]
+            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y) * np.where(y > 0, WEIGHT, 1.0)
+            e = err / len(some)
+            at, back = np.unique(term, return_inverse=True)
+            dw = np.bincount(back, e[row], len(at)) + L2_W * w[at]
+            gw[at] += dw * dw
+            w[at] -= RATE_W * dw / np.sqrt(gw[at])
+            at, back = np.unique(pair, return_inverse=True)
+            push = e[pair_row][:, None] * (s[pair_row] - vi)
+            dv = np.stack([np.bincount(back, push[:, k], len(at)) for k in range(FACTORS)], axis=1) + L2_V * v[at]
+            gv[at] += dv * dv
+            v[at] -= RATE_V * dv / np.sqrt(gv[at])
             d0 = float(err.mean())
             g0 += d0 * d0
             w0 -= RATE_W * d0 / np.sqrt(g0)
-    v[~common] = 0  # not fitted: no interaction
-    return Machine(w0, w, v)
+    return Machine(w0, ids, w.astype(np.float32), v.astype(np.float32))
 
 
 def calibrated(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
@@ -134,7 +148,7 @@ def calibrated(rows: list[np.ndarray], labels: np.ndarray) -> Machine:
 def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         made = [features(t).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(0)], names=["idx", "label"])
+        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(0), batch.column(2)], names=["idx", "label", "doc_id"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
@@ -143,7 +157,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
     marked = first_by_hash(marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label")), "doc_id", sample)
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = text.join(F.broadcast(marked), "doc_id").select("label", "text").mapInArrow(_feature_batches, "idx binary, label int").collect()
+    made = text.join(F.broadcast(marked), "doc_id").select("label", "text", "doc_id").mapInArrow(_feature_batches, "idx binary, label int, doc_id long")
+    rows = made.groupBy("doc_id").agg(F.min("idx").alias("idx"), F.first("label").alias("label")).collect()  # one row of an id that repeats
     rows = sorted((zlib.crc32(r.idx), bytes(r.idx), r.label) for r in rows)  # an order that doesn't follow the text
     return calibrated([np.frombuffer(x, np.int32) for _, x, _ in rows], np.array([y for *_, y in rows], dtype=float))
 

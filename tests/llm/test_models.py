@@ -64,6 +64,58 @@ def test_machine_learns_a_pair():
     assert np.mean(right) > 0.95
 
 
+def test_pairs_do_better_than_weights():
+    """Every text has one or two of the telling words, toxic ones four: held out, the machine beats its own linear part and a linear machine."""
+    rng = random.Random(11)
+    family = [f"grub{a}{b}" for a in "aeiou" for b in "lmnrst"]
+    rows, labels = [], []
+    for i in range(3000):
+        toxic = i % 8 == 0
+        words = [f"w{chr(97 + rng.randint(0, 25))}{chr(97 + rng.randint(0, 25))}" for _ in range(60)]
+        words += rng.sample(family, 4 if toxic else rng.choice([0, 1, 2]))
+        rows.append(toxicity.features(" ".join(words)))
+        labels.append(float(toxic))
+    y = np.array(labels)
+    whole, linear = toxicity.fit(rows[:2000], y[:2000]), toxicity.fit(rows[:2000], y[:2000], pairs=False)
+    part = toxicity.Machine(whole.w0, whole.ids, whole.w, whole.v * 0)
+
+    def wrong_order(m):
+        z = np.array([m.logit(x) for x in rows[2000:]])
+        return np.mean(z[y[2000:] > 0][:, None] <= z[y[2000:] == 0][None, :])
+
+    assert wrong_order(whole) < 0.5 * wrong_order(linear) and wrong_order(whole) < 0.5 * wrong_order(part)
+    assert np.mean([abs(whole.logit(x) - part.logit(x)) for x in rows[2000:]]) > 0.3
+
+
+def test_the_gradient_is_that_of_the_loss(monkeypatch):
+    """One step on one batch moves every weight against a numerical gradient."""
+    rows = [np.array(x, np.int32) for x in ([1, 2, 3], [1, 3], [2, 3], [1, 2])] * 8
+    y = np.array([1.0, 0.0, 0.0, 1.0] * 8)
+    for name, value in (("EPOCHS", 1), ("L2_W", 0.0), ("L2_V", 0.0), ("Z_TERM", 0.0), ("MIN_ROWS", 1)):
+        monkeypatch.setattr(toxicity, name, value)
+
+    def loss(m):
+        z = np.array([m.logit(x) for x in rows])
+        return np.mean(np.where(y > 0, toxicity.WEIGHT, 1.0) * (np.log1p(np.exp(z)) - y * z))
+
+    monkeypatch.setattr(toxicity, "RATE_W", 0.0)
+    monkeypatch.setattr(toxicity, "RATE_V", 0.0)
+    before = toxicity.fit(rows, y)
+    monkeypatch.setattr(toxicity, "RATE_W", 1e-3)
+    monkeypatch.setattr(toxicity, "RATE_V", 1e-3)
+    after = toxicity.fit(rows, y)
+    for part in ("w", "v"):
+        own, moved = getattr(before, part).astype(float), getattr(after, part).astype(float)
+        for at in np.ndindex(own.shape):
+            two = []
+            for step in (1e-4, -1e-4):
+                changed = own.copy()
+                changed[at] += step
+                two.append(loss(toxicity.Machine(before.w0, before.ids, *((changed, before.v) if part == "w" else (before.w, changed)))))
+            slope = (two[0] - two[1]) / 2e-4
+            assert abs(slope) < 1e-5 or slope * (moved[at] - own[at]) < 0
+
+
 def test_toxicity(spark):
     rng = random.Random(9)
     rows, labels = [], []
