@@ -14,9 +14,11 @@ BATCH_ROWS = 2000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. One of our own only in local mode, where all is one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="pagewright-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -40,17 +42,24 @@ def crc_mod(doc_id, mod: int):
     return F.crc32(doc_id.cast("string").cast("binary")) % mod
 
 
+def hash_share(key: str, share):
+    """Whether the hash of key is among the least `share` (a number or a column) of all hashes."""
+    return F.xxhash64(key).cast("double") / F.lit(2.0**64) + 0.5 < share
+
+
+def ample(n: int, rows):
+    """A share of the rows that holds n of them by six standard deviations."""
+    return (n + 6 * n**0.5 + 50) / F.greatest(F.lit(1), rows)
+
+
 def first_by_hash(df: DataFrame, key: str, n: int) -> DataFrame:
-    """A sample of at most n rows that doesn't depend on the partitioning: those with the smallest hash of key.
+    """A sample of at most n distinct values of key that doesn't depend on the partitioning: those with the smallest hashes.
 
-    The rows are counted first, and only hashes that may be among the n smallest (by six standard deviations) are sorted: else
-    each task would send n rows on.
+    The rows are counted first, and only hashes that may be among the n smallest are told apart and sorted: else all keys would
+    be shuffled. Where keys repeat, as many fewer may be found.
     """
-    hashed = F.xxhash64(key)
-    share = (n + 6 * n**0.5 + 50) / max(1, df.count())
-    if share < 1:
-        df = df.where(hashed < F.lit(int(share * 2**64) - 2**63))
-    return df.orderBy(hashed, key).limit(n)
+    rows = df.where(hash_share(key, ample(n, F.lit(df.count())))).select(key).distinct()
+    return rows.orderBy(F.xxhash64(key), key).limit(n)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -371,7 +371,7 @@ def train(pages: DataFrame, sample: int = SAMPLE_PAGES) -> np.ndarray:
     """Weights from at most BLOCKS_PER_PAGE blocks of each of `sample` pages, those with the least hash of page_id."""
     bounded_batches(pages.sparkSession)
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html"))
-    ids = first_by_hash(own.select("page_id").where("page_id IS NOT NULL").distinct(), "page_id", sample)
+    ids = first_by_hash(own.where("page_id IS NOT NULL"), "page_id", sample)
     made = own.join(F.broadcast(ids), "page_id", "left_semi").select("html", "page_id").mapInArrow(_labelled, "x binary, page_id long")
     rows = made.groupBy("page_id").agg(F.min("x").alias("x")).collect()  # one row of an id that repeats
     x = np.frombuffer(b"".join(sorted(bytes(r.x) for r in rows)), np.float32).reshape(-1, len(PRIOR) + 1).astype(float)

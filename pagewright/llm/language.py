@@ -1,29 +1,31 @@
 """Language identification by nearest centroids of TF-IDF n-gram vectors.
 
-A text becomes counts of hashed byte n-grams (1 to 3 bytes of the lower-cased text, everything but letters being one space).
-Weights are (1 + ln tf) * idf, scaled to length one. Each language gets several centroids, from spherical k-means on a
+A text becomes counts of hashed byte n-grams (1 to 3 bytes of the lower-cased text, everything but letters and the marks on
+them being one space). Weights are (1 + ln tf) * idf, scaled to length one; document frequencies are counted over all documents
+outside the held-out fold. Each language gets several centroids, from spherical k-means on a
 bounded sample of its labelled texts; a text has the language of the centroid with the greatest cosine. A text is rejected
 if it is farther from its centroid than nearly all of the sample's texts were from theirs.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import bounded_batches, crc_mod
+from pagewright.llm.common import ample, bounded_batches, crc_mod, hash_share
 
 BUCKETS = 1 << 13
 CENTROIDS = 3
-#: Labelled texts per language that centroids are fitted on, and languages, at most.
+#: Labelled texts per language that centroids are fitted on, at most; fewer, LEAST at least, where there are so many languages that TOTAL would be passed.
 SAMPLE = 600
-LANGUAGES = 200
+TOTAL = 20_000
+LEAST = 20
 ROUNDS = 12
 #: A text is rejected if its cosine is under this quantile of the sample's, less SLACK.
 QUANTILE = 0.001
@@ -34,14 +36,15 @@ UNKNOWN = "und"
 #: Bytes of a text counted at once.
 CHUNK = 1 << 20
 
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"[^\p{L}\p{M}]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def counts(text: str | None) -> tuple[np.ndarray, np.ndarray] | None:
     """(bucket, count) of a whole text's n-grams; None if it has no letter."""
-    letters = _OTHER.sub(" ", text or "").strip()
-    if not letters:
+    if not text or not _LETTER.search(text):
         return None
+    letters = _OTHER.sub(" ", text).strip()
     data = np.frombuffer(f" {letters.lower()} ".encode("utf-8", "surrogatepass"), np.uint8)
     total = np.zeros(BUCKETS, np.int64)
     for at in range(0, len(data), CHUNK):
@@ -87,12 +90,13 @@ def kmeans(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
     return centre
 
 
-def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], seed: int = 5) -> Model:
-    """rows: (language, buckets, counts)."""
-    df = np.zeros(BUCKETS)
-    for _, idx, _ in rows:
-        df[idx] += 1
-    idf = (np.log((1 + len(rows)) / (1 + df)) + 1).astype(np.float32)
+def fit(rows: list[tuple[str, np.ndarray, np.ndarray]], df: np.ndarray | None = None, n: int | None = None, seed: int = 5) -> Model:
+    """rows: (language, buckets, counts); df: documents that have each bucket, of n; of the rows, where it isn't given."""
+    if df is None:
+        df, n = np.zeros(BUCKETS), len(rows)
+        for _, idx, _ in rows:
+            df[idx] += 1
+    idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
     rng = np.random.default_rng(seed)
     names, owner, centres, floor = sorted({r[0] for r in rows}), [], [], []
     for n, name in enumerate(names):
@@ -113,22 +117,47 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         made = [counts(t) for t in batch.column(1).to_pylist()]
         idx = pa.array([None if m is None else m[0].tobytes() for m in made], pa.binary())
         tf = pa.array([None if m is None else m[1].tobytes() for m in made], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0), idx, tf], names=["lang", "idx", "tf"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), idx, tf, batch.column(2)], names=["lang", "idx", "tf", "doc_id"])
+
+
+def _frequency_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(bucket, documents that have it) of a task; bucket -1 counts the documents that have any."""
+    df, n = np.zeros(BUCKETS, np.int64), 0
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            found = counts(text)
+            if found is not None:
+                df[found[0]] += 1
+                n += 1
+    some = np.flatnonzero(df)
+    yield pa.RecordBatch.from_arrays([pa.array([-1, *some.tolist()], pa.int32()), pa.array([n, *df[some].tolist()], pa.int64())], names=["bucket", "n"])
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fits on at most `sample` texts per language outside the held-out fold, those with the least hash of doc_id."""
+    """Fits on at most `sample` texts per language outside the held-out fold, those with the least hash of doc_id.
+
+    Rows are first thinned by a share of hashes for each language, so that no task gets a language whole. Where ids repeat, as
+    many fewer texts are found. Null ids, texts and languages teach nothing.
+    """
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     own = own.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
+    rows_of = own.groupBy("lang").agg(F.count("*").alias("rows"))
+    languages = max(1, rows_of.count())
+    sample = min(sample, max(LEAST, TOTAL // languages))
+    thinned = own.select("doc_id", "lang").join(rows_of, "lang").where(hash_share("doc_id", ample(sample, F.col("rows")))).select("doc_id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = own.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample)
-    common = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    ids = ids.join(F.broadcast(common), "lang", "left_semi").select("doc_id").distinct()
-    rows = own.join(F.broadcast(ids), "doc_id", "left_semi").select("lang", "text")
-    rows = rows.mapInArrow(_count_batches, "lang string, idx binary, tf binary").where("idx IS NOT NULL").collect()
-    rows = sorted((r.lang, bytes(r.idx), bytes(r.tf)) for r in rows)
-    return fit([(lang, np.frombuffer(i, np.int32), np.frombuffer(c, np.int64)) for lang, i, c in rows])
+    ids = thinned.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", "lang")
+    made = own.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "text", "doc_id").mapInArrow(_count_batches, "lang string, idx binary, tf binary, doc_id long")
+    made = made.where("idx IS NOT NULL").groupBy("doc_id", "lang").agg(F.min(F.struct("idx", "tf")).alias("x"))  # one text of an id that repeats
+    rows = sorted((r.lang, bytes(r.x.idx), bytes(r.x.tf)) for r in made.collect())
+    df, n = np.zeros(BUCKETS), 0
+    for r in own.select("text").mapInArrow(_frequency_batches, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        if r.bucket < 0:
+            n = r.n
+        else:
+            df[r.bucket] = r.n
+    return fit([(lang, np.frombuffer(i, np.int32), np.frombuffer(c, np.int64)) for lang, i, c in rows], df, n)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

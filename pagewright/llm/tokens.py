@@ -26,6 +26,8 @@ OVERLAP = 256
 CALL = 1 << 21
 
 _SPACE = "▁"
+#: A character that is in no piece.
+GUARD = "\n"
 
 
 class Counter:
@@ -39,7 +41,7 @@ class Counter:
         kinds = (self.model.is_control, self.model.is_unknown, self.model.is_byte, self.model.is_unused)
         pieces = [self.model.id_to_piece(i) for i in range(self.model.get_piece_size()) if not any(k(i) for k in kinds)]
         self.inside = {x[i : i + 2] for x in pieces for i in range(len(x) - 1)}
-        self.whole = not self._plain()
+        self.whole = not self._plain() or any(GUARD in x for x in pieces)
 
     def _plain(self) -> bool:
         """Whether characters are encoded as they stand, apart from the space that is put in front."""
@@ -47,21 +49,27 @@ class Counter:
         return all(self.model.decode(self.model.encode(x)) == x for x in (probe, probe.strip(), "a"))
 
     def stable(self, raw: bytes, at: int) -> bool:
-        """Whether no piece can reach from the character before raw[at] to the space at raw[at]."""
-        return raw[max(0, at - 4) : at].decode("utf-8", "ignore")[-1:].replace(" ", _SPACE) + _SPACE not in self.inside
+        """Whether a character begins at raw[at] that no piece holds right behind the one before."""
+        if raw[at] & 0xC0 == 0x80:
+            return False
+        pair = raw[max(0, at - 4) : at].decode("utf-8", "ignore")[-1:] + raw[at : at + 4].decode("utf-8", "ignore")[:1]
+        return pair.replace(" ", _SPACE) not in self.inside
 
     def cuts(self, raw: bytes, start: int, end: int) -> list[tuple[int, int]]:
-        """(offset, tokens up to it) after each token of raw[start:end]; the space put in front counts as the byte before start."""
+        """(offset, tokens up to it) after each token of raw[start:end]; what doesn't start the text is encoded behind GUARD."""
         found: dict[int, int] = {}
-        for n, piece in enumerate(self.model.encode(raw[start:end].decode("utf-8"), return_type="proto").pieces):
-            found[start + piece.end] = n + 1  # the last of a character's bytes counts
+        guard = GUARD if start else ""
+        shift, skip = start - len(guard), len(self.model.encode(GUARD)) if start else 0
+        for n, piece in enumerate(self.model.encode(guard + raw[start:end].decode("utf-8"), return_type="proto").pieces):
+            if n >= skip:
+                found[shift + piece.end] = n + 1 - skip  # the last of a character's bytes counts
         return list(found.items())
 
     def count_huge(self, text: str) -> int:
         """Tokens of a text, from chunks.
 
-        A chunk that doesn't start the text begins at a stable boundary before a space, which then takes the place of the
-        space that the model puts in front of what it encodes.
+        A chunk that doesn't start the text begins at a stable boundary and is encoded behind GUARD, which no piece holds, so
+        that the space that the model puts in front can't reach it.
         """
         raw = text.encode("utf-8")
         total, start, n = 0, 0, len(raw)
@@ -70,24 +78,19 @@ class Counter:
             end = start + self.chunk + width
             while end < n and raw[end] & 0xC0 == 0x80:
                 end += 1
-            end = min(n, end)
-            ours = self.cuts(raw, start, end)
-            if end == n:
-                return total + (ours[-1][1] if ours else 0)
-            seam = self._resume(raw, max(start, end - width), end)
-            theirs = set() if seam is None else {x for x, _ in self.cuts(raw, seam + 1, end)} | {seam}
-            spliced = next(((x, k) for x, k in ours if x in theirs and x < end and raw[x] == 32 and self.stable(raw, x)), None)
+            if end >= n:
+                guard = GUARD if start else ""
+                rest = len(self.model.encode(guard + raw[start:].decode("utf-8")))
+                return total + rest - (len(self.model.encode(GUARD)) if start else 0)
+            seam = next((at for at in range(max(start, end - width) + 1, end) if self.stable(raw, at)), None)
+            spliced = None
+            if seam is not None:
+                theirs = {x for x, _ in self.cuts(raw, seam, end)} | {seam}
+                spliced = next(((x, k) for x, k in self.cuts(raw, start, end) if x in theirs and x < end and self.stable(raw, x)), None)
             if spliced is None:  # alignment fails: widen the overlap
                 width *= 2
                 continue
-            start, total, width = spliced[0] + 1, total + spliced[1], self.overlap
-
-    def _resume(self, raw: bytes, seam: int, end: int) -> int | None:
-        """The first stable boundary before a space in raw[seam + 1 : end], where a chunk can begin."""
-        at = raw.find(b" ", seam + 1, end)
-        while at > 0 and not self.stable(raw, at):
-            at = raw.find(b" ", at + 1, end)
-        return at if at > 0 else None
+            start, total, width = spliced[0], total + spliced[1], self.overlap
 
     def counts(self, texts: list[str | None]) -> list[int]:
         out = [0] * len(texts)

@@ -155,7 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     """Fits a machine on at most `sample` labelled documents outside the held-out fold, those with the least hash of doc_id."""
     bounded_batches(docs.sparkSession)
     marked = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
-    marked = first_by_hash(marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("label")), "doc_id", sample)
+    marked = marked.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label"))
+    marked = marked.join(F.broadcast(first_by_hash(marked, "doc_id", sample)), "doc_id").groupBy("doc_id").agg(F.max("label").alias("label"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made = text.join(F.broadcast(marked), "doc_id").select("label", "text", "doc_id").mapInArrow(_feature_batches, "idx binary, label int, doc_id long")
     rows = made.groupBy("doc_id").agg(F.min("idx").alias("idx"), F.first("label").alias("label")).collect()  # one row of an id that repeats

@@ -29,6 +29,16 @@ def test_spliced_counts_equal_whole_counts(alphabet):
             assert small.count_huge(text) == len(whole.model.encode(text)), text
 
 
+@pytest.mark.parametrize("alphabet", ["中文字符的一是在", "abc", "xq", "한국어", "ab,.;", "a"])
+def test_texts_without_spaces_are_spliced(alphabet):
+    rng = random.Random(alphabet)
+    text = "".join(rng.choice(alphabet) for _ in range(20_000))
+    huge = tokens.counter(MODEL, 500, 64)
+    at = time.process_time()
+    assert huge.count_huge(text) == len(huge.model.encode(text))
+    assert time.process_time() - at < 5
+
+
 def test_token_counts(spark):
     texts = [None, "", "hello world", "hello world", "<s> x </s>", "long words " * 30_000]
     docs = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)], "doc_id long, text string, n_tokens string")

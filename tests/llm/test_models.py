@@ -1,4 +1,5 @@
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -39,6 +40,31 @@ def test_language_rejects_what_is_far():
     assert model.nearest("日本語のテキスト、とても遠い")[2] is True
 
 
+def test_letters_and_marks():
+    assert all(language.counts(t) is None for t in (None, "", "½ ² Ⅷ ①", "12 _ 34", "\u0301", "!? — …"))
+    marked, bare = language.counts("हिन्दी भाषा"), language.counts("ह न द भ ष")
+    assert marked is not None and not (len(marked[0]) == len(bare[0]) and np.array_equal(marked[0], bare[0]))
+    assert np.array_equal(language.counts("a1b")[0], language.counts("A b")[0])
+
+
+def test_nearest_centroid_against_brute_force(spark):
+    """TF-IDF, document frequencies over all documents of the other folds, and cosines, in plain dictionaries."""
+    rows = corpus(random.Random(8), 150)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs, sample=20)
+    own = [dict(zip(*(x.tolist() for x in language.counts(t)), strict=True)) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    for bucket in range(0, language.BUCKETS, 37):
+        df = sum(bucket in x for x in own)
+        assert model.idf[bucket] == pytest.approx(np.log((1 + len(own)) / (1 + df)) + 1, rel=1e-5)
+    found = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    for i, text, _ in rows[:40]:
+        x = {b: (1 + np.log(n)) * model.idf[b] for b, n in zip(*language.counts(text), strict=True)}
+        size = np.sqrt(sum(v * v for v in x.values()))
+        cos = [sum(v * c[b] for b, v in x.items()) / size for c in model.centroids]
+        best = int(np.argmax(cos))
+        assert found[i].lang_pred == model.languages[model.owner[best]] and found[i].score == pytest.approx(max(cos), abs=1e-5)
+
+
 def test_counts_do_not_depend_on_chunks(monkeypatch):
     text = " ".join(random.Random(1).choice("ab cde fgh é".split()) for _ in range(4000))
     whole = language.counts(text)
