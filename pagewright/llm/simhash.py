@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import bounded_batches, stored
+from pagewright.llm.common import ample, bounded_batches, hash_share, stored
 
 SHINGLE = 3
 BUDGET = 3
@@ -33,6 +33,10 @@ HOT = 20_000
 TOP = 12
 #: Ids of 8 bytes that a broadcast may hold; beyond, documents are joined by shuffling both sides.
 BROADCAST_IDS = 1_000_000
+#: Fingerprints that hot keys are looked for in, and how many of them a hot key has at least.
+SEEN, MANY = 50_000, 50
+#: A fingerprint of more rows than this, and than one in COMMON of all, is joined to its rows by a broadcast (of COMMON rows at most).
+COPIES, COMMON = 1000, 10_000
 #: Node pairs and shingles handled at once.
 FRONTIER = 1 << 18
 CHUNK = 1 << 16
@@ -180,7 +184,8 @@ def _join_groups(batches: Iterator[pa.RecordBatch], hot: int | None) -> Iterator
             for u, v in _forest(rows[0], np.cumsum(new), None if hot else rows[2], rows[3]):
                 yield out(np.full(len(u), -1), u, v)
 
-    rest: list[np.ndarray] = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)]
+    rest: list[list[np.ndarray]] = []  # the last group so far, in parts
+    held = 0
     flowing = None
     for batch in batches:
         rows = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)]
@@ -195,15 +200,28 @@ def _join_groups(batches: Iterator[pa.RecordBatch], hot: int | None) -> Iterator
             if not len(rows[0]):
                 continue
             flowing = None
-        rows = [np.concatenate(x) for x in zip(rest, rows, strict=True)]
         last = np.all([x == x[-1] for x in rows[:3]], axis=0)
-        yield from joined([x[~last] for x in rows])
-        rest = [x[last] for x in rows]
-        if hot and len(rest[0]) > hot:
-            flowing = (rest[0][0], rest[1][0])
-            yield out(rest[0], rest[3], rest[3])
-            rest = [x[:0] for x in rest]
-    yield from joined(rest)
+        if not last.all() or rest and any(x[0] != y[-1] for x, y in zip(rows[:3], rest[0][:3], strict=True)):
+            yield from joined([np.concatenate(x) for x in zip(*rest, [x[~last] for x in rows], strict=True)])
+            rest, held = [], 0
+        rest.append([x[last] for x in rows])
+        held += int(last.sum())
+        if hot and held > hot:
+            flowing = (rest[0][0][0], rest[0][1][0])
+            for part in rest:
+                yield out(part[0], part[3], part[3])
+            rest, held = [], 0
+    if rest:
+        yield from joined([np.concatenate(x) for x in zip(*rest, strict=True)])
+
+
+def _hot_keys(prints: DataFrame, dealt: DataFrame, hot: int) -> DataFrame | None:
+    """Keys (tab, key) that by a sample of SEEN fingerprints have over twice `hot` rows: a bounded table, as each has MANY of the sample. None without any."""
+    share = ample(SEEN, F.lit(prints.count()))
+    many = F.greatest(F.lit(MANY), F.lit(2.0 * hot) * share)
+    found = dealt.where(hash_share("fp", share)).groupBy("tab", "key").count().where(F.col("count") > many).select("tab", "key")
+    found = stored(found)
+    return None if found.isEmpty() else found
 
 
 def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
@@ -219,10 +237,17 @@ def links(prints: DataFrame, hot: int = HOT) -> DataFrame:
         rows = rows.repartition("tab", "key", "item").sortWithinPartitions("tab", "key", "item")
         return rows.mapInArrow(lambda it: _join_groups(it, limit), schema)
 
+    known = _hot_keys(prints, dealt, hot)
+    at_once = None
+    if known is not None:  # their rows needn't be gathered to be seen to be many
+        at_once = dealt.join(F.broadcast(known), ["tab", "key"], "left_semi").select("tab", F.col("fp").alias("a"))
+        dealt = dealt.join(F.broadcast(known), ["tab", "key"], "left_anti").select("tab", "key", "item", "fp")
     first = stored(joined(dealt, hot))
     found = first.where("tab < 0").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    large = first.where("tab >= 0")
-    if large.isEmpty():
+    large = first.where("tab >= 0").select("tab", "a")
+    if at_once is not None:
+        large = large.unionByName(at_once)
+    elif large.isEmpty():
         return found
     masks = F.filter(F.sequence(F.lit(0).cast("long"), F.lit((1 << TOP) - 1).cast("long")), lambda m: F.bit_count(m) <= BUDGET)
     tops = F.lit(None).cast("long")
@@ -271,13 +296,19 @@ def near_duplicates(docs: DataFrame, hot: int = HOT) -> DataFrame:
     and text aren't read. A null doc_id stays null and is no component's id, unless the whole component has null ids.
     """
     prints = stored(fingerprints(docs))
-    each = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
+    each = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")))
     comp = components(links(each.select("fp"), hot))
     linked = each.join(comp, each.fp == comp.node).select("fp", "first", "root")
     least = linked.groupBy("root").agg(F.min("first").alias("component"))
     linked = linked.join(least, "root").select(F.col("fp").alias("node"), "component")
-    known = each.join(linked, each.fp == linked.node, "left").select("fp", F.coalesce("component", "first").alias("component_id"))
-    return prints.join(known, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    known = stored(each.join(linked, each.fp == linked.node, "left").select("fp", "copies", F.coalesce("component", "first").alias("component_id")))
+    # rows of a fingerprint that very many have stay where they are
+    rows = each.agg(F.sum("copies")).first()[0] or 0
+    common = F.col("copies") > max(COPIES, rows // COMMON)
+    by_fp = known.drop("copies")
+    few = F.broadcast(known.where(common).drop("copies"))
+    found = prints.join(few, "fp").unionByName(prints.join(few, "fp", "left_anti").join(by_fp, "fp"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:

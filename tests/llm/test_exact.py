@@ -88,6 +88,55 @@ def test_packing_round_trip(spark):
     assert pack(docs.limit(0)).count() == 0
 
 
+def test_ids_are_the_librarys():
+    """Random texts over every class of characters, white space and the special strings, whole and in segments."""
+    import sys
+    import unicodedata
+
+    from tokenizers import Tokenizer
+
+    tool = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    own = packing.encoder(public_tokenizers.path(packing.TOKENIZER), public_tokenizers.path(packing.RANKS), public_tokenizers.PATTERN)
+    rng = random.Random(12)
+    classes = {}
+    for x in range(sys.maxunicode + 1):
+        kind = unicodedata.category(chr(x))
+        if kind not in ("Cs", "Cn"):
+            classes.setdefault(kind, []).append(chr(x))
+    parts = ["'s", "'ll", "'", "  ", "\n\n", "\t", "\r\n", "\u3000", *own.special, "the", " quick", "1234", "a1", "_", "\u0301"]
+    kinds = sorted(classes)
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) if rng.random() < 0.3 else rng.choice(classes[rng.choice(kinds)]) for _ in range(rng.randint(0, 40)))
+        expected = tool.encode(text, add_special_tokens=False).ids
+        assert own.encode(text) == expected, text
+        assert [i for x in packing.segments(text, rng.randint(1, 9)) for i in own.encode(x)] == expected, text
+    prose = " ".join("".join(rng.choice("abcé") for _ in range(rng.randint(1, 9))) + rng.choice(["", ",", "'s", " 12", "\n"]) for _ in range(400))
+    parts_ = list(packing.segments(prose, 50))
+    assert len(parts_) > 20 and "".join(parts_) == prose
+    assert [i for x in parts_ for i in own.encode(x)] == tool.encode(prose, add_special_tokens=False).ids
+
+
+def test_bm25_scores_against_brute_force():
+    rng = np.random.default_rng(4)
+    items = [rng.integers(1, 60, rng.integers(1, 50)).astype("<u2") for _ in range(50)]
+    df = [sum(t in x for x in items) for t in range(60)]
+    idf = np.zeros(1 << 16)
+    idf[:60] = [np.log1p((50 - d + 0.5) / (d + 0.5)) for d in df]
+    mean = np.mean([len(x) for x in items])
+    index = packing.Index(items, idf, mean)
+
+    def weight(t, x):
+        tf = np.sum(x == t)
+        return idf[t] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(x) / mean))
+
+    for seed, x in enumerate(items):
+        terms = sorted(set(x.tolist()), key=lambda t: -weight(t, x))[: packing.TERMS]
+        near, score = index.neighbours(seed)
+        assert [weight(t, x) for t in index.query[seed]] == pytest.approx([weight(t, x) for t in terms])
+        brute = {i: sum(weight(t, y) for t in index.query[seed]) for i, y in enumerate(items)}
+        assert dict(zip(near.tolist(), score.tolist(), strict=True)) == pytest.approx({i: v for i, v in brute.items() if v > 0})
+
+
 def test_a_seed_takes_its_neighbours_first():
     rng = np.random.default_rng(1)
     topics = [np.arange(k * 100 + 1, k * 100 + 60, dtype="<u2") for k in range(4)]
@@ -159,6 +208,22 @@ def test_likeness_of_a_text_that_repeats_one_phrase(spark):
     assert out.near_edited > 0.5  # three quarters are equal
 
 
+@pytest.mark.parametrize("alphabet", ["".join(map(chr, range(0x4E00, 0x9E00, 26))), "абвгдежзиклмнопр   ", "مرحبابالعالمكيفحالك   ", "abcdefghijk   "])
+def test_likeness_in_other_scripts(spark, alphabet):
+    rng = random.Random(alphabet)
+    text = lambda: "".join(rng.choice(alphabet) for _ in range(1500))
+    docs = spark.createDataFrame([(i, text()) for i in range(12)], "doc_id long, text string")
+    out = fingerprint.edited_fingerprints(docs).collect()
+    assert np.mean([r.near_edited for r in out]) > 0.4 and np.mean([r.near_next for r in out]) < 0.25
+
+
+def test_clumped_ids_make_even_buckets(spark):
+    rows = [(10**12 + i, "") for i in range(3000)] + [(i * 10**9, "") for i in range(3000)]
+    found, _ = fingerprint.bucketed(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = found.toPandas().sort_values("doc_id")
+    assert found["bucket"].is_monotonic_increasing and found.groupby("bucket").size().max() <= 60
+
+
 def test_edited_fingerprints(spark):
     rng = random.Random(8)
     text = lambda n: "\n".join(" ".join(rng.choice("an of river stone is under table on walk eat").__str__() + rng.choice("abcde") for _ in range(9)) + "." for _ in range(n))
