@@ -12,6 +12,7 @@ Only a shard's last window is padded.
 from __future__ import annotations
 
 import base64
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -44,6 +45,11 @@ K1, B = 1.2, 0.75
 TRIED = 64
 
 
+#: Characters of a text that are encoded at once, about.
+SEGMENT = 1 << 20
+_SEAM = re.compile(r"[^\W\d_](?= [^\W\d_])")
+
+
 class Encoder:
     """Ids as the tokenizers library gives them: the ranks of the same vocabulary, and special strings as their ids."""
 
@@ -68,6 +74,18 @@ class Encoder:
         return self.own.encode_ordinary(text)
 
 
+def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
+    """The text in parts of about `size` characters, or as long as it takes to a space between letters: there the pattern always ends one match and begins another, so ids don't change."""
+    at = 0
+    while len(text) - at > size:
+        seam = _SEAM.search(text, at + size)
+        if seam is None:
+            break
+        yield text[at : seam.start() + 1]
+        at = seam.start() + 1
+    yield text[at:] if at else text
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, ranks: str, pattern: str) -> Encoder:
     return Encoder(path, ranks, pattern)
@@ -78,28 +96,31 @@ def crc(ids: np.ndarray) -> int:
 
 
 def encoded(docs: DataFrame, path: str, ranks: str, pattern: str, window: int = WINDOW) -> DataFrame:
-    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, ids): whole windows without ids, and a leftover of each document with them (16 bits each)."""
+    """Pieces (doc_id, start, length, ids_crc32, doc_tokens, ids, nth): whole windows without ids, and a leftover of each document with them (16 bits each).
+
+    nth tells rows apart that are equal in all else.
+    """
     bounded_batches(docs.sparkSession)
-    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "nth"]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(path, ranks, pattern)
+        nth = 0
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = tool.encode(text or "")
-                ids.append(END)
-                ids = np.array(ids, "<u4")
+                ids = np.concatenate([*(np.array(tool.encode(x), "<u4") for x in segments(text or "")), np.array([END], "<u4")])
                 n = len(ids)
+                nth += 1
                 for at in range(0, n, window):
                     piece = ids[at : at + window]
-                    rows.append((doc_id, at, len(piece), crc(piece), n, piece.astype("<u2").tobytes() if len(piece) < window else None))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            types = [pa.int64()] * 5 + [pa.binary()]
+                    rows.append((doc_id, at, len(piece), crc(piece), n, piece.astype("<u2").tobytes() if len(piece) < window else None, nth))
+            cols = list(zip(*rows, strict=True)) or [()] * 7
+            types = [pa.int64()] * 5 + [pa.binary(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=names)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return own.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
+    return own.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary, nth long")
 
 
 def frequencies(pieces: DataFrame) -> tuple[np.ndarray, int, float]:
@@ -303,30 +324,28 @@ def packed(docs: DataFrame, path: str, ranks: str, pattern: str, window: int = W
 
     @F.pandas_udf("long")
     def led(ids: pd.Series, hashes: pd.Series) -> pd.Series:
-        out = hashes.to_numpy() % tree.value.count  # whole windows go anywhere
-        left = np.flatnonzero(ids.notna())
-        for at in range(0, len(left), 500):
-            rows = left[at : at + 500]
-            out[rows] = tree.value.shards([np.frombuffer(ids.iloc[i], "<u2") for i in rows], hashes.to_numpy()[rows])
+        out = np.zeros(len(ids), np.int64)
+        for at in range(0, len(ids), 500):
+            out[at : at + 500] = tree.value.shards([np.frombuffer(x, "<u2") for x in ids.iloc[at : at + 500]], hashes.to_numpy()[at : at + 500])
         return pd.Series(out)
 
-    # the sample takes the hash's low bits, so others deal here
-    own = pieces.withColumn("shard", led("ids", F.shiftrightunsigned(F.xxhash64("doc_id", "ids_crc32"), 31)))
+    # the sample takes the hash's low bits, so others deal here; nth deals rows that are equal
+    left = pieces.where("ids IS NOT NULL")
+    own = left.withColumn("shard", led("ids", F.shiftrightunsigned(F.xxhash64("doc_id", "ids_crc32", "nth"), 31)))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def pack(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "start", "ids_crc32"], kind="stable")
         base = int(rows["shard"].iloc[0]) << 32
-        whole = rows[rows["ids"].isna()]
-        left = rows[rows["ids"].notna()]
-        items = [np.frombuffer(x, "<u2") for x in left["ids"]]
+        items = [np.frombuffer(x, "<u2") for x in rows["ids"]]
         out = pd.DataFrame(fill(items, idf.value, mean, window), columns=["item", "at", "length", "sequence_id", "offset"])
         out["ids_crc32"] = [crc(items[i][a : a + n]) for i, a, n in zip(out["item"], out["at"], out["length"], strict=True)]
-        of = left.iloc[out["item"]]
+        of = rows.iloc[out["item"]]
         out["doc_id"], out["start"], out["doc_tokens"] = of["doc_id"].array, of["start"].array + out["at"].array, of["doc_tokens"].array
-        count = int(out["sequence_id"].max()) + 1 if len(out) else 0
         out["sequence_id"] += base
-        whole = whole.assign(sequence_id=base + count + np.arange(len(whole)), offset=0)
-        return pd.concat([out[names], whole[names]], ignore_index=True)
+        return out[names]
 
-    return own.groupBy("shard").applyInPandas(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    filled = own.groupBy("shard").applyInPandas(pack, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    # whole windows are sequences as they stand; the stored table gives each row the same number whenever it's read
+    whole = pieces.where("ids IS NULL").withColumn("sequence_id", -1 - F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    return filled.unionByName(whole.select(*names))
