@@ -6,8 +6,8 @@ O(k^2), mostly O(k), as two walks meet again soon after an edit. Here the walk i
 of the walk from a place, and REPEATS walks with other random functions make REPEATS tables.
 
 A walk passes over about half as many characters as it has steps, so that at a fifth of edits some walks of a passage still
-agree with the item's. They start at every character of items and documents, and not at words, as there are texts without
-spaces. A table's keys are kept as prefixes of PREFIX coordinates and more; places whose prefix no item has are given up. What
+agree with the item's. They start at every character of items and every few of documents, and not at words, as there are texts
+without spaces. Places whose first PREFIXES coordinates no item has are given up. What
 remains votes for the place where the item would start. Where an item has as many votes as needed() says, within the shift
 that its budget of edits allows, it is verified by the exact edit distance between it and the best passage there.
 
@@ -32,10 +32,13 @@ from pyspark.sql import functions as F
 from pagewright.llm.common import bounded_batches
 
 SIMILARITY = 0.8
-REPEATS = 3
-#: Steps of a walk for each coordinate of its key, and after how many coordinates a prefix ends.
+REPEATS = 6
+#: Every so many characters of a document a walk starts (at every one of an item).
+STRIDE = 3
+#: Classes of characters, steps of a walk for each coordinate of its key, and after how many coordinates places are given up.
+CLASSES = 32
 THIN = 3
-PREFIX = 4
+PREFIXES = (5, 7, 9)
 #: Least length of an item and coordinates of its keys: short items need short walks, long ones bear keys that chance seldom meets.
 LENGTHS = ((80, 12), (48, 11))
 SHORT = min(least for least, _ in LENGTHS)
@@ -49,7 +52,6 @@ TOGETHER = 1 << 19
 FILTER = 20
 SEED = 11
 
-_SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"\w+")
 #: Thai, Lao, Burmese, Khmer, kana and Chinese characters: words aren't told apart by spaces.
 _UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
@@ -59,7 +61,7 @@ PIECE = 7
 
 def normal(text: str | None) -> str:
     """Lower case, white space collapsed."""
-    return _SPACE.sub(" ", (text or "").lower()).strip()
+    return " ".join((text or "").lower().split())
 
 
 def codes(text: str) -> np.ndarray:
@@ -68,41 +70,65 @@ def codes(text: str) -> np.ndarray:
     return ((x ^ (x >> 8) ^ (x >> 16)) & 255).astype(np.int64)
 
 
+def triples(text: str, more: int = 0) -> np.ndarray:
+    """For each character, and `more` empty ones after the text, the classes of it and the next two in one number."""
+    x = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    c = np.zeros(len(x) + more + 2, np.int64)
+    c[: len(x)] = (x ^ (x >> 5) ^ (x >> 10) ^ (x >> 15)) & (CLASSES - 1)
+    return (c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:]
+
+
+def bucket(key: np.ndarray) -> np.ndarray:
+    """A number of FILTER bits for each key."""
+    return (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - FILTER)).view(np.int64)
+
+
 class Walks:
-    """REPEATS random walks; the same on every machine."""
+    """REPEATS random walks; the same on every machine.
 
-    def __init__(self, sampled: int, repeats: int = REPEATS, thin: int = THIN, seed: int = SEED):
-        rng = np.random.default_rng(seed)
-        self.sampled, self.steps, self.repeats = sampled, sampled * thin, repeats
-        self.move = rng.integers(0, 2, (repeats, self.steps, 256)).astype(np.int64)
-        self.taken = np.stack([np.sort(rng.choice(self.steps, sampled, replace=False)) for _ in range(repeats)])
-        self.mix = rng.integers(1, 2**63, (repeats, sampled), dtype=np.uint64) | np.uint64(1)
+    One of every THIN steps is sampled. Such a block of steps depends on THIN characters only, so it is a table: for each three
+    classes of characters, the class that is sampled and how far the walk gets.
+    """
 
-    def keys(self, chars: np.ndarray, at: np.ndarray, repeat: int, known: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-        """(places, keys, keys after each PREFIX coordinates) of the walks from `at`; chars (of long) ends in steps + 1 zeros.
+    def __init__(self, sampled: int, repeats: int = REPEATS, seed: int = SEED):
+        rng = np.random.default_rng(seed)
+        self.sampled, self.repeats, self.steps = sampled, repeats, sampled * THIN
+        move = rng.integers(0, 2, (repeats, sampled, THIN, CLASSES))
+        taken = rng.integers(0, THIN, (repeats, sampled))
+        three = np.arange(CLASSES**THIN)
+        chars = np.stack([three // CLASSES ** (THIN - 1 - i) % CLASSES for i in range(THIN)])
+        self.blocks = np.zeros((repeats, sampled, len(three)), np.uint8)
+        for r, n in np.ndindex(repeats, sampled):
+            at = np.zeros(len(three), np.int64)
+            for step in range(THIN):
+                c = chars[at, three]
+                if step == taken[r, n]:
+                    self.blocks[r, n] = c
+                at += move[r, n, step][c]
+            self.blocks[r, n] += (at * CLASSES).astype(np.uint8)
+
+    def keys(self, text: np.ndarray, at: np.ndarray, repeat: int, known: list[np.ndarray] | None) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """(places, keys, keys after each of PREFIXES coordinates) of the walks from `at`; text (triples) goes on for steps + 1 empty ones.
 
         With `known`, filters of those prefixes of the items: only the places whose prefixes pass them all. Without, only the
-        places from which the walk stays within chars.
+        places from which the walk stays within the text.
         """
-        place, key, here = at, np.zeros(len(at), np.uint64), at.copy()
-        levels, n = [], 0
-        for step in range(self.taken[repeat, -1] + 1):
-            c = chars.take(here)
-            if step == self.taken[repeat, n]:
-                key = (key ^ (c.view(np.uint64) + np.uint64(1))) * self.mix[repeat, n]
-                key ^= key >> np.uint64(29)
-                n += 1
-                if n % PREFIX == 0:
-                    if known is None:
-                        levels.append(key)
-                    else:
-                        keep = np.flatnonzero(known[n // PREFIX - 1].take((key >> np.uint64(64 - FILTER)).astype(np.int64)))
-                        place, key, here, c = place.take(keep), key.take(keep), here.take(keep), c.take(keep)
-                        if not len(place):
-                            break
-            here = here + self.move[repeat, step].take(c)
+        place, key, here = at, np.zeros(len(at), np.int64), at
+        levels = []
+        for n in range(self.sampled):
+            block = self.blocks[repeat, n].take(text.take(here))
+            key = key * CLASSES + (block & (CLASSES - 1))
+            here = here + (block // CLASSES)
+            if n + 1 in PREFIXES:
+                if known is None:
+                    levels.append(key)
+                else:
+                    keep = np.flatnonzero(known[PREFIXES.index(n + 1)].take(bucket(key)))
+                    place, key, here = place.take(keep), key.take(keep), here.take(keep)
+                    if not len(place):
+                        break
         if known is None:
-            keep = here <= len(chars) - self.steps - 1
+            keep = here <= len(text) - self.steps - 1
             place, key, levels = place[keep], key[keep], [x[keep] for x in levels]
         return place, key, levels
 
@@ -110,7 +136,7 @@ class Walks:
 @dataclass
 class Table:
     walks: Walks
-    known: list[list[np.ndarray]]  # of each repeat: filters of the keys after each PREFIX coordinates
+    known: list[list[np.ndarray]]  # of each repeat: filters of the keys after each of PREFIXES coordinates
     posts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]  # of each repeat: keys, ascending, and item and offset of each
 
 
@@ -209,8 +235,8 @@ class Index:
 def needed(length: int) -> int:
     """Votes for which an item is verified. Random passages with a fifth of edits nearly all have as many; tests hold recall to 0.9."""
     if length < LENGTHS[0][0]:
-        return max(1, (length - 65) // 5)
-    return max(1, (length - 70) // 8, (length - 110) // 5)
+        return max(1, (length - 65) // 7)
+    return max(1, (length - 70) // 11, (length - 110) // 7)
 
 
 def build(items: list[tuple[int, str]], similarity: float = SIMILARITY) -> Index:
@@ -230,14 +256,14 @@ def build(items: list[tuple[int, str]], similarity: float = SIMILARITY) -> Index
 
 def _table(texts: list[str], own: list[int], walks: Walks) -> Table:
     known, posts = [], []
-    coded = [np.concatenate([codes(texts[n]), np.zeros(walks.steps + 1, np.int64)]) for n in own]
+    coded = [triples(texts[n], walks.steps + 1) for n in own]
     for r in range(walks.repeats):
-        filters = [np.zeros(1 << FILTER, bool) for _ in range(walks.sampled // PREFIX)]
+        filters = [np.zeros(1 << FILTER, bool) for _ in PREFIXES]
         found = []
         for n, chars in zip(own, coded, strict=True):
             place, key, prefixes = walks.keys(chars, np.arange(len(texts[n])), r, None)
             for bits, prefix in zip(filters, prefixes, strict=True):
-                bits[prefix >> np.uint64(64 - FILTER)] = True
+                bits[bucket(prefix)] = True
             found.append((key, np.full(len(key), n, np.int32), place.astype(np.int32)))
         key, item, offset = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.argsort(key, kind="stable")
@@ -285,13 +311,13 @@ def budget(item: str, similarity: float = SIMILARITY) -> int:
     return int((1 - similarity) * len(item) + 1e-9)
 
 
-def votes(chars: np.ndarray, n: int, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """(item << 32 | place where it would start, ascending, how many walks say so) for the first n of chars; places are moved on by 2**31."""
+def votes(text: np.ndarray, n: int, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """(item << 32 | place where it would start, ascending, how many walks say so) for the first n of text (triples); places are moved on by 2**31."""
     found: list[tuple[np.ndarray, np.ndarray]] = []
     for table, r in ((t, r) for t in index.tables for r in range(t.walks.repeats)):
         keys, items, offsets = table.posts[r]
         for lo in range(0, n, CHUNK):
-            place, key, _ = table.walks.keys(chars, np.arange(lo, min(n, lo + CHUNK)), r, table.known[r])
+            place, key, _ = table.walks.keys(text, np.arange(lo, min(n, lo + CHUNK), STRIDE), r, table.known[r])
             first = np.searchsorted(keys, key)
             many = np.searchsorted(keys, key, side="right") - first
             upto = np.cumsum(many)
@@ -314,8 +340,8 @@ def candidates(texts: list[str], index: Index) -> list[list[tuple[int, int, int]
     """For each normalised text, (item, first and last place where it would start) with as many votes as are needed, ascending."""
     lengths = np.array([len(t) for t in texts]) + 1
     ends = np.cumsum(lengths)
-    chars = np.concatenate([codes("\n".join(texts)), np.zeros(max((t.walks.steps for t in index.tables), default=0) + 2, np.int64)])
-    key, count = votes(chars, int(ends[-1]) - 1, index)
+    text = triples("\n".join(texts), max((t.walks.steps for t in index.tables), default=0) + 2)
+    key, count = votes(text, int(ends[-1]) - 1, index)
     item = key >> 32
     total = np.concatenate([[0], np.cumsum(count)])
     enough = total[np.searchsorted(key, key + index.shift[item], side="right")] - total[:-1] >= index.needed[item]
