@@ -76,6 +76,49 @@ def evidence(answers: DataFrame, key: str, probs: str, floor: float = POINTER) -
     return rows.select(key, "line_id", "p", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("p"), "line_id")).alias("nth"))
 
 
+def needs_check(probs: Column, floor: float = POINTER) -> Column:
+    """Whether an answer points to nothing that could be shown: `none` is its best, or no line reaches the floor."""
+    lines = F.map_filter(probs, lambda k, p: (k != "none") & (p >= floor))
+    return F.coalesce((choice(probs) == "none") | (F.size(lines) == 0), F.lit(True))
+
+
+def trusted(pointers: DataFrame, existence: DataFrame, key: str) -> DataFrame:
+    """pointers (key, probs) with `line_id`: the best line, trusted only where the answer (key, p) on whether there is one at all is an absolute yes."""
+    rows = pointers.join(existence.select(key, F.col("p").alias("_there")), key, "left")
+    best = choice(F.map_filter("probs", lambda k, p: k != "none"))
+    return rows.withColumn("line_id", F.when(F.col("_there") > HIGH, best)).drop("_there")
+
+
+def role_years(roles: DataFrame, key: str, start: str, end: str, p: str) -> DataFrame:
+    """(key, years): the union of the ranges of roles that count, by an answer of ROLE at least; keys with none have 0."""
+    counted = merged_intervals(roles.where(F.col(p) >= ROLE), key, start, end).groupBy(key).agg((F.sum(F.datediff(end, start)) / 365.25).alias("years"))
+    return roles.select(key).distinct().join(counted, key, "left").select(key, F.coalesce("years", F.lit(0.0)).alias("years"))
+
+
+def crossings(runs: DataFrame, key: str, order: str, p: str) -> DataFrame:
+    """(key, runs, crossed): the share of repeated answers that are on another side of the review band than the one before."""
+    side = F.when(F.col(p) < LOW, 0).when(F.col(p) > HIGH, 2).otherwise(1)
+    moved = side != F.lag(side).over(Window.partitionBy(key).orderBy(order))
+    return runs.withColumn("_moved", moved).groupBy(key).agg(F.count("*").alias("runs"), F.try_divide(F.count_if("_moved").cast("double"), F.count("*") - 1).alias("crossed"))
+
+
+def valid(expected: DataFrame, answered: DataFrame, request: str, question: str) -> DataFrame:
+    """(request, missing, mistyped, ok) for expected (request, question, type) and answered (request, question, answer as JSON).
+
+    A request is rejected whole if an expected question has no answer or one of another type: number, string, boolean,
+    object or array.
+    """
+    kind = F.schema_of_variant(F.try_parse_json("answer"))
+    named = (
+        F.when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "number")
+        .when(kind.startswith("OBJECT"), "object").when(kind.startswith("ARRAY"), "array").otherwise(F.lower(kind))
+    )
+    own = answered.select(request, question, named.alias("_kind"))
+    rows = expected.join(own, [request, question], "left")
+    rows = rows.groupBy(request).agg(F.count_if(F.col("_kind").isNull()).alias("missing"), F.count_if(F.col("_kind") != F.col("type")).alias("mistyped"))
+    return rows.withColumn("ok", (F.col("missing") == 0) & (F.col("mistyped") == 0))
+
+
 def coverage(verdicts: DataFrame, key: list[str]) -> DataFrame:
     """(key, n, credit, unclear, low, high): the range of required coverage; null without required items."""
     credit = F.lit(0.0)

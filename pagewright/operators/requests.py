@@ -53,8 +53,18 @@ def compared(declared: Column, required: Column, exact: Column) -> Column:
 
 
 def reviewed(probability: Column, top: Column) -> Column:
-    """Why an answer is to be reviewed, or null."""
-    return F.when(probability.between(LOW, HIGH), "in the band").when(top < TOP, "split")
+    """Why an answer is to be reviewed, or null; one without a confidence always is."""
+    return F.when(probability.isNull() | top.isNull(), "no confidence").when(probability.between(LOW, HIGH), "in the band").when(top < TOP, "split")
+
+
+def usable(confidence: Column, cost: Column) -> Column:
+    """What is done with a response: rejected without a cost, reviewed without a confidence."""
+    return F.when(cost.isNull(), "reject").when(confidence.isNull(), "review").otherwise("use")
+
+
+def role_requirements(roles: DataFrame, atoms: DataFrame, key: str) -> DataFrame:
+    """Each role of a key with each of its requirements of years (min_years): a question for each pair."""
+    return roles.join(atoms.where("min_years IS NOT NULL"), key)
 
 
 def composite(score: Column, levels: Column, weight: Column) -> tuple[Column, Column]:
@@ -79,6 +89,28 @@ def edited(items: DataFrame, edits: DataFrame, id_: str) -> DataFrame:
     return rows.unionByName(added)
 
 
+def rearranged(items: DataFrame, edits: DataFrame, id_: str) -> DataFrame:
+    """items (id, kind, text, pos) under edits (id, op, target, kind): `kind` sets it, `move` puts the item at position target, `merge` adds its text to that of the item target.
+
+    Merged texts follow the target's own, in the order of their positions; what an item is merged into may itself be set or
+    moved, but not merged. `source` says what was done.
+    """
+    own = lambda op, *cols: edits.where(F.col("op") == op).select(id_, *cols)
+    merged = items.join(own("merge", F.col("target").alias("_into")), id_).groupBy("_into")
+    merged = merged.agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_more")).withColumnRenamed("_into", id_)
+    rows = items.join(own("merge"), id_, "left_anti").join(own("kind", F.col("kind").alias("_kind")), id_, "left")
+    rows = rows.join(own("move", F.col("target").alias("_pos")), id_, "left").join(merged, id_, "left")
+    parts = F.concat(F.array("text"), F.coalesce(F.transform("_more", lambda m: m["text"]), F.array().cast("array<string>")))
+    done = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), what) for c, what in (("_more", "merged by you"), ("_kind", "edited by you"), ("_pos", "moved by you")))))
+    return rows.select(
+        id_,
+        F.coalesce("_kind", "kind").alias("kind"),
+        F.array_join(parts, " ").alias("text"),
+        F.coalesce("_pos", "pos").alias("pos"),
+        F.when(F.size(done) > 0, F.array_join(done, ", ")).otherwise("read").alias("source"),
+    )
+
+
 def to_ask(requests: DataFrame, cache: DataFrame, key: str) -> DataFrame:
     """Requests whose key isn't cached."""
     return requests.join(cache.select(key).distinct(), key, "left_anti")

@@ -171,7 +171,8 @@ def following_first(spark, d):
     return rows.select("page_id", F.nullif(text.normalize_text(nodes.string_value(n, F.col("p"))), F.lit("")).alias("first_p"))
 
 
-@query("SELECT page_id, 'ul' AS of_items, 'article' AS of_heading_and_text FROM pages")
+@query(f"""SELECT page_id, CASE WHEN regexp_matches({PLAIN_SQL}, '<li[ >]') THEN CASE WHEN len(regexp_extract_all({PLAIN_SQL}, '</?ul>')) = 2 THEN 'ul' END END AS of_items,
+  CASE WHEN regexp_matches(regexp_extract({PLAIN_SQL}, '(?s)<article>.*'), '<(h1|p)[ >]') THEN 'article' END AS of_heading_and_text FROM pages""")
 def nearest_common_ancestor(spark, d):
     """Of all list items, and of the article's heading and its paragraphs."""
     n = F.col("nodes")
@@ -335,10 +336,15 @@ def pii_sweep(spark, d):
     return rows.where(~F.col("swept").eqNullSafe(text.non_empty(F.col("text")))).select("doc_id", "pos", "swept")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS leaks")
+def _leaks_sql(x: str) -> str:
+    return "count(*) FILTER (WHERE " + " OR ".join(f"regexp_matches({x}, '{p}')" for _, p in privacy.SWEPT) + ")"
+
+
+@query(f"SELECT {_leaks_sql('text')} AS before, {_leaks_sql(_SWEEP)} AS leaks FROM ({_RAW_SQL})")
 def pii_leak_check(spark, d):
-    rows = _raw_lines(spark, d).select(privacy.sweep(F.col("text")).alias("swept"))
-    return rows.agg(F.count_if(F.coalesce(privacy.leaks(F.col("swept")), F.lit(False))).alias("leaks"))
+    """Lines with personal data, before and after the sweep."""
+    rows = _raw_lines(spark, d).select("text", privacy.sweep(F.col("text")).alias("swept"))
+    return rows.agg(*(F.count_if(F.coalesce(privacy.leaks(F.col(c)), F.lit(False))).alias(name) for c, name in (("text", "before"), ("swept", "leaks"))))
 
 
 @query(f"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS INT) AS line_no, printf('L%03d', row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1) AS line_id, text FROM ({_RAW_SQL}) WHERE text <> ''")

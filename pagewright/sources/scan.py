@@ -56,25 +56,61 @@ def append_history(entries: DataFrame, path: str, columns: Sequence[str]) -> Non
     entries.select(*columns).write.mode("append").parquet(path)
 
 
+def delete_history(spark: SparkSession, path: str, target: str, key: str, deleted: DataFrame | None = None) -> None:
+    """Writes the history at path to target without the entries whose key is among the deleted, or without any."""
+    entries = spark.read.parquet(path)
+    kept = entries.limit(0) if deleted is None else entries.join(deleted.select(key).distinct(), key, "left_anti")
+    kept.write.mode("overwrite").parquet(target)
+
+
+def pasted(lines_of: DataFrame, typed: DataFrame, key: str) -> DataFrame:
+    """Lines (key, page, y, text) of documents, with what was pasted (key, text) instead for those that have it: the way round a document that can't be read."""
+    own = typed.select(key, F.lit(1).alias("page"), F.posexplode(F.split("text", "\n", -1)).alias("y", "text")).where("trim(text) <> ''")
+    return lines_of.join(typed.select(key).distinct(), key, "left_anti").select(key, "page", F.col("y").cast("double"), "text").unionByName(own.withColumn("y", F.col("y").cast("double")))
+
+
+def session_store(df: DataFrame, name: str, withheld: Sequence[str] = ("description", "html")) -> DataFrame:
+    """df without the withheld columns as a view of this session: kept in memory, never written."""
+    kept = df.drop(*withheld).cache()
+    kept.createOrReplaceTempView(name)
+    return kept
+
+
 def tokens(rows: DataFrame, key: str, code: str, names: Sequence[str]) -> DataFrame:
     """(key, nth, token) of the identifiers of code that are among the names."""
     found = rows.select(key, F.posexplode(F.regexp_extract_all(F.col(code), F.lit("[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0))).alias("nth", "token"))
     return found.where(F.col("token").isin(*names))
 
 
-def findings(files: DataFrame, pattern: str) -> DataFrame:
-    """(path, line, text) of the lines of files (path, code) that match; line counts from 1."""
-    rows = files.select("path", F.posexplode(F.split("code", "\n", -1)).alias("at", "text")).where(F.col("text").rlike(pattern))
-    return rows.select("path", (F.col("at") + 1).alias("line"), F.trim("text").alias("text"))
+#: What code is made of: comments and strings, which name nothing, then names, line ends and all else.
+LEXEMES = r"""(?s)/\*.*?(?:\*/|\z)|//[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[A-Za-z_$][A-Za-z0-9_$]*|\n|[^\sA-Za-z_$]"""
+
+
+def lexemes(files: DataFrame) -> DataFrame:
+    """(path, line, nth, lexeme, before, after) of the code in files (path, code), with the lexemes next to each; comments and strings are none, but their lines count."""
+    lines = lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit("\n")))
+    state = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<line:int,lexeme:string>>").alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        names = x.rlike(r"\A[^\s/\"']|\A/\z")
+        return F.struct((s["line"] + lines(x)).alias("line"), F.when(names, F.concat(s["out"], F.array(F.struct(s["line"].alias("line"), x.alias("lexeme"))))).otherwise(s["out"]).alias("out"))
+
+    found = F.aggregate(F.regexp_extract_all("code", F.lit(LEXEMES), F.lit(0)), state, step)["out"]
+    rows = files.select("path", found.alias("all")).select("path", "all", F.posexplode("all").alias("nth", "x"))
+    near = lambda k: F.get("all", F.col("nth") + k)["lexeme"]
+    return rows.select("path", "x.line", "nth", "x.lexeme", near(-1).alias("before"), near(1).alias("after"))
 
 
 def network_uses(files: DataFrame) -> DataFrame:
-    return findings(files, r"(?<![A-Za-z0-9_$])(?:" + "|".join(NETWORK) + r")(?![A-Za-z0-9_$])")
+    """(path, line, text): names of the network interface outside comments and strings; not as another object's member or key."""
+    host = F.coalesce(F.col("before") != ".", F.lit(True)) & F.coalesce(F.col("after") != ":", F.lit(True))
+    return lexemes(files).where(F.col("lexeme").isin(*NETWORK) & host).select("path", "line", F.col("lexeme").alias("text"))
 
 
 def sync_storage_uses(files: DataFrame) -> DataFrame:
-    """Reads of a property `sync`, by name, by key or by destructuring."""
-    return findings(files, r"\.\s*sync\b|\[\s*['\"]sync['\"]\s*\]|\{[^}]*\bsync\b[^}]*\}\s*=")
+    """(path, line, text): uses of a property `sync`, by name or by destructuring."""
+    member = F.col("before").eqNullSafe(".") | (F.coalesce(F.col("before").isin("{", ","), F.lit(False)) & F.coalesce(F.col("after").isin("}", ",", ":"), F.lit(False)))
+    return lexemes(files).where((F.col("lexeme") == "sync") & member).select("path", "line", F.col("lexeme").alias("text"))
 
 
 def violations(found: DataFrame) -> DataFrame:
