@@ -130,7 +130,7 @@ def frequencies(pieces: DataFrame) -> tuple[np.ndarray, int, float]:
         df = np.zeros(1 << 16, np.int64)
         for batch in batches:
             for ids in batch.column(0).to_pylist():
-                df[np.unique(np.frombuffer(ids, "<u2"))] += 1
+                df[distinct(np.frombuffer(ids, "<u2"))] += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["id", "df"])
 
@@ -142,6 +142,14 @@ def frequencies(pieces: DataFrame) -> tuple[np.ndarray, int, float]:
     return df, found["n"], found["mean"] or 1.0
 
 
+def distinct(ids: np.ndarray) -> np.ndarray:
+    """Each id once, ascending."""
+    ids = np.sort(ids)
+    keep = np.ones(len(ids), bool)
+    np.not_equal(ids[1:], ids[:-1], out=keep[1:])
+    return ids[keep]
+
+
 class Index:
     """A shard's inverted index: postings by id, and BM25 weights of each posting."""
 
@@ -155,13 +163,13 @@ class Index:
         order = np.lexsort((-self.weight, self.doc))
         first = np.searchsorted(self.doc[order], np.arange(len(items)))
         self.query = [self.term[order[first[i] : (first[i + 1] if i + 1 < len(items) else len(order))][:TERMS]] for i in range(len(items))]
+        self.first, self.last = ([self.starts[q + i].tolist() for q in self.query] for i in (0, 1))
         self.n = len(items)
 
     def neighbours(self, seed: int) -> tuple[np.ndarray, np.ndarray]:
         """(items, scores) that share a query term with the seed."""
-        terms = self.query[seed]
-        at = np.concatenate([np.arange(self.starts[t], self.starts[t + 1]) for t in terms])
-        score = np.bincount(self.doc[at], self.weight[at], self.n)
+        spans = list(zip(self.first[seed], self.last[seed], strict=True))
+        score = np.bincount(np.concatenate([self.doc[a:b] for a, b in spans]), np.concatenate([self.weight[a:b] for a, b in spans]), self.n)
         near = np.flatnonzero(score)
         return near, score[near]
 
@@ -232,7 +240,7 @@ def fill(items: list[np.ndarray], idf: np.ndarray, mean: float, window: int = WI
 
 def vectors(items: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
     """Unit vectors of the items' rarest terms: idf by hashed id, each id once."""
-    key = np.concatenate([np.unique(x).astype(np.int64) + (i << 16) for i, x in enumerate(items)])
+    key = np.concatenate([distinct(x).astype(np.int64) + (i << 16) for i, x in enumerate(items)])
     id_ = key & 0xFFFF
     lane = (id_ * 40503 & 0xFFFF) * DIM >> 16
     x = np.bincount((key >> 16) * DIM + lane, idf[id_] ** 2, len(items) * DIM).reshape(len(items), DIM).astype(np.float32)
