@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagewright.llm.common import ample, bounded_batches, crc_mod, hash_share
+from pagewright.llm.common import ample, bounded_batches, crc_mod, hash_share, stored
 
 BUCKETS = 1 << 13
 CENTROIDS = 3
@@ -26,6 +26,8 @@ CENTROIDS = 3
 SAMPLE = 600
 TOTAL = 20_000
 LEAST = 20
+#: Languages whose counts are broadcast, at most; beyond, documents are joined by shuffling.
+BROADCAST_LANGUAGES = 100_000
 ROUNDS = 12
 #: A text is rejected if its cosine is under this quantile of the sample's, less SLACK.
 QUANTILE = 0.001
@@ -142,9 +144,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
     bounded_batches(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     own = own.where("lang IS NOT NULL AND doc_id IS NOT NULL").where(crc_mod(F.col("doc_id"), FOLDS) != HELD_OUT)
-    rows_of = own.groupBy("lang").agg(F.count("*").alias("rows"))
+    rows_of = stored(own.groupBy("lang").agg(F.count("*").alias("rows")))
     languages = max(1, rows_of.count())
     sample = min(sample, max(LEAST, TOTAL // languages))
+    if languages <= BROADCAST_LANGUAGES:
+        rows_of = F.broadcast(rows_of)
     thinned = own.select("doc_id", "lang").join(rows_of, "lang").where(hash_share("doc_id", ample(sample, F.col("rows")))).select("doc_id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = thinned.withColumn("n", F.row_number().over(order)).where(F.col("n") <= sample).select("doc_id", "lang")
