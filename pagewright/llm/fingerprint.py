@@ -26,7 +26,7 @@ PHRASE = r"[.!?;:|\n\u3001\u3002\uff01\uff0c\uff1b\uff1f\u060c\u061b\u061f\u0964
 #: Rows of a bucket of neighbouring ids, about, and quantiles from which buckets are laid out: where ids stand in clumps, a
 #: bucket holds one quantile's rows at most.
 BUCKET_ROWS = 1000
-QUANTILES = 512
+QUANTILES = 64
 #: The table of buckets' first rows is broadcast up to so many rows (of 24 bytes); beyond, Spark joins as it sees fit.
 BROADCAST_ROWS = 1_000_000
 
