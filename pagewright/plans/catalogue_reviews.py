@@ -101,11 +101,8 @@ def item_rearrangements(spark, d):
     return requests.rearranged(items, edits, "p_partkey").withColumn("pos", F.col("pos").cast(part.schema["p_size"].dataType))
 
 
-_CODE = "'// fetch me' || chr(10) || 'const a = \"fetch\"; /* XMLHttpRequest' || chr(10) || '*/ x.fetch();' || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN 'await fetch(u)' ELSE 'pause()' END || chr(10) || CASE WHEN p_partkey % 4 = 0 THEN 'chrome.storage.sync.get(k)' WHEN p_partkey % 4 = 1 THEN 'const { sync } = s' ELSE 'sync()' END"
-
-
-@query("""SELECT 'f' || p_partkey || '.ts' AS path, 4 AS line, 'fetch' AS text FROM part WHERE p_partkey % 3 = 0
-UNION ALL SELECT 'f' || p_partkey || '.ts', 5, 'sync' FROM part WHERE p_partkey % 4 < 2""")
+@query("""SELECT 'f' || p_partkey || '.ts' AS path, 4 AS line, 'await fetch(u)' AS text FROM part WHERE p_partkey % 3 = 0
+UNION ALL SELECT 'f' || p_partkey || '.ts', 5, CASE WHEN p_partkey % 4 = 0 THEN 'chrome.storage.sync.get(k)' ELSE 'const { sync } = s' END FROM part WHERE p_partkey % 4 < 2""")
 def code_findings(spark, d):
     """Uses of the network and of synchronised storage in code that also names them in comments, strings and members."""
     id_ = F.col("p_partkey")

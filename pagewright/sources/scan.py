@@ -87,7 +87,7 @@ LEXEMES = r"""(?s)/\*.*?(?:\*/|\z)|//[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n]
 
 
 def lexemes(files: DataFrame) -> DataFrame:
-    """(path, line, nth, lexeme, before, after) of the code in files (path, code), with the lexemes next to each; comments and strings are none, but their lines count."""
+    """(path, line, text, nth, lexeme, before, after) of the code in files (path, code), with the lexemes next to each; comments and strings are none, but their lines count."""
     lines = lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit("\n")))
     state = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<line:int,lexeme:string>>").alias("out"))
 
@@ -96,21 +96,22 @@ def lexemes(files: DataFrame) -> DataFrame:
         return F.struct((s["line"] + lines(x)).alias("line"), F.when(names, F.concat(s["out"], F.array(F.struct(s["line"].alias("line"), x.alias("lexeme"))))).otherwise(s["out"]).alias("out"))
 
     found = F.aggregate(F.regexp_extract_all("code", F.lit(LEXEMES), F.lit(0)), state, step)["out"]
-    rows = files.select("path", found.alias("all")).select("path", "all", F.posexplode("all").alias("nth", "x"))
+    rows = files.select("path", F.split("code", "\n", -1).alias("lines"), found.alias("all")).select("path", "lines", "all", F.posexplode("all").alias("nth", "x"))
+    text = F.trim(F.get("lines", F.col("x.line") - 1)).alias("text")
     near = lambda k: F.get("all", F.col("nth") + k)["lexeme"]
-    return rows.select("path", "x.line", "nth", "x.lexeme", near(-1).alias("before"), near(1).alias("after"))
+    return rows.select("path", "x.line", text, "nth", "x.lexeme", near(-1).alias("before"), near(1).alias("after"))
 
 
 def network_uses(files: DataFrame) -> DataFrame:
-    """(path, line, text): names of the network interface outside comments and strings; not as another object's member or key."""
+    """(path, line, text of the line): names of the network interface outside comments and strings; not as another object's member or key."""
     host = F.coalesce(F.col("before") != ".", F.lit(True)) & F.coalesce(F.col("after") != ":", F.lit(True))
-    return lexemes(files).where(F.col("lexeme").isin(*NETWORK) & host).select("path", "line", F.col("lexeme").alias("text"))
+    return lexemes(files).where(F.col("lexeme").isin(*NETWORK) & host).select("path", "line", "text")
 
 
 def sync_storage_uses(files: DataFrame) -> DataFrame:
-    """(path, line, text): uses of a property `sync`, by name or by destructuring."""
+    """(path, line, text of the line): uses of a property `sync`, by name or by destructuring."""
     member = F.col("before").eqNullSafe(".") | (F.coalesce(F.col("before").isin("{", ","), F.lit(False)) & F.coalesce(F.col("after").isin("}", ",", ":"), F.lit(False)))
-    return lexemes(files).where((F.col("lexeme") == "sync") & member).select("path", "line", F.col("lexeme").alias("text"))
+    return lexemes(files).where((F.col("lexeme") == "sync") & member).select("path", "line", "text")
 
 
 def violations(found: DataFrame) -> DataFrame:
