@@ -12,8 +12,8 @@ from pagewright.operators.nodes import attr_is, both, root_of, select, string_va
 SCRIPT = "application/ld+json"
 TYPE = "JobPosting"
 ADDRESS = ("addressLocality", "addressRegion", "addressCountry")
-#: How many levels of @graph and of arrays are followed.
-DEPTH = 3
+#: The parser of JSON takes no deeper nesting, so that opening ends after as many steps.
+DEPTH = 1000
 
 
 def text_at(v: Column, path: str) -> Column:
@@ -39,18 +39,33 @@ def is_posting(v: Column) -> Column:
     return F.exists(kinds, lambda k: F.coalesce(text_at(k, "$") == TYPE, F.lit(False)))
 
 
-def postings(values: Column, depth: int = DEPTH) -> Column:
-    """Objects of TYPE in a list of values: of each value its @graph's first, then itself."""
-    flat = F.flatten(F.transform(values, lambda v: F.flatten(F.transform(items(v), items))))
-    if depth == 0:
-        return F.filter(flat, is_posting)
+def postings(values: Column) -> Column:
+    """Objects of TYPE in a list of values, however deep in arrays and graphs: of each value its @graph's first, then itself.
 
-    def one(v: Column) -> Column:
+    All that is still closed is opened in place, level by level, until nothing is; a level takes a bracket of the text.
+    """
+
+    def entry(v: Column, done: bool) -> Column:
+        return F.struct(v.alias("v"), F.lit(done).alias("done"))
+
+    def opened(x: Column) -> Column:
+        v = x["v"]
         graph = F.try_variant_get(v, "$['@graph']", "variant")
-        own = F.filter(F.array(v), is_posting)
-        return F.when(graph.isNull(), own).otherwise(F.concat(postings(F.array(graph), depth - 1), own))
+        many = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda i: entry(i, False))
+        whole = F.when(F.schema_of_variant(v).startswith("ARRAY"), many).when(graph.isNotNull(), F.array(entry(graph, False), entry(v, True)))
+        return F.when(x["done"], F.array(x)).otherwise(whole.otherwise(F.array(entry(v, True))))
+
+    def step(s: Column, _: Column) -> Column:
+        wider = F.flatten(F.transform(s["all"], opened))
+        return F.when(s["live"], F.struct(F.exists(s["all"], lambda x: ~x["done"]).alias("live"), wider.alias("all"))).otherwise(s)
 
-    return F.flatten(F.transform(flat, one))
+    def brackets(v: Column) -> Column:
+        return F.char_length(F.to_json(v)) - F.char_length(F.translate(F.to_json(v), "[{", ""))
+
+    levels = F.least(F.lit(DEPTH), F.coalesce(F.array_max(F.transform(values, brackets)), F.lit(0))) + 1
+    start = F.struct(F.lit(True).alias("live"), F.transform(values, lambda v: entry(v, False)).alias("all"))
+    found = F.aggregate(F.sequence(F.lit(1), levels), start, step)["all"]
+    return F.filter(F.transform(found, lambda x: x["v"]), is_posting)
 
 
 def matches(v: Column, job_id: Column, title: Column) -> Column:
@@ -77,8 +92,10 @@ def location(v: Column) -> Column:
 
 def job(values: Column, job_id: Column, title: Column) -> Column:
     """(title, company, location) of the first posting that matches, or null."""
-    v = F.get(F.filter(postings(values), lambda p: matches(p, job_id, title)), F.lit(0))
-    fields = F.struct(
-        non_empty(text_at(v, "$.title")).alias("title"), non_empty(text_at(v, "$.hiringOrganization.name")).alias("company"), location(v).alias("location")
-    )
-    return F.when(v.isNotNull(), fields)
+
+    def fields(v: Column) -> Column:
+        name = non_empty(text_at(v, "$.hiringOrganization.name"))
+        return F.struct(non_empty(text_at(v, "$.title")).alias("title"), name.alias("company"), location(v).alias("location"))
+
+    first = F.slice(F.filter(postings(values), lambda p: matches(p, job_id, title)), 1, 1)
+    return F.get(F.transform(first, fields), F.lit(0))

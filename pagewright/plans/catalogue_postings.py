@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagewright.operators import jsonld
 from pagewright.plans.catalogue import query, table
 from pagewright.plans.posting import extract
 
@@ -113,3 +114,29 @@ def job_failures(spark, d):
     """Pages by layout and reason of refusal."""
     found = extract(made_pages(spark, d)).select(F.coalesce("failure", F.lit("ok")).alias("failure"), "layout", F.col("description.char_count").alias("chars"))
     return found.groupBy("failure", "layout").agg(F.count("*").alias("pages"), F.sum("chars").alias("chars"))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 4 <> 2 THEN 'Inner ' || c_custkey END AS title,
+  CASE WHEN c_custkey % 4 <> 2 THEN 'House ' || c_nationkey END AS company, CASE WHEN c_custkey % 4 <> 2 THEN 'Port, ' || c_nationkey END AS location FROM customer""")
+def json_graphs(spark, d):
+    """The posting that names the customer's number, below up to 60 graphs (first kind), arrays (second) or both in turn (fourth) after one of another number; the third kind has only that.
+
+    In the fourth kind what holds the graph is such a posting itself, and what the graph holds comes first.
+    """
+    rows = table(spark, d, "customer")
+    key, nation, deep = F.col("c_custkey").cast("string"), F.col("c_nationkey").cast("string"), (F.col("c_custkey") % 60).cast("int")
+    kind = F.col("c_custkey") % 4
+
+    def posting(title: str, id_: Column) -> Column:
+        place = F.concat(F.lit('"jobLocation":[{"address":{"addressLocality":"Port","addressCountry":"'), nation, F.lit('"}}]'))
+        house = F.concat(F.lit('"hiringOrganization":{"name":"House '), nation, F.lit('"}'))
+        return F.concat(F.lit('"@type":["Thing","JobPosting"],"title":"' + title + " "), key, F.lit('","identifier":"'), id_, F.lit('",'), house, F.lit(","), place)
+
+    wrong, right = (F.concat(F.lit("{"), posting(t, i), F.lit("}")) for t, i in (("Other", F.lit("none")), ("Inner", key)))
+    inside = F.when(kind == 2, wrong).otherwise(F.concat(wrong, F.lit(","), right))
+    first, last = ('{"@graph":[', "]}"), ("[", "]")
+    wrapped = lambda x, *ways: F.concat(*(F.repeat(F.lit(w[0]), deep) for w in ways), F.lit("["), x, F.lit("]"), *(F.repeat(F.lit(w[1]), deep) for w in reversed(ways)))
+    outer = F.concat(F.lit("{"), posting("Outer", key), F.lit(',"@graph":'), wrapped(inside, first, last), F.lit("}"))
+    text = F.when(kind == 1, wrapped(inside, last)).when(kind == 3, outer).otherwise(wrapped(inside, first))
+    found = rows.select("c_custkey", jsonld.job(F.array(F.try_parse_json(text)), key, F.lit("")).alias("job"))
+    return found.select("c_custkey", "job.title", "job.company", "job.location")

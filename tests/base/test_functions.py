@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagewright.functions import atoms, privacy, text, urls
-from pagewright.operators import decide
+from pagewright.operators import decide, jsonld
 from pagewright.sources import scan
 from pagewright.streaming import pages as stream
 
@@ -110,6 +110,63 @@ def test_sources(spark, tmp_path):
         assert one(spark, lambda p: scan.host_allowed(p, ["a.com"]), pattern) is ok
 
 
+def test_histories(spark, tmp_path):
+    entries = spark.createDataFrame([(1, "a", "long text"), (2, "b", "long text"), (2, "c", None)], "id int, verdict string, description string")
+    for part in (entries.where("id = 1"), entries.where("id = 2")):
+        scan.append_history(part, f"{tmp_path}/history", ["id", "verdict"])
+    scan.delete_history(spark, f"{tmp_path}/history", f"{tmp_path}/less", "id", spark.createDataFrame([(2,), (2,), (9,)], "id int"))
+    less = spark.read.parquet(f"{tmp_path}/less")
+    assert less.columns == ["id", "verdict"] and [tuple(r) for r in less.collect()] == [(1, "a")]
+    scan.delete_history(spark, f"{tmp_path}/history", f"{tmp_path}/none", "id")
+    assert spark.read.parquet(f"{tmp_path}/none").count() == 0 and spark.read.parquet(f"{tmp_path}/history").count() == 3
+
+
+def test_session_store(spark):
+    rows = spark.createDataFrame([(1, "a", "long", "<p>")], "id int, verdict string, description string, html string")
+    kept = scan.session_store(rows, "held")
+    assert spark.table("held").columns == ["id", "verdict"] and spark.table("held").count() == 1
+    spark.catalog.dropTempView("held")
+    kept.unpersist()
+
+
+def test_pasted_text(spark):
+    lines = spark.createDataFrame([(1, 1, 1.0, "scanned"), (2, 1, 1.0, "kept")], "cv int, page int, y double, text string")
+    typed = spark.createDataFrame([(1, "one\n \ntwo"), (3, ""), (4, None)], "cv int, text string")
+    assert sorted((r.cv, r.text) for r in scan.pasted(lines, typed, "cv").collect()) == [(1, "one"), (1, "two"), (2, "kept")]
+
+
+def test_files_and_notices(spark, tmp_path):
+    (tmp_path / "a.html").write_text("<p>\n</p>")
+    (tmp_path / "b.json").write_text('{"n": [1,\n2]}')
+    assert [r.html for r in scan.page_files(spark, f"{tmp_path}/*.html").collect()] == ["<p>\n</p>"]
+    assert scan.json_file(spark, f"{tmp_path}/b.json").first().n == [1, 2]
+    scan.write_results(spark.range(3).selectExpr("id", "id % 2 AS odd"), f"{tmp_path}/out", "odd")
+    scan.write_results(spark.range(3, 4).selectExpr("id", "id % 2 AS odd"), f"{tmp_path}/out", "odd")
+    assert spark.read.parquet(f"{tmp_path}/out").where("odd = 1").count() == 2
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
+    assert [r.name for r in scan.unlisted(names("p", "q"), names("q")).collect()] == ["p"]
+    runs = spark.createDataFrame([("a", 1, "m1"), ("a", 2, "m1"), ("a", 3, "m2"), ("b", 1, "m2")], "run string, at int, model string")
+    assert {(r.run, r.at) for r in scan.latest_model(runs, "run").where("changed").collect()} == {("a", 3)}
+
+
+def test_postings_at_any_depth(spark):
+    inner = '{"@type":"JobPosting","title":"In"}'
+    texts = [
+        "[" * 400 + inner + "]" * 400,
+        '{"@graph":' * 300 + inner + "}" * 300,
+        '{"@graph":null,"@type":"JobPosting","title":"Own"}',
+        '[{"@type":"JobPosting","title":"Out","@graph":[[' + inner + '],"text",3,null]},' + inner + "]",
+        "[]",
+        '"JobPosting"',
+        "null",
+        "no json",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    values = F.filter(F.array(F.try_parse_json("t")), lambda v: v.isNotNull())
+    found = rows.select("i", F.transform(jsonld.postings(values), lambda v: jsonld.text_at(v, "$.title")).alias("x")).collect()
+    assert {r.i: r.x for r in found} == {0: ["In"], 1: ["In"], 2: ["Own"], 3: ["In", "Out", "In"], 4: [], 5: [], 6: [], 7: []}
+
+
 def test_stream(spark, tmp_path):
     rows = [(1, "https://www.linkedin.com/jobs/view/7", "<title>A</title>", dt.datetime(2026, 1, 1, 0, 1)), (2, "https://x.y/", None, dt.datetime(2026, 1, 1, 0, 2))]
     spark.createDataFrame(rows, stream.SCHEMA).write.parquet(f"{tmp_path}/in")
