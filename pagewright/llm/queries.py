@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pagewright.llm import chat, decontaminate, extract, fingerprint, language, packing, secrets, simhash, tokens, toxicity
+from pagewright.llm import chat, decontaminate, extract, fingerprint, language, mixture, packing, quantize, resample, secrets, simhash, tokens, toxicity
 from pagewright.llm.common import table
 
 
@@ -55,9 +55,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quantize.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixture.taken(table(spark, sf_dir, "documents"))
+
+
+def op13_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_chat": chat.ORACLE}
+    return {"op2_chat": chat.ORACLE, "op11_codes": quantize.ORACLE, "op12_mixture": mixture.ORACLE, "op13_resample": resample.ORACLE}
