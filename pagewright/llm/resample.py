@@ -160,7 +160,8 @@ def ranked(rows: DataFrame, least_words: int, percent: int) -> DataFrame:
     """
     may = F.col("n_words") >= least_words
     order = [F.when(may, 0).otherwise(1).asc(), F.desc("score"), F.asc_nulls_last("doc_id"), F.asc("_nth")]  # equal rows are dealt by _nth
-    ranged = rows.withColumn("_nth", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
+    # stored before, as the ranges are laid out from a sample, for which all would be weighed once more
+    ranged = stored(rows).withColumn("_nth", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
     ranged = stored(ranged.select("*", F.spark_partition_id().alias("_range"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("_at")))
     counts = sorted(map(tuple, ranged.groupBy("_range").agg(F.count("*"), F.count_if(may)).collect()))
     before, starts = 0, []
