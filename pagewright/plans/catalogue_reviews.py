@@ -101,19 +101,6 @@ def item_rearrangements(spark, d):
     return requests.rearranged(items, edits, "p_partkey").withColumn("pos", F.col("pos").cast(part.schema["p_size"].dataType))
 
 
-@query("""SELECT 'f' || p_partkey || '.ts' AS path, 4 AS line, 'await fetch(u)' AS text FROM part WHERE p_partkey % 3 = 0
-UNION ALL SELECT 'f' || p_partkey || '.ts', 5, CASE WHEN p_partkey % 4 = 0 THEN 'chrome.storage.sync.get(k)' ELSE 'const { sync } = s' END FROM part WHERE p_partkey % 4 < 2""")
-def code_findings(spark, d):
-    """Uses of the network and of synchronised storage in code that also names them in comments, strings and members."""
-    id_ = F.col("p_partkey")
-    code = F.concat(
-        F.lit('// fetch me\nconst a = "fetch"; /* XMLHttpRequest\n*/ x.fetch();\n'), F.when(id_ % 3 == 0, "await fetch(u)").otherwise("pause()"), F.lit("\n"),
-        F.when(id_ % 4 == 0, "chrome.storage.sync.get(k)").when(id_ % 4 == 1, "const { sync } = s").otherwise("sync()"),
-    )
-    files = table(spark, d, "part").select(F.concat(F.lit("f"), id_.cast("string"), F.lit(".ts")).alias("path"), code.alias("code"))
-    return scan.network_uses(files).unionByName(scan.sync_storage_uses(files))
-
-
 @query("""SELECT event_id, user_id, coalesce(event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id), false) AS changed FROM events""")
 def model_snapshots(spark, d):
     rows = table(spark, d, "events").select(F.col("event_id"), "user_id", F.col("event_id").alias("at"), F.col("event_type").alias("model"))

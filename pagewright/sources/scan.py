@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from pagewright.sources.script import BINDING, COMPUTED, IDENTIFIER, MEMBER, STRING, code_nodes
+
 #: Names that may not be used, script files, and what a document must have to count as readable.
 NETWORK = ("fetch", "XMLHttpRequest", "WebSocket", "EventSource")
-SCRIPTS = "*.{ts,tsx,js,jsx,mjs,cjs}"
+SCRIPTS = "*.{ts,tsx,js,jsx,mts,mtsx,mjs,mjsx,cts,ctsx,cjs,cjsx}"
 MIN_EXTRACTED = 200
 
 
@@ -82,36 +84,16 @@ def tokens(rows: DataFrame, key: str, code: str, names: Sequence[str]) -> DataFr
     return found.where(F.col("token").isin(*names))
 
 
-#: What code is made of: comments and strings, which name nothing, then names, line ends and all else.
-LEXEMES = r"""(?s)/\*.*?(?:\*/|\z)|//[^\n]*|"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|[A-Za-z_$][A-Za-z0-9_$]*|\n|[^\sA-Za-z_$]"""
-
-
-def lexemes(files: DataFrame) -> DataFrame:
-    """(path, line, text, nth, lexeme, before, after) of the code in files (path, code), with the lexemes next to each; comments and strings are none, but their lines count."""
-    lines = lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit("\n")))
-    state = F.struct(F.lit(1).alias("line"), F.array().cast("array<struct<line:int,lexeme:string>>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        names = x.rlike(r"\A[^\s/\"']|\A/\z")
-        return F.struct((s["line"] + lines(x)).alias("line"), F.when(names, F.concat(s["out"], F.array(F.struct(s["line"].alias("line"), x.alias("lexeme"))))).otherwise(s["out"]).alias("out"))
-
-    found = F.aggregate(F.regexp_extract_all("code", F.lit(LEXEMES), F.lit(0)), state, step)["out"]
-    rows = files.select("path", F.split("code", "\n", -1).alias("lines"), found.alias("all")).select("path", "lines", "all", F.posexplode("all").alias("nth", "x"))
-    text = F.trim(F.get("lines", F.col("x.line") - 1)).alias("text")
-    near = lambda k: F.get("all", F.col("nth") + k)["lexeme"]
-    return rows.select("path", "x.line", text, "nth", "x.lexeme", near(-1).alias("before"), near(1).alias("after"))
-
-
 def network_uses(files: DataFrame) -> DataFrame:
-    """(path, line, text of the line): names of the network interface outside comments and strings; not as another object's member or key."""
-    host = F.coalesce(F.col("before") != ".", F.lit(True)) & F.coalesce(F.col("after") != ":", F.lit(True))
-    return lexemes(files).where(F.col("lexeme").isin(*NETWORK) & host).select("path", "line", "text")
+    """(path, line, text of the node) of files (path, code): names of the network interface, as any identifier or whole string."""
+    found = code_nodes(files).where(F.col("kind").isin(IDENTIFIER, STRING) & F.col("name").isin(*NETWORK))
+    return found.select("path", "line", "text")
 
 
 def sync_storage_uses(files: DataFrame) -> DataFrame:
-    """(path, line, text of the line): uses of a property `sync`, by name or by destructuring."""
-    member = F.col("before").eqNullSafe(".") | (F.coalesce(F.col("before").isin("{", ","), F.lit(False)) & F.coalesce(F.col("after").isin("}", ",", ":"), F.lit(False)))
-    return lexemes(files).where((F.col("lexeme") == "sync") & member).select("path", "line", "text")
+    """(path, line, text of the node): members named `sync`, computed ones too, and bindings of that property, whatever holds it."""
+    found = code_nodes(files).where(F.col("kind").isin(MEMBER, COMPUTED, BINDING) & (F.col("name") == "sync"))
+    return found.select("path", "line", "text")
 
 
 def violations(found: DataFrame) -> DataFrame:
@@ -124,6 +106,15 @@ def host_allowed(pattern: Column, hosts: Sequence[str]) -> Column:
     return ~F.contains(host, F.lit("*")) & host.isin(*hosts)
 
 
+def grants_access(pattern: Column, names: Sequence[str]) -> Column:
+    """Whether a permission reaches a host that holds one of the names: all addresses, any host, or a host with the name in it."""
+    host = F.regexp_extract(pattern, r"\A[a-z*]+://([^/]*)/", 1)
+    named = F.lit(False)
+    for name in names:
+        named = named | F.contains(host, F.lit(name))
+    return F.coalesce((pattern == "<all_urls>") | (host == "*") | named, F.lit(False))
+
+
 def license_problems(packages: DataFrame, allowed: Sequence[str]) -> DataFrame:
     """(name, license) of shipped packages whose licence isn't allowed; packages: MAP name to (dev, license)."""
     rows = packages.select(F.explode("packages").alias("name", "p")).where(~F.coalesce(F.col("p.dev"), F.lit(False)))

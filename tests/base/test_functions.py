@@ -100,7 +100,7 @@ def test_sources(spark, tmp_path):
     (tmp_path / "y.md").write_text("fetch")
     files = scan.source_tree(spark, str(tmp_path))
     assert [r.line for r in scan.network_uses(files).collect()] == [1] and [r.line for r in scan.sync_storage_uses(files).collect()] == [2]
-    assert scan.violations(scan.network_uses(files)).first().violation.endswith("x.ts:1 const a = fetch('u')")
+    assert scan.violations(scan.network_uses(files)).first().violation.endswith("x.ts:1 fetch")
     items = spark.createDataFrame([(1, 1, 5.0, 1.0, "b"), (1, 1, 1.0, 1.0, "a"), (1, 2, 1.0, 1.0, None)], "cv int, page int, x double, y double, text string")
     assert {r.text for r in scan.lines_of_items(items.where("text IS NOT NULL"), "cv").collect()} == {"a b"}
     assert scan.readable(items, "cv").first().readable is False
@@ -108,6 +108,8 @@ def test_sources(spark, tmp_path):
     assert [r.name for r in scan.license_problems(packages, ["MIT"]).collect()] == ["p"]
     for pattern, ok in (("https://a.com/*", True), ("https://*.a.com/*", False), ("*://*/*", False), ("https://b.com/*", False)):
         assert one(spark, lambda p: scan.host_allowed(p, ["a.com"]), pattern) is ok
+    for pattern, ok in (("https://www.shop.com/*", True), ("*://*.shop.org/*", True), ("<all_urls>", True), ("*://*/*", True), ("storage", False), ("https://a.com/shop", False), (None, False)):
+        assert one(spark, lambda p: scan.grants_access(p.cast("string"), ["shop", "mall"]), pattern) is ok
 
 
 def test_histories(spark, tmp_path):
