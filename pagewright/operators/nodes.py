@@ -4,14 +4,11 @@ A node's position in the array is its `pre`; `last` is the position of its last
 ancestor is a lookup by position, and every axis is a function of one row: no join and no shuffle. Spark has no parser of
 tag soup, so that one step is Python, in Arrow batches.
 
-HTML mode ends elements as far as the pages need it: a paragraph ends at the next block, list items and table cells at their
-next; unknown end tags are left out. Markup of the whole HTML tree construction (foster parenting, reopened formatting) isn't
-repaired. XML mode takes the nesting as it is written.
+HTML mode builds the tree as HTML does (`construct`); XML mode takes the nesting as it is written.
 """
 
 from __future__ import annotations
 
-import html
 import re
 from collections.abc import Iterator
 
@@ -20,89 +17,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-from pagewright.operators.markup import CLOSE, RAW, TEXT, attributes, tokens
+from pagewright.operators.construct import DEEPEST, PLAIN, parse  # noqa: F401  part of this interface
 
 NODE = "struct<pre:int,last:int,level:int,parent:int,path:array<int>,tag:string,attrs:map<string,string>,text:string>"
 
-#: Elements deeper than this become siblings, as in browsers: so a node's path is of bounded length.
-DEEPEST = 256
 WS = re.compile("[\t-\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
-#: Elements without content, of plain text, that end a paragraph, and that end one another.
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-PLAIN = frozenset("script style textarea title".split())
-ENDS_P = frozenset(
-    "address article aside blockquote center details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
-)
-SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-FENCES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "p": {"button"}}
-
-
 def normal(text: str) -> str:
     """White space collapsed and trimmed."""
     return WS.sub(" ", text).strip(" ")
 
 
-def parse(page: str, xml: bool = False) -> list[dict]:
-    """Nodes of a page; text nodes have no tag. White space at the very start and end of the page makes no node."""
-    nodes: list[dict] = []
-    open_: list[int] = []
-    paths: list[list[int]] = [[]]  # of the children of each open element, which share it
-    counts: dict[str, int] = {}  # of open elements by tag
-
-    def add(tag: str | None, attrs: dict[str, str], text: str | None) -> int:
-        me = len(nodes)
-        nodes.append({"pre": me, "last": me, "level": len(open_), "parent": open_[-1] if open_ else None, "path": paths[-1], "tag": tag, "attrs": list(attrs.items()), "text": text})
-        return me
-
-    def text(raw: str, decode: bool = True) -> None:
-        if raw and (open_ or raw.strip()):
-            add(None, {}, html.unescape(raw) if decode else raw)
-
-    def close(to: int) -> None:
-        while len(open_) > to:
-            node = nodes[open_.pop()]
-            paths.pop()
-            node["last"] = len(nodes) - 1
-            counts[node["tag"]] -= 1
-
-    def close_tag(tags: set[str], fences: set[str]) -> None:
-        if not any(counts.get(t) for t in tags):
-            return
-        for i in range(len(open_) - 1, -1, -1):
-            tag = nodes[open_[i]]["tag"]
-            if tag in tags:
-                close(i)
-                return
-            if tag in fences:
-                return
-
-    for kind, name, more in tokens(page, frozenset() if xml else PLAIN, xml):
-        if kind == TEXT:
-            text(name)
-        elif kind == RAW:
-            text(name, decode=more in ("title", "textarea"))
-            if more:
-                close(len(open_) - 1)
-        elif kind == CLOSE:
-            close_tag({name}, set())
-        else:
-            if not xml:
-                if name in ENDS_P:
-                    close_tag({"p"}, FENCES["p"])
-                if name in SIBLINGS:
-                    close_tag(SIBLINGS[name], FENCES[name])
-            if len(open_) == DEEPEST:
-                close(DEEPEST - 1)
-            me = add(name, attributes(more, not xml), None)
-            if (xml and more.endswith("/")) or (not xml and name in VOID):
-                continue
-            open_.append(me)
-            paths.append([*nodes[me]["path"], me])
-            counts[name] = counts.get(name, 0) + 1
-    close(0)
-    return nodes
-
-
 #: Rows and bytes of pages that go to a Python worker at once, and rows that it turns into trees at once.
 BATCH_ROWS, BATCH_BYTES, PIECE_ROWS = 500, 4 << 20, 50
 

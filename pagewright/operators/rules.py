@@ -1,15 +1,16 @@
 """Rules that read values from pages: selectors as data, evaluated for all rules in one pass over a page's tree.
 
-A rule finds elements below the page's root, narrows them, picks one and takes its value. Which rule of a field wins, what is
+A page is indexed once, by tag, class, id and attribute name; a rule looks its elements up by what its selector asks of the
+element itself, and checks ancestors, from right to left, for those only. A rule finds elements below the page's root, narrows them, picks one and takes its value. Which rule of a field wins, what is
 recorded and why a page is refused is decided later, on columns.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass, field
-from functools import lru_cache
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -18,13 +19,11 @@ from pyspark.sql.types import DataType, StructField, StructType
 
 from pagewright.operators.blocks import BLOCK, walk
 from pagewright.operators.nodes import bounded_batches, normal, parse, pieces
+from pagewright.operators.selectors import Compound, compiled, keys_of, passes
 
 FACT = "struct<matched:int,value:string,pre:int,last:int,level:int>"
 
-_PART = re.compile(r"""\s*(?:(\*|[a-zA-Z][\w-]*)|\.([\w-]+)|\#([\w-]+)|\[([\w-]+)(?:([\^$*]?=)"([^"]*)")?\])""")
-
 Node = dict
-Test = Callable[[Node, dict[str, str]], bool]
 
 
 @dataclass(frozen=True)
@@ -52,75 +51,103 @@ class Rule:
     pattern: str | None = None
 
 
-@dataclass
-class Page:
-    nodes: list[Node]
-    params: dict[str, str]
-    root: int = -1
-    found: dict[str, int | None] = field(default_factory=dict)
+_INK = re.compile(r"[^\t-\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]")
+
+
+def ink(text: str) -> int:
+    """Characters that aren't white space: as many before normalising as after."""
+    return sum(map(len, _INK.findall(text)))
+
 
-    def span(self, root: int) -> range:
-        return range(root + 1, (self.nodes[root]["last"] if root >= 0 else len(self.nodes) - 1) + 1)
+def lies_in(at: int, spans: tuple[list[int], list[int]], below: bool = False) -> bool:
+    """Whether a node is in one of the spans, which don't overlap; below: not as the first of it."""
+    k = (bisect_left if below else bisect_right)(spans[0], at) - 1
+    return k >= 0 and at <= spans[1][k]
+
+
+class Page:
+    """A page's nodes under an index: elements by tag, class, id and attribute, text by where it lies in the page's whole text."""
+
+    def __init__(self, nodes: list[Node], params: dict[str, str]):
+        self.nodes, self.params, self.root = nodes, params, -1
+        self.found: dict[str, int | None] = {}
+        self.by: dict[tuple[str, str], list[int]] = {}
+        self.known: dict[str, list[int]] = {}  # what a selector finds in the whole page
+        self.spans: dict[str, tuple[list[int], list[int]]] = {}  # the outermost finds of a selector: first and last node
+        starts, inks, parts, at, dark = [], [], [], 0, 0
+        for i, n in enumerate(nodes):
+            starts.append(at)
+            inks.append(dark)
+            if n["tag"] is None:
+                parts.append(n["text"])
+                at += len(n["text"])
+                dark += ink(n["text"])
+                continue
+            n["map"] = own = n.get("map") or dict(n["attrs"])
+            for key in keys_of(n["tag"], own):
+                self.by.setdefault(key, []).append(i)
+        self.starts, self.inks, self.whole = [*starts, at], [*inks, dark], "".join(parts)
+
+    def last(self, at: int) -> int:
+        return self.nodes[at]["last"] if at >= 0 else len(self.nodes) - 1
 
     def text(self, at: int) -> str:
-        return "".join(self.nodes[i]["text"] for i in self.span(at) if self.nodes[i]["tag"] is None)
-
-    def matches(self, at: int, chains: Sequence[Sequence[Test]]) -> bool:
-        """Whether a node passes one of the chains of tests, the last on itself, those before on ancestors, outermost first."""
-        node = self.nodes[at]
-        if node["tag"] is None:
-            return False
-        for chain in chains:
-            if chain[-1](node, self.params):
-                left = len(chain) - 2
-                for p in reversed(node["path"]):
-                    if left < 0:
-                        break
-                    left -= chain[left](self.nodes[p], self.params)
-                if left < 0:
-                    return True
-        return False
+        return self.whole[self.starts[at + 1] : self.starts[self.last(at) + 1]]
+
+    def length(self, at: int) -> int:
+        return self.starts[self.last(at) + 1] - self.starts[at + 1]
+
+    def ink(self, at: int) -> int:
+        return self.inks[self.last(at) + 1] - self.inks[at + 1]
+
+    def candidates(self, compound: Compound) -> Sequence[int]:
+        """The shortest list of the index that holds all elements of a compound."""
+        lists = [self.by.get(key, ()) for key in compound.keys()]
+        return min(lists, key=len) if lists else [i for i, n in enumerate(self.nodes) if n["tag"] is not None]
+
+    def outermost(self, found: Sequence[int]) -> tuple[list[int], list[int]]:
+        """(first, last) nodes of those that lie in no other one."""
+        firsts: list[int] = []
+        for i in found:
+            if not firsts or i > self.nodes[firsts[-1]]["last"]:
+                firsts.append(i)
+        return firsts, [self.nodes[i]["last"] for i in firsts]
+
+    def chained(self, chain: Sequence[Compound]) -> list[int]:
+        """The elements of the last compound below some of the one before, and so on; from the left, each by the spans of the one before."""
+        found: list[int] | None = None
+        for compound in chain:
+            spans = self.outermost(found) if found is not None else None
+            own = self.candidates(compound)
+            if spans is not None:
+                own = [i for i in own if lies_in(i, spans, below=True)]
+            found = [i for i in own if passes(compound, self.nodes[i]["tag"], self.nodes[i]["map"], self.params)]
+        return found or []
+
+    def every(self, selector: str) -> list[int]:
+        """All elements of the page that a selector finds, in order; looked up once a page."""
+        if selector not in self.known:
+            hits = [self.chained(chain) for chain in compiled(selector)]
+            self.known[selector] = hits[0] if len(hits) == 1 else sorted(set().union(*hits))
+        return self.known[selector]
 
     def all(self, selector: str, root: int) -> list[int]:
-        chains = compiled(selector)
-        return [i for i in self.span(root) if self.matches(i, chains)]
+        found = self.every(selector)
+        return found[bisect_right(found, root) : bisect_right(found, self.last(root))]
 
     def covered(self, at: int, selector: str) -> bool:
-        chains = compiled(selector)
-        return any(self.matches(i, chains) for i in (*self.nodes[at]["path"], at))
-
-
-@lru_cache(maxsize=256)
-def compiled(selector: str) -> tuple[tuple[Test, ...], ...]:
-    """Chains of tests of a selector's alternatives."""
-    return tuple(tuple(_compound(part) for part in re.findall(r"(?:\[[^\]]*\]|[^\s\[])+", one)) for one in selector.split(","))
-
-
-def _compound(part: str) -> Test:
-    tests: list[Test] = []
-    at = 0
-    while at < len(part):
-        m = _PART.match(part, at)
-        if m is None:
-            raise ValueError(f"selector not understood: {part}")
-        at = m.end()
-        tag, cls, id_, attr, op, value = m.groups()
-        if tag and tag != "*":
-            tests.append(lambda n, p, tag=tag: n["tag"].lower() == tag)
-        elif cls:
-            tests.append(lambda n, p, cls=cls: cls in n["map"].get("class", "").split())
-        elif id_:
-            tests.append(lambda n, p, id_=id_: n["map"].get("id") == id_)
-        elif attr:
-            tests.append(lambda n, p, attr=attr, op=op, value=value: attr in n["map"] and _compare(n["map"][attr], op, value, p))
-    return lambda n, p: all(t(n, p) for t in tests)
-
-
-def _compare(own: str, op: str | None, value: str | None, params: dict[str, str]) -> bool:
-    if op is None:
-        return True
-    value = value.format(**params) if "{" in value else value
-    return {"=": own == value, "^=": own.startswith(value), "$=": own.endswith(value), "*=": value in own}[op]
+        """Whether the selector finds the element or one around it: whether it lies in one of the outermost finds."""
+        if selector not in self.spans:
+            self.spans[selector] = self.outermost(self.every(selector))
+        return lies_in(at, self.spans[selector])
+
+    def contains(self, at: int, text: str) -> bool:
+        return self.whole.find(text, self.starts[at + 1], self.starts[self.last(at) + 1]) >= 0
+
+    def reading(self, at: Sequence[int], texts: Sequence[str]) -> Iterator[int]:
+        """Those whose normalised text is one of texts; only texts with as much ink are looked at."""
+        inks = {ink(t) for t in texts}
+        return (i for i in at if self.ink(i) in inks and normal(self.text(i)) in texts)
 
 
 def apply(rule: Rule, page: Page) -> tuple[int, str | None, int | None]:
@@ -131,15 +158,16 @@ def apply(rule: Rule, page: Page) -> tuple[int, str | None, int | None]:
     if rule.after and page.found.get(rule.after) is not None:
         at = [i for i in at if i > page.found[rule.after]]
     if rule.contains:
-        at = [i for i in at if rule.contains in page.text(i)]
+        at = [i for i in at if page.contains(i, rule.contains)]
     if rule.equals is not None:
-        at = [i for i in at if page.params[rule.equals] and normal(page.text(i)) == page.params[rule.equals]]
+        wanted = page.params[rule.equals]
+        at = list(page.reading(at, (wanted,))) if wanted else []
     if rule.pick == "text":
-        chosen = next((i for i in at if normal(page.text(i))), None)
+        chosen = next((i for i in at if page.ink(i)), None)
     elif rule.pick == "word":
-        chosen = next((i for i in at if normal(page.text(i)) in rule.words), None)
+        chosen = next(page.reading(at, rule.words), None)
     elif rule.pick == "longest":
-        chosen = max(at, key=lambda i: (len(page.text(i)), -i), default=None)
+        chosen = max(at, key=lambda i: (page.length(i), -i), default=None)
     else:
         chosen = at[0] if at else None
     page.found[rule.name] = chosen
@@ -193,8 +221,6 @@ def read(
 
     def one(html: str | None, values: dict[str, str]):
         nodes = parse(html or "", xml)
-        for n in nodes:
-            n["map"] = dict(n["attrs"])
         page = Page(nodes, values)
         page.root = root_of(page, roots, ancestor_of)
         facts = []

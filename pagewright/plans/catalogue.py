@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagewright.functions import atoms, privacy, text, urls
-from pagewright.operators import blocks, decide, nodes, rules
+from pagewright.operators import blocks, decide, nodes, rules, selectors
 
 WS = text.WS
 _found: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -83,34 +83,28 @@ def normalize_text(spark, d):
 
 # --- selection on trees
 
+#: Selectors, and patterns that find as much in the markup of the pages.
 SELECTORS = {
-    "p": (nodes.tag_is("p"), "<p[ >]"),
-    "li": (nodes.tag_is("li"), "<li[ >]"),
-    "a[href]": (nodes.both(nodes.tag_is("a"), nodes.has("href")), "<a href="),
-    'a[href^="/the"]': (nodes.both(nodes.tag_is("a"), nodes.attr_starts("href", "/the")), '<a href="/the'),
-    'a[href$="on"]': (nodes.both(nodes.tag_is("a"), nodes.attr_ends("href", "on")), '<a href="[^"]*on"'),
-    'a[href*="th"]': (nodes.both(nodes.tag_is("a"), nodes.attr_contains("href", "th")), '<a href="[^"]*th[^"]*"'),
-    ".ad": (nodes.class_is("ad"), '<div class="ad"'),
-    "h1": (nodes.tag_is("h1"), "<h1[ >]"),
-    "h2": (nodes.tag_is("h2"), "<h2[ >]"),
-}
+    "p": "<p[ >]", "li": "<li[ >]", "a[href]": "<a href=", 'a[href^="/the"]': '<a href="/the', 'a[href$="on"]': '<a href="[^"]*on"', 'a[href*="th"]': '<a href="[^"]*th[^"]*"',
+    ".ad": '<div class="ad"', "h1": "<h1[ >]", "h2": "<h2[ >]",
+}
 
 
 def _pages(spark, d) -> DataFrame:
     return nodes.trees(table(spark, d, "pages").select("page_id", "url", "html"))
 
 
-@query(" UNION ALL ".join(f"SELECT page_id, '{s}' AS selector, CAST(len(regexp_extract_all({PLAIN_SQL}, '{r}')) AS INT) AS matched FROM pages" for s, (_, r) in SELECTORS.items()))
+@query(" UNION ALL ".join(f"SELECT page_id, '{s}' AS selector, CAST(len(regexp_extract_all({PLAIN_SQL}, '{r}')) AS INT) AS matched FROM pages" for s, r in SELECTORS.items()))
 def selector_counts(spark, d):
     n = F.col("nodes")
-    each = F.array(*(F.struct(F.lit(s).alias("selector"), F.size(nodes.select(n, nodes.root_of(n), t)).alias("matched")) for s, (t, _) in SELECTORS.items()))
+    each = F.array(*(F.struct(F.lit(s).alias("selector"), F.size(selectors.select_all(s, n, nodes.root_of(n))).alias("matched")) for s in SELECTORS))
     return _pages(spark, d).select("page_id", F.inline(each))
 
 
 STEPS = ("h2", ".ad", "h1", "p")
 
 
-@query(f"""WITH hits AS ({" UNION ALL ".join(f"SELECT page_id, {i} AS step_no, 'layout' AS field, '{s}' AS selector, CAST(len(regexp_extract_all({PLAIN_SQL}, '{SELECTORS[s][1]}')) AS INT) AS matched FROM pages" for i, s in enumerate(STEPS))})
+@query(f"""WITH hits AS ({" UNION ALL ".join(f"SELECT page_id, {i} AS step_no, 'layout' AS field, '{s}' AS selector, CAST(len(regexp_extract_all({PLAIN_SQL}, '{SELECTORS[s]}')) AS INT) AS matched FROM pages" for i, s in enumerate(STEPS))})
 SELECT page_id, CAST(step_no AS INT) AS step_no, field, selector, matched FROM hits h
 WHERE NOT EXISTS (SELECT 1 FROM hits e WHERE e.page_id = h.page_id AND e.step_no < h.step_no AND e.matched > 0)""")
 def health_log(spark, d):
@@ -118,7 +112,7 @@ def health_log(spark, d):
     from pagewright.operators.fallback import tried
 
     n = F.col("nodes")
-    rows = _pages(spark, d).withColumns({f"n{i}": F.size(nodes.select(n, nodes.root_of(n), SELECTORS[s][0])) for i, s in enumerate(STEPS)}).drop("nodes")
+    rows = _pages(spark, d).withColumns({f"n{i}": F.size(selectors.select_all(s, n, nodes.root_of(n))) for i, s in enumerate(STEPS)}).drop("nodes")
     return rows.select("page_id", F.posexplode(tried("layout", [(s, F.col(f"n{i}")) for i, s in enumerate(STEPS)])).alias("step_no", "h")).select("page_id", "step_no", "h.*")
 
 
@@ -126,7 +120,7 @@ def health_log(spark, d):
   WHEN regexp_matches({PLAIN_SQL}, '<h1[ >]') THEN 'article' ELSE 'unknown' END AS layout FROM pages""")
 def layout_dispatch(spark, d):
     n = F.col("nodes")
-    any_ = lambda s: F.size(nodes.select(n, nodes.root_of(n), SELECTORS[s][0])) > 0
+    any_ = lambda s: F.size(selectors.select_all(s, n, nodes.root_of(n))) > 0
     return _pages(spark, d).select("page_id", F.when(any_("h2"), "sectioned").when(any_(".ad"), "with_ad").when(any_("h1"), "article").otherwise("unknown").alias("layout"))
 
 
@@ -188,7 +182,9 @@ WITH inner_ AS (SELECT page_id, regexp_extract({PLAIN_SQL}, '(?s)<article>(.*?)(
 pieces AS (
   SELECT page_id, unnest(string_split_regex(a, '(?:</?p>)|(?:<br>)|(?:</h1>)')) AS raw, generate_subscripts(string_split_regex(a, '(?:</?p>)|(?:<br>)|(?:</h1>)'), 1) AS nth FROM inner_
 ), texts AS (SELECT page_id, nth, raw, {_clean_sql("raw")} AS text FROM pieces),
-kept AS (SELECT *, CASE WHEN contains(raw, '<h1>') OR starts_with(raw, '<b>') OR text LIKE '%:' THEN 'heading' ELSE 'paragraph' END AS kind FROM texts WHERE text <> '')
+-- no page ends its bold text, so HTML opens it again in every paragraph that follows
+bold AS (SELECT *, starts_with(raw, '<b>') OR coalesce(bool_or(contains(raw, '<b>')) OVER (PARTITION BY page_id ORDER BY nth ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS strong FROM texts),
+kept AS (SELECT *, CASE WHEN contains(raw, '<h1>') OR strong OR text LIKE '%:' THEN 'heading' ELSE 'paragraph' END AS kind FROM bold WHERE text <> '')
 """
 
 

@@ -14,7 +14,6 @@ from pagewright.plans.posting import extract
 
 _BODY = "<p>{words}</p><ul><li>first of all</li><li>second</li></ul>"
 _SHORT = "<p>brief</p>"
-_TOP = "job-details-jobs-unified-top-card__"
 _LD = '<script type="application/ld+json">{{"@type":"JobPosting","title":"Listed {n}","identifier":{{"value":"{id}"}},"hiringOrganization":{{"name":"House {n}"}}}}</script>'
 
 
@@ -29,8 +28,8 @@ def _sdui(body: str = _BODY, key: str = "{id}", doc: str = "(3) Role {n} | Firm
 
 def _classic(title: str = "h1", key: str = "{id}", more: str = "") -> str:
     return (
-        f'<div class="{_TOP}job-title"><{title}><a href="/jobs/view/{key}/">Role {{n}}</a></{title}></div><div class="{_TOP}company-name"><a>Firm {{n}}</a></div>'
-        f'<div class="{_TOP}primary-description-container"><span class="tvm__text">Port {{n}}</span></div>'
+        f'<div class="job-details-jobs-unified-top-card__job-title"><{title}><a href="/jobs/view/{key}/">Role {{n}}</a></{title}></div><div class="job-details-jobs-unified-top-card__company-name"><a>Firm {{n}}</a></div>'
+        f'<div class="job-details-jobs-unified-top-card__primary-description-container"><span class="tvm__text">Port {{n}}</span></div>'
         f'<div class="job-details-fit-level-preferences"><button><strong>Hybrid</strong></button></div>{more}<div id="job-details"><h2>About the Job</h2>{_BODY}</div>'
     )
 

@@ -26,7 +26,6 @@ CLASSIC_ROOTS = (".jobs-search__job-details", ".scaffold-layout__detail")
 COMPONENT = "[data-sdui-component]"
 BOX = '[data-testid="expandable-text-box"]'
 SCOPED = '[componentkey="JobDetails_AboutTheJob_{job_id}"] ' + BOX
-TOP = ".job-details-jobs-unified-top-card__"
 WORKPLACES = ("Remote", "Hybrid", "On-site")
 WORKPLACE_WORD = r"(?a:\b)(Remote|Hybrid|On-site)(?a:\b)"
 ID_PATH = r"/jobs/view/([0-9]+)"
@@ -37,17 +36,17 @@ FIELDS: dict[str, dict[str, tuple[tuple[str, str, str], ...]]] = {
             ("title_text", "element outside [data-sdui-component] whose text = document.title segment 1", "high"),
             ("title_doc", "document.title segment 1", "low"),
         ),
-        "classic": (("title_card", TOP + "job-title h1", "high"), ("title_t24", "h1.t-24", "high"), ("title_h1", "h1", "high")),
+        "classic": (("title_card", ".job-details-jobs-unified-top-card__job-title h1", "high"), ("title_t24", "h1.t-24", "high"), ("title_h1", "h1", "high")),
     },
     "company": {
         "sdui": (("company_link", 'a[href*="/company/"]', "high"), ("company_doc", "document.title segment 2", "low")),
-        "classic": (("company_a", TOP + "company-name a", "high"), ("company_name", TOP + "company-name", "high")),
+        "classic": (("company_a", ".job-details-jobs-unified-top-card__company-name a", "high"), ("company_name", ".job-details-jobs-unified-top-card__company-name", "high")),
     },
     "location": {
         "sdui": (("location_span", "first span of the first p after the title containing ·, outside [data-sdui-component]", "medium"),),
         "classic": (
-            ("location_1", TOP + "primary-description-container .tvm__text", "high"),
-            ("location_2", TOP + "tertiary-description-container .tvm__text", "high"),
+            ("location_1", ".job-details-jobs-unified-top-card__primary-description-container .tvm__text", "high"),
+            ("location_2", ".job-details-jobs-unified-top-card__tertiary-description-container .tvm__text", "high"),
         ),
     },
 }
@@ -75,7 +74,7 @@ RULES = (
     *(Rule(f"sdui_root_{i}", s, scope="document") for i, s in enumerate(SDUI_ROOTS)),
     *(Rule(f"classic_root_{i}", s, scope="document") for i, s in enumerate(CLASSIC_ROOTS)),
     Rule("pane_key", '[componentkey^="JobDetails_AboutTheJob_"]', attr="componentkey", pattern=r"JobDetails_AboutTheJob_([0-9]+)\Z"),
-    Rule("pane_link", TOP + 'job-title h1 a[href*="/jobs/view/"]', attr="href", pattern=ID_PATH),
+    Rule("pane_link", '.job-details-jobs-unified-top-card__job-title h1 a[href*="/jobs/view/"]', attr="href", pattern=ID_PATH),
     Rule("pane_apply", ".jobs-apply-button[data-job-id]", attr="data-job-id"),
     *(Rule(name, s, pick="longest" if name == "box_longest" else "first") for steps in BOXES.values() for name, s in steps),
     Rule("title_text", "*", outside=COMPONENT, equals="segment"),
