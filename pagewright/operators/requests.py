@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from pagewright.operators.decide import HIGH, LOW, POINTERS, TOP
+from pagewright.functions.privacy import leaks
+from pagewright.operators.decide import HIGH, LOW, POINTERS, TOP, settled
 
 #: Options, questions of an assessed item, and what an HTTP status means.
 ELIGIBILITY = ("work_authorization", "location", "workplace_type", "relocation", "travel", "schedule", "salary", "clearance", "other")
+TIERS = ("required", "preferred", "not_a_requirement")
+KINDS = ("skill_or_tool", "experience", "education_or_certification", "spoken_language", "collaboration_or_leadership", "eligibility_or_logistics", "other")
+STATE_SECTIONS = ("summary", "roles", "education", "skills", "other")
+LEDGER = ("All", "Required", "Preferred", "Unclassified", "Eligibility", "Excluded")
 ITEM_QUESTIONS = ("coverage", "evidenced", "strength", "where")
 STATUS = ((401, "key error"), (402, "credit"), (403, "key error"), (408, "retry"), (429, "retry"), (500, "retry"), (502, "retry"), (503, "retry"), (504, "retry"))
 #: A role's dates.
@@ -33,6 +38,77 @@ def questions(items: DataFrame, id_: str, kinds: tuple[str, ...] = ITEM_QUESTION
     return items.withColumn("question", F.explode(F.array(*map(F.lit, kinds)))).withColumn("question_id", F.concat_ws("_", F.col(id_).cast("string"), "question"))
 
 
+def job_questions(atoms: DataFrame, id_: str) -> DataFrame:
+    """(.., question, question_id, options) of the first request.
+
+    Tier and kind of each item that code couldn't settle, and its subtype, which is asked ahead of knowing whether it is
+    wanted; of items that code has settled, the subtype of those of eligibility.
+    """
+    options = {"tier": TIERS, "kind": KINDS, "elig": ELIGIBILITY}
+    each = F.array(*(F.struct(F.lit(q).alias("question"), F.array(*map(F.lit, o)).alias("options")) for q, o in options.items()))
+    open_ = (F.col("tier") == "unknown") | F.col("kind").isNull()
+    rows = atoms.where(open_ | (F.col("kind") == KINDS[5])).select("*", F.inline(each)).where(open_ | (F.col("question") == "elig"))
+    return rows.withColumn("question_id", F.concat_ws("_", F.col(id_).cast("string"), "question"))
+
+
+def classified(atoms: DataFrame, answers: DataFrame, id_: str) -> DataFrame:
+    """atoms (id, tier, kind) with the first request's answers (id, question, probs) filled in, and `subtype`.
+
+    What code has settled stays. A tier or kind whose best answer is under the floor is `unclassified`, or null for a kind. The
+    subtype, asked of all, counts only for items that turn out to be of eligibility.
+    """
+    own = F.when(settled(F.col("probs")) != "unclassified", settled(F.col("probs")))
+    rows = answers.groupBy(id_).agg(*(F.max(F.when(F.col("question") == q, own)).alias(f"_{q}") for q in ("tier", "kind", "elig")))
+    rows = atoms.join(rows, id_, "left")
+    kind = F.coalesce("kind", "_kind")
+    tier = F.when(F.col("tier") == "unknown", F.coalesce("_tier", F.lit("unclassified"))).otherwise(F.col("tier"))
+    return rows.withColumns({"tier": tier, "kind": kind}).withColumn("subtype", F.when(F.col("kind") == KINDS[5], F.coalesce("_elig", F.lit("other")))).drop("_tier", "_kind", "_elig")
+
+
+def cv_state(lines: DataFrame, titles: DataFrame, key: str, foreign: DataFrame | None = None) -> DataFrame:
+    """(key, state, refused): the state of the second request as JSON, job title and grouped lines with their ids; null where it is refused.
+
+    lines: (key, line_no, line_id, section, text, header, private); titles: (key, title); foreign: (key, text) of the posting, of
+    which nothing but the title may be sent. Only sections of STATE_SECTIONS are allowed. The first reason that holds refuses a
+    key's state as a whole: `header`, `personal` (a private line, or any pattern of the sweep), `posting`, `section`. A key
+    without lines has empty groups; one without a title has none sent.
+    """
+    part, number = F.regexp_extract("section", r"\A[a-z]+", 0), F.regexp_extract("section", r"\A[a-z]+\[([0-9]+)\]", 1).try_cast("int")
+    rows = lines.withColumn("part", part).withColumn("role", number)
+    shared = F.lit(False)
+    if foreign is not None:
+        texts = foreign.where("trim(text) <> ''").select(key, "text").distinct().withColumn("_foreign", F.lit(True))
+        rows = rows.join(texts, [key, "text"], "left")
+        shared = F.coalesce("_foreign", F.lit(False))
+    bad = {
+        "header": F.coalesce("header", F.lit(False)),
+        "personal": F.coalesce("private", F.lit(False)) | F.coalesce(leaks(F.col("text")), F.lit(False)),
+        "posting": shared,
+        "section": ~F.coalesce(F.col("part").isin(*STATE_SECTIONS), F.lit(False)),
+    }
+    line = F.concat_ws(" ", "line_id", "text")
+    of = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct("line_no", line.alias("l"))))), lambda x: x["l"])
+    roles = F.array_sort(F.collect_list(F.when(F.col("part") == "roles", F.struct("role", "line_no", line.alias("l"), F.col("section").endswith("header").alias("h")))))
+    found = rows.groupBy(key).agg(*(F.bool_or(x).alias(f"_{n}") for n, x in bad.items()), *(of(n).alias(n) for n in STATE_SECTIONS if n != "roles"), roles.alias("roles"))
+    numbers = F.array_distinct(F.transform("roles", lambda r: r["role"]))
+    texts = lambda n, h: F.transform(F.filter("roles", lambda r: r["role"].eqNullSafe(n) & (r["h"] == h)), lambda r: r["l"])
+    grouped = F.transform(numbers, lambda n: F.struct(texts(n, True).alias("header"), texts(n, False).alias("lines")))
+    refused = F.lit(None).cast("string")
+    for name in reversed(bad):
+        refused = F.when(F.col(f"_{name}"), name).otherwise(refused)
+    cv = F.struct("summary", grouped.alias("roles"), "education", "skills", "other")
+    found = found.join(titles.select(key, "title"), key, "left").withColumn("refused", refused)
+    return found.select(key, F.when(F.col("refused").isNull(), F.to_json(F.struct(F.col("title").alias("job_title"), cv.alias("cv")))).alias("state"), "refused")
+
+
+def shown(items: DataFrame, choice: str) -> DataFrame:
+    """The rows of a ledger (tier, kind, excluded) under one of its filters; each item is in one of the last five only."""
+    excluded, eligibility = F.coalesce("excluded", F.lit(False)), F.coalesce(F.col("kind") == KINDS[5], F.lit(False))
+    tests = {"All": F.lit(True), "Excluded": excluded, "Eligibility": eligibility & ~excluded}
+    tests |= {name: (F.col("tier") == name.lower()) & ~excluded & ~eligibility for name in ("Required", "Preferred", "Unclassified")}
+    return items.where(tests[choice])
+
+
 def pointer_options(lines: DataFrame, key: str, wanted: Column, most: int = POINTERS) -> DataFrame:
     """lines (key, line_no) that may be pointed to, with `pass`: 1 where all wanted lines fit one question, else 2 (by section, then by line)."""
     rows = lines.where(wanted).withColumn("_n", F.count("*").over(Window.partitionBy(key)))
@@ -72,11 +148,23 @@ def composite(score: Column, levels: Column, weight: Column) -> tuple[Column, Co
     return F.sum(weight * F.try_divide(score, levels - 1)), F.sum(weight)
 
 
+def _last(edits: DataFrame, op: str, id_: str, *cols: str) -> DataFrame:
+    """The edits of a kind, one an item: of several the last by `at` where edits have it, else the greatest by their values."""
+    order = [F.col("at")] if "at" in edits.columns else []
+    found = edits.where(F.col("op") == op).groupBy(id_).agg(F.max(F.struct(*order, *cols)).alias("_e"))
+    return found.select(id_, *(F.col(f"_e.{c}").alias(f"_{c}") for c in cols))
+
+
 def edited(items: DataFrame, edits: DataFrame, id_: str) -> DataFrame:
-    """items (id, tier, text) under edits (id, op, tier, text): delete, set, split (text at `|`), add; each row says how it came about."""
-    sets = edits.where(F.col("op") == "set").select(id_, F.col("tier").alias("_tier"), F.col("text").alias("_text"))
-    splits = edits.where(F.col("op") == "split").select(id_, F.split("text", r"\|").alias("_parts"))
-    rows = items.join(edits.where(F.col("op") == "delete"), id_, "left_anti").join(sets, id_, "left").join(splits, id_, "left")
+    """items (id, tier, text) under edits (id, op, tier, text[, at]): delete, set, split (text at `|`), add; each row says how it came about.
+
+    Of several edits of one kind to an item the last by `at` holds; for `set`, tier and text each by themselves, so that edits
+    of one leave the other. Without `at` the greatest value holds. A split item's parts have the tier that was set.
+    """
+    sets = edits.where(F.col("op") == "set")
+    tiers, texts_ = (_last(sets.where(F.col(c).isNotNull()), "set", id_, c) for c in ("tier", "text"))
+    splits = _last(edits, "split", id_, "text").select(id_, F.split("_text", r"\|").alias("_parts"))
+    rows = items.join(edits.where(F.col("op") == "delete"), id_, "left_anti").join(tiers, id_, "left").join(texts_, id_, "left").join(splits, id_, "left")
     touched = F.coalesce("_tier", "_text").isNotNull()
     texts = F.coalesce(F.col("_parts"), F.array(F.coalesce("_text", "text")))
     rows = rows.select(
@@ -90,16 +178,17 @@ def edited(items: DataFrame, edits: DataFrame, id_: str) -> DataFrame:
 
 
 def rearranged(items: DataFrame, edits: DataFrame, id_: str) -> DataFrame:
-    """items (id, kind, text, pos) under edits (id, op, target, kind): `kind` sets it, `move` puts the item at position target, `merge` adds its text to that of the item target.
+    """items (id, kind, text, pos) under edits (id, op, target, kind[, at]): `kind` sets it, `move` puts the item at position target, `merge` adds its text to that of the item target.
 
     Merged texts follow the target's own, in the order of their positions; what an item is merged into may itself be set or
-    moved, but not merged. `source` says what was done.
+    moved, but not merged. Of several edits of one kind to an item the last by `at` holds, without `at` the greatest value.
+    `source` says what was done.
     """
-    own = lambda op, *cols: edits.where(F.col("op") == op).select(id_, *cols)
-    merged = items.join(own("merge", F.col("target").alias("_into")), id_).groupBy("_into")
+    merges = _last(edits, "merge", id_, "target").withColumnRenamed("_target", "_into")
+    merged = items.join(merges, id_).groupBy("_into")
     merged = merged.agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("_more")).withColumnRenamed("_into", id_)
-    rows = items.join(own("merge"), id_, "left_anti").join(own("kind", F.col("kind").alias("_kind")), id_, "left")
-    rows = rows.join(own("move", F.col("target").alias("_pos")), id_, "left").join(merged, id_, "left")
+    rows = items.join(merges, id_, "left_anti").join(_last(edits, "kind", id_, "kind"), id_, "left")
+    rows = rows.join(_last(edits, "move", id_, "target").withColumnRenamed("_target", "_pos"), id_, "left").join(merged, id_, "left")
     parts = F.concat(F.array("text"), F.coalesce(F.transform("_more", lambda m: m["text"]), F.array().cast("array<string>")))
     done = F.array_compact(F.array(*(F.when(F.col(c).isNotNull(), what) for c, what in (("_more", "merged by you"), ("_kind", "edited by you"), ("_pos", "moved by you")))))
     return rows.select(

@@ -34,10 +34,35 @@ def json_file(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
-def lines_of_items(items: DataFrame, key: str) -> DataFrame:
-    """(key, page, y, text): PDF text items (key, page, x, y, text) as lines, top down, then left to right."""
-    rows = items.groupBy(key, "page", "y").agg(F.array_sort(F.collect_list(F.struct("x", "text"))).alias("t"))
-    return rows.select(key, "page", "y", F.array_join(F.transform("t", lambda i: i["text"]), " ").alias("text"))
+#: Items whose baselines lie no further apart are of one line; an empty strip of this width parts columns; wider items than this share of the page part none.
+BASELINE, GUTTER, WIDE = 2.0, 18.0, 0.6
+
+
+def lines_of_items(items: DataFrame, key: str, tolerance: float = BASELINE, gutter: float = GUTTER) -> DataFrame:
+    """(key, page, column, line, y, text): PDF text items (key, page, x, y, text) as lines, top down, each from left to right.
+
+    Baselines are followed from item to item within the tolerance, so a line may waver or slope. Where items have a `width`,
+    columns are told apart by strips of the page that no item reaches into; wide ones, such as headings, don't count and go to
+    the column in which they begin. y is the line's least. Lines are numbered in each column; those without text are left out.
+    """
+    page = [key, "page"]
+    rows = items.where("text IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL")
+    if "width" in items.columns:
+        right = F.col("x") + F.coalesce("width", F.lit(0.0))
+        whole = Window.partitionBy(*page)
+        wide = right - F.col("x") > WIDE * (F.max(right).over(whole) - F.min("x").over(whole))
+        rows = rows.withColumn("_right", F.when(~wide, right)).withColumn("_order", F.when(wide, 1).otherwise(0))
+        reach = F.max("_right").over(Window.partitionBy(*page).orderBy("x", "_order").rowsBetween(Window.unboundedPreceding, -1))
+        fresh = (F.col("_right").isNotNull() & (F.col("x") > reach + gutter)).cast("int")
+        rows = rows.withColumn("_fresh", F.coalesce(fresh, F.lit(0))).withColumn("column", F.sum("_fresh").over(Window.partitionBy(*page).orderBy("x", "_order")).cast("int"))
+    else:
+        rows = rows.withColumn("column", F.lit(0))
+    down = Window.partitionBy(*page, "column").orderBy("y", "x")
+    rows = rows.withColumn("_next", F.coalesce((F.col("y") - F.lag("y").over(down) > tolerance).cast("int"), F.lit(0))).withColumn("_at", F.sum("_next").over(down))
+    found = rows.groupBy(*page, "column", "_at").agg(F.min("y").alias("y"), F.array_sort(F.collect_list(F.struct("x", "y", "text"))).alias("t"))
+    text = F.array_join(F.transform("t", lambda i: i["text"]), " ")
+    found = found.withColumn("text", text).where(F.trim("text") != "")
+    return found.select(*page, "column", F.row_number().over(Window.partitionBy(*page, "column").orderBy("_at")).alias("line"), "y", "text")
 
 
 def readable(pages_of: DataFrame, key: str) -> DataFrame:

@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from pagewright.plans import catalogue, catalogue_postings, catalogue_requests, catalogue_reviews, catalogue_sources, catalogue_trees  # noqa: F401
+from pagewright.plans import catalogue, catalogue_postings, catalogue_requests, catalogue_reviews, catalogue_sources, catalogue_states, catalogue_trees  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
