@@ -20,6 +20,7 @@ LAYOUTS = (
     ("sdui", "[data-sdui-screen]"), ("sdui", "[data-sdui-component]"), ("sdui", '[componentkey^="JobDetails_"]'),
     ("classic", ".job-details-jobs-unified-top-card__job-title"), ("classic", "#job-details"),
 )
+LISTED = r"(?is)<script[^>]*application/ld\+json[^>]*>(.*?)</script\s*>"
 SDUI_ROOTS = ('[data-sdui-screen$=".SemanticJobDetails"]', '[data-sdui-screen$=".JobDetails"]')
 COMMON = 'nearest common ancestor of [componentkey^="JobDetails_"]'
 CLASSIC_ROOTS = (".jobs-search__job-details", ".scaffold-layout__detail")
@@ -80,7 +81,8 @@ RULES = (
     Rule("title_text", "*", outside=COMPONENT, equals="segment"),
     *(Rule(name, s) for f in FIELDS.values() for name, s, _ in f["classic"]),
     Rule("company_link", 'a[href*="/company/"]', outside=COMPONENT, pick="text"),
-    Rule("location_span", "p", outside=COMPONENT, after="title_text", contains="·", sub="span"),
+    Rule("title_anchor", "*", outside=COMPONENT, equals="anchor"),
+    Rule("location_span", "p", outside=COMPONENT, after="title_anchor", contains="·", sub="span"),
     Rule("pill", "a, span", outside=COMPONENT, pick="word", words=WORKPLACES),
     Rule("strong", ".job-details-fit-level-preferences button strong", pick="text", pattern=WORKPLACE_WORD),
 )
@@ -96,8 +98,11 @@ def extract(pages: DataFrame, xml: bool = False) -> DataFrame:
     parts = title_parts(document_title(F.col("html")))
     rows = pages.select("page_id", guard(F.col("url")).alias("guarded"), ident.alias("url"), parts.alias("seg"), "html")
     rows = rows.select("*", F.col("url.job_id").alias("job_id"), F.col("seg.first").alias("segment"))
+    # without a document title, the place is looked for after the element that has the title of the JSON-LD
+    listed = F.filter(F.transform(F.regexp_extract_all("html", F.lit(LISTED), F.lit(1)), F.try_parse_json), lambda v: v.isNotNull())
+    rows = rows.withColumn("anchor", F.when(F.col("segment") != "", F.col("segment")).otherwise(F.when(F.col("job_id") != "", jsonld.job(listed, F.col("job_id"), F.lit(""))["title"])))
     # sdui roots only scope sdui pages: on others no such element exists, and the page itself is the root
-    rows = read(rows, RULES, SDUI_ROOTS, LAYOUTS[2][1], ("job_id", "segment"), JSONLD, {lay: [r for r, _ in steps] for lay, steps in BOXES.items()}, xml)
+    rows = read(rows, RULES, SDUI_ROOTS, LAYOUTS[2][1], ("job_id", "segment", "anchor"), JSONLD, {lay: [r for r, _ in steps] for lay, steps in BOXES.items()}, xml)
     job_id = F.col("job_id")
     docs = F.filter(F.transform("scripts", F.try_parse_json), lambda v: v.isNotNull())
     rows = rows.withColumn("json", F.when(job_id != "", jsonld.job(docs, job_id, F.col("segment"))))
