@@ -213,6 +213,7 @@ STEP_CASES = (
     (_step(), "t1 Role", "c1 Firm", "p1 Port", "On-site", "d1", "j1=0 l1=1 r1=1 k1=1 d1=1 t1=1 c1=1 c2=1 p1=1 w1=1"),
     (_step(root=' data-sdui-screen="a.JobDetails"', last='<div data-sdui-screen="b.Other"></div>'), "t1 Role", "c1 Firm", "p1 Port", "On-site", "d1", "j1=0 l1=2 r1=0 r2=1 k1=1 d1=1 t1=1 c1=1 c2=1 p1=1 w1=1"),
     (_step(root="", boxes=f'<div componentkey="JobDetails_AboutTheJob_{{id}}">{_BOX}{_FULL}</div></div><i componentkey="JobDetails_Other_9"></i>'), "t1 Role", "c1 Firm", "p1 Port", "On-site", "d1", "j1=0 l1=0 l2=0 l3=2 r1=0 r2=0 r3=2 k1=1 d1=1 t1=1 c1=1 c2=1 p1=1 w1=1"),
+    (_step(root=""), "t1 Role", "c1 Firm", "p1 Port", "On-site", "d1", "j1=0 l1=0 l2=1 r1=0 r2=0 r3=1 k1=1 d1=1 t1=1 c1=1 c2=1 p1=1 w1=1"),
     (_step(boxes=_ABOUT.replace("x.aboutTheJob", "x.other") + f'<div componentkey="JobDetails_AboutTheJob_9{{id}}" data-sdui-component="x.aboutTheJob">{_OTHER}</div>'), "t1 Role", "c1 Firm", "p1 Port", "On-site", "d1", "j1=0 l1=1 r1=1 k1=1 d1=1 t1=1 c1=1 c2=1 p1=1 w1=1"),
     (_step(boxes=_KEY + f'<div data-sdui-component="x.aboutTheJob" componentkey="JobDetails_AboutTheJob_9{{id}}">{_OTHER}</div>' + _ABOUT), "t1 Role", "c1 Firm", "p1 Port", "On-site", "d1", "j1=0 l1=1 r1=1 k1=1 d1=1 t1=1 c1=1 c2=1 p1=1 w1=1"),
     (_step(boxes=_KEY + f'{_OTHER}<div data-sdui-component="x.aboutTheJob">{_BOX}{_FULL}</div></div>'), "t1 Role", "c1 Firm", "p1 Port", "On-site", "d2", "j1=0 l1=1 r1=1 k1=1 d1=0 d2=1 t1=1 c1=1 c2=1 p1=1 w1=1"),
@@ -237,7 +238,7 @@ def _step_case(i: int, after: str = "") -> str:
 _NUMBER = " || ' ' || page_id % 17"
 
 
-@query(f"""SELECT page_id, NULL::VARCHAR AS failure, CASE WHEN {_AT} < 11 THEN 'sdui' ELSE 'classic' END AS layout, {_step_case(1, _NUMBER)} AS title, {_step_case(2, _NUMBER)} AS company, {_step_case(3, _NUMBER)} AS location,
+@query(f"""SELECT page_id, NULL::VARCHAR AS failure, CASE WHEN {_AT} < 12 THEN 'sdui' ELSE 'classic' END AS layout, {_step_case(1, _NUMBER)} AS title, {_step_case(2, _NUMBER)} AS company, {_step_case(3, _NUMBER)} AS location,
   {_step_case(4)} AS workplace_type, {_step_case(5)} AS description, {_step_case(6)} AS steps, 'paragraph ' || repeat('word ', 60 + page_id % 40) || 'end|paragraph second|bullet1 third|bullet2 fourth' AS blocks FROM pages""")
 def job_posting_steps(spark, d):
     """Which step each value is of, all that was tried, and the blocks, where one step after another finds nothing."""
