@@ -494,9 +494,8 @@ def confidence_buckets(spark, d):
 @query("""WITH runs AS (SELECT user_id % 40 AS question, value / (SELECT max(value) FROM events) AS p FROM events)
 SELECT question, count(*) AS runs, round(stddev_samp(p), 6) AS spread, round(count(*) FILTER (WHERE p < 0.3 OR p > 0.7)::DOUBLE / count(*), 6) AS outside FROM runs GROUP BY question""")
 def repeat_noise(spark, d):
-    rows = table(spark, d, "events")
-    most = rows.agg(F.max("value")).first()[0]
-    runs = rows.select((F.col("user_id") % 40).alias("question"), (F.col("value") / F.lit(most)).alias("p"))
+    rows = table(spark, d, "events").withColumn("one", F.lit(1))
+    runs = rows.join(F.broadcast(rows.groupBy("one").agg(F.max("value").alias("most"))), "one").select((F.col("user_id") % 40).alias("question"), (F.col("value") / F.col("most")).alias("p"))
     outside = F.round(F.count_if(~decide.review_band(F.col("p"))).cast("double") / F.count("*"), 6)
     return runs.groupBy("question").agg(F.count("*").alias("runs"), F.round(F.stddev_samp("p"), 6).alias("spread"), outside.alias("outside"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from pagewright.functions import privacy, text
+from pagewright.functions import atoms, privacy, text
 from pagewright.operators import decide, requests
 from pagewright.plans.catalogue import _ANSWERS_SQL, _RAW_SQL, _SWEEP, _answers, _blocks, _LINES_SQL, _raw_lines, _verdicts, norm_sql, query, table
 
@@ -50,9 +50,17 @@ def stripped_summary(spark, d):
     )
 
 
-@query(f"""SELECT doc_id, pos, text FROM ({_RAW_SQL}) WHERE regexp_matches(lower(text), '(?:^|[^a-z])(?:{"|".join(privacy.PROTECTED)})(?:[^a-z]|$)')""")
+_MARKED_SQL = f"""SELECT doc_id, pos, CASE WHEN (doc_id + pos) % 5 = 0 THEN text || ' ' || upper(({list(privacy.PROTECTED)})[(doc_id + pos) // 5 % {len(privacy.PROTECTED)} + 1]) || ', as asked'
+  WHEN (doc_id + pos) % 5 = 1 THEN 'teenagers manage agendas; ' || text ELSE text END AS text FROM ({_RAW_SQL})"""
+
+
+@query(f"""SELECT doc_id, pos, text FROM ({_MARKED_SQL}) WHERE regexp_matches(lower(text), '(?:^|[^a-z])(?:{"|".join(privacy.PROTECTED)})(?:[^a-z]|$)')""")
 def withheld_lines(spark, d):
-    return _raw_lines(spark, d).where(privacy.protected(F.col("text"))).select("doc_id", "pos", "text")
+    """Lines that name protected attributes, planted in some, among lines that hold their letters only."""
+    at = F.col("doc_id") + F.col("pos")
+    named = F.element_at(F.array(*map(F.lit, privacy.PROTECTED)), (F.floor(at / 5) % len(privacy.PROTECTED) + 1).cast("int"))
+    marked = F.when(at % 5 == 0, F.concat("text", F.lit(" "), F.upper(named), F.lit(", as asked"))).when(at % 5 == 1, F.concat(F.lit("teenagers manage agendas; "), "text")).otherwise(F.col("text"))
+    return _raw_lines(spark, d).select("doc_id", "pos", marked.alias("text")).where(privacy.protected(F.col("text")))
 
 
 @query(_LINES_SQL + """SELECT b.doc_id, b.pos, b.text FROM blocks b JOIN (SELECT doc_id, min(pos) FILTER (WHERE kind = 'heading') AS cut FROM blocks GROUP BY doc_id) h USING (doc_id) WHERE b.pos < h.cut""")
@@ -116,8 +124,10 @@ def composite_score(spark, d):
 @query("""SELECT event_id, user_id, coalesce(event_type <> lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id), false) AS changed FROM events""")
 def model_changes(spark, d):
     """Event types stand for the model that answered."""
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return table(spark, d, "events").select("event_id", "user_id", F.coalesce(F.col("event_type") != before, F.lit(False)).alias("changed"))
+    from pagewright.sources.scan import latest_model
+
+    runs = table(spark, d, "events").select("event_id", "user_id", F.struct("ts", "event_id").alias("at"), F.col("event_type").alias("model"))
+    return latest_model(runs, "user_id").select("event_id", "user_id", "changed")
 
 
 @query("""SELECT s AS status, count(*) AS calls, any_value(CASE WHEN s BETWEEN 200 AND 299 THEN 'use' WHEN s IN (401, 403) THEN 'key error' WHEN s = 402 THEN 'credit'
@@ -170,9 +180,40 @@ def ledger(spark, d):
     return _verdicts(spark, d).groupBy("kind", "tier").agg(F.count("*").alias("items"), F.count_if(F.col("verdict") == "met").alias("met"))
 
 
-@query("SELECT page_id, false AS ok, 'not_linkedin_job' AS failure, 'unknown' AS layout, CAST(0 AS INT) AS steps FROM pages")
+@query("""SELECT page_id, false AS ok, CASE page_id % 3 WHEN 0 THEN 'not_linkedin_job' WHEN 1 THEN 'no_job_id' ELSE 'unknown_layout' END AS failure, 'unknown' AS layout,
+  CAST(CASE WHEN page_id % 3 = 2 THEN 6 ELSE 0 END AS INT) AS steps FROM pages""")
 def posting_refusals(spark, d):
-    """The job-posting reader on pages that are none: all are refused before anything is read."""
+    """The job-posting reader on pages that are none, under addresses that are none, lack an id, or have one."""
     from pagewright.plans.posting import extract
 
-    return extract(table(spark, d, "pages")).select("page_id", "ok", "failure", "layout", F.size("health").alias("steps"))
+    id_ = F.col("page_id")
+    url = F.when(id_ % 3 == 0, F.col("url")).when(id_ % 3 == 1, "https://www.linkedin.com/jobs/").otherwise(F.concat(F.lit("https://www.linkedin.com/jobs/view/"), id_.cast("string")))
+    return extract(table(spark, d, "pages").withColumn("url", url)).select("page_id", "ok", "failure", "layout", F.size("health").alias("steps"))
+
+
+#: (heading, whether a bullet, text; then for each statement of it: tier, its source, route, years, phrase, degree, certificate)
+_STATED = (
+    ("Requirements:", True, "5+ years of experience with Spark, or more", (("required", "heading", "assessed", 5, "Spark", False, False),)),
+    ("What You’ll Bring", True, "Ideally 2 yrs with Go.", (("preferred", "cue", "assessed", 2, "Go", False, False),)),
+    ("Bonus points", True, "You must hold a Bachelor degree", (("required", "cue", "assessed", None, None, True, False),)),
+    ("Nice to have", False, "Certified Scrum master. Some Rust.", (("preferred", "heading", "assessed", None, None, True, True), ("preferred", "heading", "assessed", None, None, False, False))),
+    ("Benefits", True, "Visa sponsorship and 10% travel", (("not_a_requirement", "heading", "eligibility", None, None, False, False),)),
+    ("Other things", False, "Between 20 and 30 years old. A certificate at least", (("unknown", None, "excluded", 30, "old", False, False), ("required", "cue", "assessed", None, None, False, True))),
+    ("MINIMUM QUALIFICATIONS", True, "Mustard and bonuses, mastery of visas", (("required", "heading", "assessed", None, None, False, False),)),
+)
+_quoted = lambda x: "NULL" if x is None else str(x).lower() if isinstance(x, (bool, int)) else f"'{x}'"
+_STATED_SQL = ", ".join(f"({k}, {p}, {', '.join(map(_quoted, row))})" for k, (*_, found) in enumerate(_STATED) for p, row in enumerate(found))
+
+
+@query(f"""SELECT c_custkey, part, tier, tier_source, route, CAST(min_years AS INT) AS min_years, phrase, degree, certificate FROM customer
+JOIN (VALUES {_STATED_SQL}) AS t(k, part, tier, tier_source, route, min_years, phrase, degree, certificate) ON c_custkey % {len(_STATED)} = k""")
+def stated_requirements(spark, d):
+    """Statements under headings: tiers by heading and cue, bullets and sentences, years, routes, degrees and certificates."""
+    case = F.element_at(F.array(*(F.struct(F.lit(h).alias("heading"), F.lit("bullet" if b else "paragraph").alias("kind"), F.lit(t).alias("text")) for h, b, t, _ in _STATED)), (F.col("c_custkey") % len(_STATED) + 1).cast("int"))
+    rows = table(spark, d, "customer").select("c_custkey", case.alias("c"))
+    block = lambda pos, kind, words: F.struct(F.lit(pos).alias("pos"), kind.alias("kind"), words.alias("text"))
+    # where a section has bullets, its paragraphs make no statements
+    loose = F.array(block(2, F.lit("paragraph"), F.lit("Loose text, required.")))
+    made = F.concat(F.array(block(0, F.lit("heading"), F.col("c.heading")), block(1, F.col("c.kind"), F.col("c.text"))), F.when(F.col("c.kind") == "bullet", loose).otherwise(F.slice(loose, 1, 0)))
+    found = atoms.split_atoms(atoms.sections(rows.select("c_custkey", F.inline(made)), "c_custkey"), "c_custkey")
+    return atoms.classify(found).select("c_custkey", "part", "tier", "tier_source", "route", "min_years", "phrase", "degree", "certificate")
