@@ -14,10 +14,8 @@ BROADCAST_ROWS = 200_000
 
 
 def pieces(x: Column, size: int = PIECE) -> Column:
-    """The different runs of `size` characters of a text."""
-    n = F.char_length(x)
-    runs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), n - size + 1)), lambda i: F.substring(x, i, size))
-    return F.array_distinct(F.when(n >= size, runs).otherwise(F.array().cast("array<string>")))
+    """The runs of `size` characters of a text, read off at every place, in time that grows with its length."""
+    return F.regexp_extract_all(x, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1))
 
 
 def _sized(index: DataFrame, number: int) -> DataFrame:
@@ -28,8 +26,8 @@ def found(lines: DataFrame, strings: DataFrame, id_: list[str], key: str | None
     """(id, string) of the strings that occur in lines, as they stand, anywhere in a text.
 
     lines: (id columns, text); strings: (string), and with key both have that column and must agree on it. Null and empty
-    strings aren't looked for. Each string is indexed by its piece that occurs in the fewest lines; a line looks up its own
-    pieces, and what it meets is then compared in full.
+    strings aren't looked for. Each string is indexed by its piece that occurs least often; a line looks up its own pieces,
+    and what it meets is then compared in full.
     """
     on = [key] if key else []
     known = strings.where(F.coalesce(F.col("string") != "", F.lit(False))).select(*on, "string").distinct()
@@ -40,12 +38,12 @@ def found(lines: DataFrame, strings: DataFrame, id_: list[str], key: str | None
         return rows.limit(0).select(*id_, F.col("text").alias("string"))
     own = F.flatten(F.array(*(pieces(F.col("text"), n) for n in sizes)))
     met = rows.select(*on, F.explode(own).alias("piece"))
-    parts = known.select(*on, "string", F.explode(F.when(F.char_length("string") >= PIECE, pieces(F.col("string"))).otherwise(F.array("string"))).alias("piece"))
+    parts = known.select(*on, "string", F.explode(F.when(F.char_length("string") >= PIECE, pieces(F.col("string"))).otherwise(F.array("string"))).alias("piece")).distinct()
     wanted = parts.select(*on, "piece").distinct()
-    counts = met.join(_sized(wanted, number * 16), [*on, "piece"]).groupBy(*on, "piece").agg(F.count("*").alias("lines"))
+    counts = met.join(_sized(wanted, number * 16), [*on, "piece"]).groupBy(*on, "piece").agg(F.count("*").alias("times"))
     # a piece that no line has is enough to know that its string is nowhere
-    rarest = parts.join(counts, [*on, "piece"], "left").groupBy(*on, "string").agg(F.min(F.struct(F.coalesce("lines", F.lit(0)).alias("lines"), "piece")).alias("r"))
-    index = rarest.where("r.lines > 0").select(*on, F.col("r.piece").alias("piece"), "string")
+    rarest = parts.join(counts, [*on, "piece"], "left").groupBy(*on, "string").agg(F.min(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "piece")).alias("r"))
+    index = rarest.where("r.times > 0").select(*on, F.col("r.piece").alias("piece"), "string")
     looked = rows.withColumn("piece", F.explode(own)).join(_sized(index, number), [*on, "piece"])
     return looked.where(F.contains("text", F.col("string"))).select(*id_, "string").distinct()
 
