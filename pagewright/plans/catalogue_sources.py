@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagewright.plans.catalogue import query, table
 from pagewright.sources import scan
+from pagewright.sources.shared import shared_dir
 
 #: Code by kind, `@` standing for a name of its own, with what is found in it: (scan, line, text).
 _CODE = (
@@ -98,3 +101,73 @@ def unlisted_packages(spark, d):
     shipped = _packages(spark, d).select(F.explode("packages").alias("name", "p")).where("NOT p.dev").select("name")
     part = table(spark, d, "part").where("p_retailprice >= 1200")
     return scan.unlisted(shipped, part.select(F.concat("p_name", F.lit("-"), F.col("p_partkey").cast("string")).alias("name")))
+
+
+# --- files and stores: what is written is read again
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""SELECT 'Brand#' || regexp_extract(path, 'Brand#([0-9]+)', 1) AS brand, scan, text, count(*) AS n FROM ({_USES_SQL}) GROUP BY ALL""")
+def source_files(spark, d):
+    """The findings in files of a source tree, a folder for each brand, each file with the code of many parts."""
+    path = _folder(spark, "source")
+    brand = F.regexp_extract("path", "src/([^/]*)/", 1)
+    _files(spark, d).select(F.replace(brand, F.lit("#"), F.lit("-")).alias("brand"), "code").repartition("brand").write.partitionBy("brand").text(path)
+    tree = scan.source_tree(spark, path, "*.txt")
+    found = scan.network_uses(tree).withColumn("scan", F.lit("network")).unionByName(scan.sync_storage_uses(tree).withColumn("scan", F.lit("sync")))
+    return found.groupBy(F.replace(F.regexp_extract("path", "brand=([^/]*)/", 1), F.lit("-"), F.lit("#")).alias("brand"), "scan", "text").agg(F.count("*").alias("n"))
+
+
+@query("SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def json_files(spark, d):
+    """A JSON document for each nation, read whole."""
+    path = _folder(spark, "json")
+    one = F.to_json(F.struct("n_nationkey", "n_name", "n_regionkey"), {"pretty": "true"}).alias("value")
+    nations = table(spark, d, "nation")
+    nations.select(one, F.col("n_nationkey").alias("k")).repartition("k").write.partitionBy("k").text(path)
+    types = nations.schema
+    return scan.json_file(spark, path).select(*(F.col(c).cast(types[c].dataType) for c in ("n_nationkey", "n_name", "n_regionkey")))
+
+
+@query("SELECT page_id, html LIKE '%<title>%' AS titled, CAST(length(html) AS INT) AS chars FROM pages")
+def page_captures(spark, d):
+    """Pages as files, a folder and a file for each, read whole."""
+    path = _folder(spark, "pages")
+    pages = table(spark, d, "pages")
+    pages.select("html", "page_id").repartition("page_id").write.partitionBy("page_id").option("lineSep", "\u0000").text(path)
+    found = scan.page_files(spark, path)
+    html = F.regexp_replace("html", "\u0000\\z", "")
+    id_ = F.regexp_extract("url", "page_id=([0-9]+)", 1).cast(pages.schema["page_id"].dataType)
+    return found.select(id_.alias("page_id"), F.contains(html, F.lit("<title>")).alias("titled"), F.char_length(html).alias("chars"))
+
+
+@query("SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders UNION ALL SELECT o_orderkey, o_orderpriority, o_orderstatus FROM orders WHERE o_orderkey % 10 = 0")
+def stored_results(spark, d):
+    """Results written twice to a table, by status; the second time a tenth of them."""
+    path = _folder(spark, "results")
+    rows = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    for part in (rows, rows.where("o_orderkey % 10 = 0")):
+        scan.write_results(part, path, "o_orderstatus")
+    return spark.read.parquet(path).select("o_orderkey", "o_orderpriority", F.col("o_orderstatus").cast("string").alias("o_orderstatus"))
+
+
+@query("SELECT CASE WHEN page_id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind, count(*) AS pages, 'page_id,url,kind' AS columns FROM pages GROUP BY 1")
+def session_views(spark, d):
+    """A view of the session, which lacks the pages' text."""
+    rows = table(spark, d, "pages").withColumn("kind", F.when(F.col("page_id") % 2 == 0, "even").otherwise("odd"))
+    name = f"session_{uuid.uuid4().hex}"
+    scan.session_store(rows, name)
+    view = spark.table(name)
+    return view.groupBy("kind").agg(F.count("*").alias("pages")).withColumn("columns", F.lit(",".join(view.columns)))
+
+
+@query("""SELECT doc_id, CAST(page AS INT) AS page, y, text FROM (SELECT doc_id, 1 AS page, (generate_subscripts(string_split(text, chr(10)), 1) - 1)::DOUBLE AS y, unnest(string_split(text, chr(10))) AS text FROM documents WHERE doc_id % 4 = 0) WHERE trim(text, ' ') <> ''
+UNION ALL SELECT doc_id, 2, 7.5, lang FROM documents WHERE doc_id % 4 <> 0""")
+def pasted_lines(spark, d):
+    """Every fourth document's text as it was pasted, in place of the one line that could be read of it."""
+    docs = table(spark, d, "documents")
+    read = docs.select("doc_id", F.lit(2).alias("page"), F.lit(7.5).alias("y"), F.col("lang").alias("text"))
+    return scan.pasted(read, docs.where("doc_id % 4 = 0").select("doc_id", "text"), "doc_id")

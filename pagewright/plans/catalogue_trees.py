@@ -85,6 +85,28 @@ def tree_repairs(spark, d):
     return nodes.trees(_made(spark, d, [x for x, _ in MISNESTED])).select("page_id", _joined(F.col("nodes")).alias("outline"))
 
 
+#: (markup, its tree as XML, its tree as HTML)
+_NESTED = (
+    ("<p><span>@<ul><li>one</li></ul></span></p>", "<p><span>@<ul><li>one</li></ul></span></p>", "<p><span>@</span></p><ul><li>one</li></ul><p></p>"),
+    ("<A><br>@</br><Td/></A>x", "<A><br>@</br><Td></Td></A>x", "<a><br>@<br></a>x"),
+    ("<li>@<li>b</li></li>", "<li>@<li>b</li></li>", "<li>@</li><li>b</li>"),
+    ("<s><![CDATA[<i>@]]></s>", "<s>&@</s>", "<s>@]]></s>"),
+)
+
+
+def _both_sql(i: int) -> str:
+    outlines = [_outline(c[i].replace("<br>", "<br></br>") if i == 2 else c[i]).replace("1&@", "1<i>@") for c in _NESTED]
+    return _case_sql(outlines)
+
+
+@query(f"SELECT page_id, {_both_sql(1)} AS as_xml, {_both_sql(2)} AS as_html FROM pages")
+def trees_of_both_kinds(spark, d):
+    """The same markup read as XML, as it is nested, and as HTML."""
+    made = _made(spark, d, [c[0] for c in _NESTED])
+    shown = lambda xml, name: nodes.trees(made, xml=xml).select("page_id", _joined(F.col("nodes")).alias(name))
+    return shown(True, "as_xml").join(shown(False, "as_html"), "page_id")
+
+
 #: (markup inside the element that is walked, its blocks: kind, text, depth)
 WALKED = (
     ("a<script>x</script><style>y</style><noscript>z</noscript><svg><p>s</p></svg> @", (("paragraph", "a @", None),)),
