@@ -309,11 +309,11 @@ class Tree:
 
 
 def grown(pieces: DataFrame, idf: np.ndarray, n: int, shard: int) -> Tree:
-    """The tree of a sample of leftovers, those with the least hash."""
+    """The tree of a sample of leftovers, those with the least hash; nth tells equal rows apart, so that as many of them are in it as of others."""
     share = min(1.0, min(MOST, max(LEAST, EACH * (n // shard + 1))) / max(1, n))
     own = pieces.where("ids IS NOT NULL")
     if share < 1:
-        own = own.where(F.pmod(F.xxhash64("doc_id", "ids_crc32"), F.lit(1 << 30)) < int(share * (1 << 30)))
+        own = own.where(F.pmod(F.xxhash64("doc_id", "ids_crc32", "nth"), F.lit(1 << 30)) < int(share * (1 << 30)))
     found = sorted(bytes(r.ids) for r in own.select("ids").collect())
     return Tree([np.frombuffer(x, "<u2") for x in found], idf, share, shard)
 

@@ -58,6 +58,15 @@ def pack(docs, **kw):
     return packing.packed(docs, path(packing.TOKENIZER), path(packing.RANKS), public_tokenizers.PATTERN, **kw)
 
 
+def test_equal_rows_are_sampled_like_others(spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(packing, "Tree", lambda rows, idf, share, shard: taken.append((len(rows), share)))
+    equal = spark.range(20_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(7).cast("long").alias("ids_crc32"), F.encode(F.lit("ab"), "UTF-8").alias("ids"), F.col("id").alias("nth"))
+    packing.grown(equal, np.zeros(1 << 16), 200_000, 4000)
+    (rows, share), = taken
+    assert share == pytest.approx(0.02) and 0.8 < rows / (share * 20_000) < 1.2
+
+
 def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
