@@ -1,5 +1,6 @@
 """The pipeline's decisions on planted documents, and its queries' SQL."""
 
+import os
 import random
 import sys
 
@@ -70,7 +71,7 @@ def test_each_stage_equals_its_operator_on_the_same_input(spark, planted):
 
 def test_order_and_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "decontamination", "secret_scan", "packing"]
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
     assert "corpus_pipeline" in sys.modules and corpus_pipeline.ORACLE_SQL is None
 
 
@@ -85,3 +86,20 @@ def test_chat_equals_sql(spark, tmp_path):
     expected = con.execute(queries.oracle_sql()["op2_chat"]).fetchall()
     cols = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
     assert sorted(tuple(r[c] for c in cols) for r in found.collect()) == sorted(expected)
+
+
+@pytest.mark.parametrize("name", ["op11_codes", "op12_mixture", "op13_resample"])
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "benchmark"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{folder}/{table}.parquet')")
+    df = con.execute(queries.oracle_sql()[name])
+    cols = [c[0] for c in df.description]
+    found = queries.queries()[name](spark, folder)
+    assert sorted(found.columns) == sorted(cols)
+    assert sorted((tuple(r[c] for c in cols) for r in found.collect()), key=str) == sorted(df.fetchall(), key=str)
