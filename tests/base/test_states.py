@@ -35,6 +35,25 @@ def test_names_are_found_wherever_they_stand(spark, seed, keyed):
         assert (r.text, r.removed) == (text, len(own))
 
 
+def test_names_move_texts_once(spark, monkeypatch):
+    """Where the index is too large to broadcast, what is shuffled grows with the texts, not with texts times their places."""
+    rng = random.Random(3)
+    lines = [(i, "".join(chr(rng.randint(97, 122)) for _ in range(3000)) + f" Customer#{i:09d}.") for i in range(100)]
+    rows = spark.createDataFrame(lines, "id int, text string").repartition(4)
+    strings = spark.createDataFrame([(f"Customer#{i:09d}",) for i in range(0, 400, 2)], "string string")
+    monkeypatch.setattr(names, "BROADCAST_ROWS", 100)
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+    before = written()
+    assert {tuple(r) for r in names.found(rows, strings, ["id"]).collect()} == {(i, f"Customer#{i:09d}") for i in range(0, 100, 2)}
+    assert written() - before < 4 * sum(len(t) for _, t in lines)
+
+
+def test_names_keep_ids_with_nulls(spark):
+    rows = spark.createDataFrame([(None, 1, "ab 😀cd"), (1, None, "xcd")], "a int, b int, text string")
+    got = names.without(rows, spark.createDataFrame([("😀c",), ("cd",)], "string string"), ["a", "b"]).collect()
+    assert {(r.a, r.b, r.text, r.removed) for r in got} == {(None, 1, "ab 😀", 2), (1, None, "x", 1)}
+
+
 def test_names_without_any(spark, monkeypatch):
     rows = spark.createDataFrame([(1, "a b")], "id int, text string")
     none = spark.createDataFrame([(None,), ("",)], "string string")
