@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import math
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,8 +16,6 @@ from pagewright.operators.nodes import attr_is, both, root_of, select, string_va
 SCRIPT = "application/ld+json"
 TYPE = "JobPosting"
 ADDRESS = ("addressLocality", "addressRegion", "addressCountry")
-#: The parser of JSON takes no deeper nesting, so that opening ends after as many steps.
-DEPTH = 1000
 
 
 def text_at(v: Column, path: str) -> Column:
@@ -34,38 +36,35 @@ def scripts(nodes: Column) -> Column:
     return F.filter(found, lambda v: v.isNotNull())
 
 
-def is_posting(v: Column) -> Column:
-    kinds = items(F.try_variant_get(v, "$['@type']", "variant"))
-    return F.exists(kinds, lambda k: F.coalesce(text_at(k, "$") == TYPE, F.lit(False)))
+def _opened(text: str) -> list[str]:
+    """The objects of TYPE in a JSON text, as JSON without their graphs; in time that grows with the text, however deep it is nested."""
+    finite = lambda x: float(x) if math.isfinite(float(x)) else None
+    left, out = [(json.loads(text, parse_float=finite, parse_constant=lambda _: None), False)], []
+    while left:
+        v, done = left.pop()
+        if isinstance(v, list):
+            left.extend((x, False) for x in reversed(v))
+        elif isinstance(v, dict):
+            if not done and "@graph" in v:
+                left += [(v, True), (v["@graph"], False)]
+                continue
+            kinds = v.get("@type")
+            if TYPE in (kinds if isinstance(kinds, list) else [kinds]):
+                out.append(json.dumps({k: x for k, x in v.items() if k != "@graph"}))
+    return out
+
+
+def _each(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda own: None if own is None else [p for t in own if t is not None for p in _opened(t)])
 
 
 def postings(values: Column) -> Column:
     """Objects of TYPE in a list of values, however deep in arrays and graphs: of each value its @graph's first, then itself.
 
-    All that is still closed is opened in place, level by level, until nothing is; a level takes a bracket of the text.
+    They come without their own @graph, which has been opened.
     """
-
-    def entry(v: Column, done: bool) -> Column:
-        return F.struct(v.alias("v"), F.lit(done).alias("done"))
-
-    def opened(x: Column) -> Column:
-        v = x["v"]
-        graph = F.try_variant_get(v, "$['@graph']", "variant")
-        many = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda i: entry(i, False))
-        whole = F.when(F.schema_of_variant(v).startswith("ARRAY"), many).when(graph.isNotNull(), F.array(entry(graph, False), entry(v, True)))
-        return F.when(x["done"], F.array(x)).otherwise(whole.otherwise(F.array(entry(v, True))))
-
-    def step(s: Column, _: Column) -> Column:
-        wider = F.flatten(F.transform(s["all"], opened))
-        return F.when(s["live"], F.struct(F.exists(s["all"], lambda x: ~x["done"]).alias("live"), wider.alias("all"))).otherwise(s)
-
-    def brackets(v: Column) -> Column:
-        return F.char_length(F.to_json(v)) - F.char_length(F.translate(F.to_json(v), "[{", ""))
-
-    levels = F.least(F.lit(DEPTH), F.coalesce(F.array_max(F.transform(values, brackets)), F.lit(0))) + 1
-    start = F.struct(F.lit(True).alias("live"), F.transform(values, lambda v: entry(v, False)).alias("all"))
-    found = F.aggregate(F.sequence(F.lit(1), levels), start, step)["all"]
-    return F.filter(F.transform(found, lambda x: x["v"]), is_posting)
+    found = F.pandas_udf(_each, "array<string>")(F.transform(values, lambda v: F.to_json(v)))
+    return F.transform(found, lambda t: F.try_parse_json(t))
 
 
 def matches(v: Column, job_id: Column, title: Column) -> Column:

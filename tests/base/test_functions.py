@@ -1,6 +1,7 @@
 """The text kernel, URLs, privacy, statements, decisions, sources and the stream, on literal rows."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -169,6 +170,13 @@ def test_postings_at_any_depth(spark):
     assert {r.i: r.x for r in found} == {0: ["In"], 1: ["In"], 2: ["Own"], 3: ["In", "Out", "In"], 4: [], 5: [], 6: [], 7: []}
 
 
+def test_postings_below_many_graphs_take_linear_time():
+    deep = lambda n: '{"@graph":[' * n + '{"@type":["Thing","JobPosting"],"title":"In","x":1e999}' + "]}" * n
+    assert [json.loads(x) for x in jsonld._opened(deep(490))] == [{"@type": ["Thing", "JobPosting"], "title": "In", "x": None}]
+    nested = '{"@type":"JobPosting","title":"Out","@graph":[' * 400 + "]}" * 400
+    assert sum(map(len, jsonld._opened(nested))) < 2 * len(nested)
+
+
 def test_stream(spark, tmp_path):
     rows = [(1, "https://www.linkedin.com/jobs/view/7", "<title>A</title>", dt.datetime(2026, 1, 1, 0, 1)), (2, "https://x.y/", None, dt.datetime(2026, 1, 1, 0, 2))]
     spark.createDataFrame(rows, stream.SCHEMA).write.parquet(f"{tmp_path}/in")
