@@ -60,12 +60,12 @@ def review_band(p: Column) -> Column:
 
 
 def merged_intervals(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
-    """(key, start, end): the union of each key's intervals; those that touch become one. Null bounds give none."""
+    """(key, start, end): the union of each key's intervals; those that touch become one. Null bounds give none. Equal intervals are peers of one running sum, so their order can't matter."""
     rows = rows.where(F.col(start).isNotNull() & F.col(end).isNotNull())
     order = Window.partitionBy(key).orderBy(start, end)
     reach = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
     rows = rows.withColumn("_new", F.coalesce((F.col(start) > reach).cast("int"), F.lit(1)))
-    rows = rows.withColumn("_island", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    rows = rows.withColumn("_island", F.sum("_new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
     return rows.groupBy(key, "_island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_island")
 
 
