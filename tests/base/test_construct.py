@@ -60,3 +60,19 @@ def test_hostile_pages(hostile):
     at = time.process_time()
     found = construct.parse(hostile)
     assert time.process_time() - at < 10 and max(n["level"] for n in found) <= construct.DEEPEST + 40
+
+
+def test_closed_references():
+    page = "<h1>a &amp; b &lt;c&#62; &nosuch; &ampx; &amp</h1>"
+    assert [n["text"] for n in construct.parse(page) if n["text"]] == ["a & b <c> &nosuch; &x; &"]
+    assert [n["text"] for n in construct.parse(page, closed=True) if n["text"]] == ["a & b <c> &nosuch; &ampx; &amp"]
+
+
+def test_page_queries_leave_open_references_as_their_sql_does(spark, tmp_path):
+    from pagewright.plans import catalogue
+
+    html = "<html><head><title>T &amp</title></head><body><article><h1>T &amp</h1><p>x</p></article></body></html>"
+    spark.createDataFrame([(1, "https://a.b/c", html)], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    run = lambda name: catalogue.queries()[name](spark, str(tmp_path)).collect()
+    assert run("first_match")[0].h1 == run("fallback_pick")[0].value == "T &amp"
+    assert not run("cross_check")[0].mismatch and run("blocks_of_pages")[0].text == "T &amp" and run("posting_extract")[0].chars == 7
