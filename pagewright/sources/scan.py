@@ -36,6 +36,8 @@ def json_file(spark: SparkSession, path: str) -> DataFrame:
 
 #: Items whose baselines lie no further apart are of one line; an empty strip of this width parts columns; wider items than this share of the page part none.
 BASELINE, GUTTER, WIDE = 2.0, 18.0, 0.6
+#: Items that a task lays out, about: there are as many tasks as they take.
+TASK_ITEMS = 500_000
 
 
 def lines_of_items(items: DataFrame, key: str, tolerance: float = BASELINE, gutter: float = GUTTER) -> DataFrame:
@@ -47,6 +49,8 @@ def lines_of_items(items: DataFrame, key: str, tolerance: float = BASELINE, gutt
     """
     page = [key, "page"]
     rows = items.where("text IS NOT NULL AND x IS NOT NULL AND y IS NOT NULL")
+    tasks = max(int(items.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // TASK_ITEMS))
+    rows = rows.repartition(tasks, *page)  # a task sorts its items several times, so its share mustn't grow with the table
     if "width" in items.columns:
         right = F.col("x") + F.coalesce("width", F.lit(0.0))
         whole = Window.partitionBy(*page)

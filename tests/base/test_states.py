@@ -211,3 +211,11 @@ def test_states_are_refused(spark):
     assert out[1][1] == '{"job_title":"T","cv":{"summary":["L000 fine"],"roles":[],"education":[],"skills":[],"other":[]}}'
     assert out[5][1] == '{"cv":{"summary":[],"roles":[{"header":[],"lines":["L000"]}],"education":[],"skills":[],"other":[]}}'
     assert all(v[1] is None for v in out.values() if v[0])
+
+
+def test_tasks_of_lines_of_items_keep_their_size(spark, monkeypatch):
+    items = spark.range(400).selectExpr("id % 100 AS k", "1 AS page", "double(id) AS x", "1.0D AS y", "10.0D AS width", "string(id) AS text")
+    monkeypatch.setattr(scan, "TASK_ITEMS", 20)
+    found = scan.lines_of_items(items, "k")
+    assert "RepartitionByExpression [k#" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "], 20" in plan
+    assert found.count() == 400
