@@ -113,16 +113,24 @@ def tokens(rows: DataFrame, key: str, code: str, names: Sequence[str]) -> DataFr
     return found.where(F.col("token").isin(*names))
 
 
+def uses(files: DataFrame) -> DataFrame:
+    """(path, scan, line, text of the node) of both scans, `network` and `sync`, in one reading of the files (path, code)."""
+    kind, name = F.col("kind"), F.col("name")
+    network = kind.isin(IDENTIFIER, STRING) & name.isin(*NETWORK)
+    sync = kind.isin(MEMBER, COMPUTED, BINDING) & (name == "sync")
+    tasks = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # code is small to move and dear to read
+    found = code_nodes(files.repartition(tasks, "path"), (*NETWORK, "sync")).withColumn("scan", F.when(network, "network").when(sync, "sync"))
+    return found.where("scan IS NOT NULL").select("path", "scan", "line", "text")
+
+
 def network_uses(files: DataFrame) -> DataFrame:
     """(path, line, text of the node) of files (path, code): names of the network interface, as any identifier or whole string."""
-    found = code_nodes(files).where(F.col("kind").isin(IDENTIFIER, STRING) & F.col("name").isin(*NETWORK))
-    return found.select("path", "line", "text")
+    return uses(files).where("scan = 'network'").drop("scan")
 
 
 def sync_storage_uses(files: DataFrame) -> DataFrame:
     """(path, line, text of the node): members named `sync`, computed ones too, and bindings of that property, whatever holds it."""
-    found = code_nodes(files).where(F.col("kind").isin(MEMBER, COMPUTED, BINDING) & (F.col("name") == "sync"))
-    return found.select("path", "line", "text")
+    return uses(files).where("scan = 'sync'").drop("scan")
 
 
 def violations(found: DataFrame) -> DataFrame:

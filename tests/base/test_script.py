@@ -68,3 +68,27 @@ def test_files_without_code(spark):
     files = spark.createDataFrame([("a.ts", None, 1), (None, "fetch(x)", 2), ("b.js", "", 3)], "path string, code string, line int")
     assert [tuple(r) for r in scan.network_uses(files).collect()] == [(None, 1, "fetch")]
     assert scan.sync_storage_uses(files.limit(0)).count() == 0
+
+
+def test_both_scans_read_files_once(spark):
+    files = spark.createDataFrame([("a.ts", "fetch(a.sync)")], "path string, code string")
+    found = scan.uses(files)
+    assert {tuple(r) for r in found.collect()} == {("a.ts", "network", 1, "fetch"), ("a.ts", "sync", 1, "a.sync")}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_long_chains_cost_no_text_that_is_not_asked_for():
+    at = time.process_time()
+    assert script.nodes("a." * 200_000, True, ("fetch",)) == [] and time.process_time() - at < 5
+
+
+def test_a_source_tree_has_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    from pagewright.plans import catalogue_sources
+
+    spark.createDataFrame([(i, "Brand#11") for i in range(90)], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    monkeypatch.setattr(catalogue_sources, "FILE_PARTS", 20)
+    monkeypatch.setattr(catalogue_sources, "_folder", lambda *_: f"{tmp_path}/source")
+    found = catalogue_sources.source_files(spark, str(tmp_path))
+    assert len(list((tmp_path / "source").rglob("*.txt"))) == 5
+    want = catalogue_sources.code_findings(spark, str(tmp_path)).groupBy("scan", "text").count().collect()
+    assert {(r.scan, r.text, r.n) for r in found.collect()} == {tuple(r) for r in want}
