@@ -258,3 +258,25 @@ def test_secrets(spark):
     assert clean.columns == docs.columns
     assert {r.text for r in clean.collect()} == {"[REDACTED] é", None, "", "[REDACTED]", "x " * 200_000 + "[REDACTED]"}
     assert secrets.secrets(docs.limit(0)).count() == 0
+
+
+def test_grammars_are_learned_from_all_documents(spark, monkeypatch):
+    """Every value and every pair of characters counts; and what Spark counts gives the automata that the values at hand give."""
+    rng = random.Random(9)
+    values = {"hex": [f"{rng.getrandbits(64 + 4 * (k % 3)):016x}" for k in range(900)], "access": ["AKIA" + "".join(rng.choice(ALNUM[:26] + "0123456789") for _ in range(16)) for _ in range(600)]}
+    texts = [f"under {v} river {prose(rng, 3)}" for v in sum(values.values(), [])] + [None, ""]
+    docs = spark.createDataFrame([(k % 7, t) for k, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    g = secrets.learn(docs)
+    counts = np.zeros((len(secrets.ALPHABET),) * 2, np.int64)
+    for t in texts:
+        secrets.pair_counts(t or "", counts)
+    assert (g.background.counts == counts).all()
+    for kind, own in values.items():
+        m, here = g.automata[kind], secrets.infer(own)
+        assert sum(m.lengths.values()) == len(own) and sum(m.count[0].values()) >= len(own)
+        assert (m.next, m.count, m.lengths, m.floor) == (here.next, here.count, here.lengths, here.floor)
+    monkeypatch.setattr(secrets, "FUTURES", 10)  # places that are left out of comparisons are counted all the same
+    monkeypatch.setattr(secrets, "STATES", 3)
+    for kind, m in secrets.learn(docs).automata.items():
+        assert len(m.next) <= 3 and sum(n.get(secrets.END, 0) for n in m.count) == sum(m.lengths.values()) == len(values[kind])
+        assert all(c in m.next[s] for s, own in enumerate(m.count) for c in own if c != secrets.END)
