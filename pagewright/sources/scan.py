@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagewright.sources.script import BINDING, COMPUTED, IDENTIFIER, MEMBER, STRING, code_nodes
 
@@ -24,6 +25,16 @@ def page_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("url"), F.col("value").alias("html"))
 
 
+def write_captures(pages_of: DataFrame, path: str) -> None:
+    """Page captures as lines of JSON, a whole page each, many to a file: as many files as tasks, however many pages."""
+    pages_of.select(F.to_json(F.struct(*pages_of.columns)).alias("value")).write.option("lineSep", "\n").text(path)
+
+
+def captures(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The page captures that were written so. Any text comes back as it was, line ends, U+0000 and null too."""
+    return spark.read.schema(schema).option("maxStringLen", 2**31 - 1).json(path, lineSep="\n", mode="FAILFAST")
+
+
 def source_tree(spark: SparkSession, path: str, pattern: str = SCRIPTS) -> DataFrame:
     """(path, code) of the files below a folder whose names match."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)

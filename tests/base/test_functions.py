@@ -197,3 +197,21 @@ def test_the_rest_works_without_the_corpus_subpackage():
         "sys.meta_path.insert(0, Gone())\nimport __spark_entry__ as e\nassert 'failure_histogram' in e.queries() and not any(k.startswith('op') for k in e.queries())\nassert set(e.oracle_sql()) <= set(e.queries())"
     )
     assert subprocess.run([sys.executable, "-c", code], capture_output=True, cwd=__file__.rsplit("/tests/", 1)[0]).returncode == 0
+
+
+def test_captures_share_files(spark, tmp_path):
+    rows = [(1, "<title>\r\n\u2028\u0000\n"), (2, ""), (3, None), (None, "x"), (None, None), (3, None), (4, "\U0001f600\u0085\\\"" + "ab" * 11_000_000)] + [(k, "y") for k in range(5, 60)]
+    pages = spark.createDataFrame(rows, "page_id long, html string").repartition(3)
+    scan.write_captures(pages, str(tmp_path / "pages"))
+    assert len(list((tmp_path / "pages").glob("part-*"))) <= 3
+    order = lambda r: (r[0] or 0, r[1] or "", r[1] is None)
+    assert sorted((tuple(r) for r in scan.captures(spark, str(tmp_path / "pages"), pages.schema).collect()), key=order) == sorted(rows, key=order)
+
+
+def test_page_captures_make_no_file_for_each_page(spark, tmp_path):
+    from pagewright.plans import catalogue_sources
+
+    (tmp_path / "in").mkdir()
+    spark.createDataFrame([(k, f"<title>{k}</title>") for k in range(40)], "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "in" / "pages.parquet"))
+    found = catalogue_sources.page_captures(spark, str(tmp_path / "in"))
+    assert found.where("titled AND chars >= 16").count() == 40 and len(found.inputFiles()) == 1
