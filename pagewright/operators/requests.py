@@ -73,28 +73,37 @@ def cv_state(lines: DataFrame, titles: DataFrame, key: str, foreign: DataFrame |
     key's state as a whole: `header`, `personal` (a private line, or any pattern of the sweep), `posting`, `section`. A key
     without lines has empty groups; one without a title has none sent.
     """
-    part, number = F.regexp_extract("section", r"\A[a-z]+", 0), F.regexp_extract("section", r"\A[a-z]+\[([0-9]+)\]", 1).try_cast("int")
-    rows = lines.withColumn("part", part).withColumn("role", number)
-    shared = F.lit(False)
-    if foreign is not None:
-        texts = foreign.where("trim(text) <> ''").select(key, "text").distinct().withColumn("_foreign", F.lit(True))
-        rows = rows.join(texts, [key, "text"], "left")
-        shared = F.coalesce("_foreign", F.lit(False))
+    section = F.col("section")
+    part = F.when(section.isin(*STATE_SECTIONS), section)  # most sections are told without a pattern
+    for name in STATE_SECTIONS:
+        part = part.when(section.startswith(name + "["), name)
+    part = part.otherwise(F.regexp_extract("section", r"\A[a-z]+", 0))
+    inner = F.substring_index(F.substr(section, F.lit(len("roles[") + 1)), "]", 1)
+    digits = section.startswith("roles[") & F.contains("section", F.lit("]")) & (F.translate(inner, "0123456789", "") == "")
+    number = F.when(digits, inner).try_cast("int")
     bad = {
         "header": F.coalesce("header", F.lit(False)),
         "personal": F.coalesce("private", F.lit(False)) | F.coalesce(leaks(F.col("text")), F.lit(False)),
-        "posting": shared,
         "section": ~F.coalesce(F.col("part").isin(*STATE_SECTIONS), F.lit(False)),
     }
-    line = F.concat_ws(" ", "line_id", "text")
-    of = lambda name: F.transform(F.array_sort(F.collect_list(F.when(F.col("part") == name, F.struct("line_no", line.alias("l"))))), lambda x: x["l"])
-    roles = F.array_sort(F.collect_list(F.when(F.col("part") == "roles", F.struct("role", "line_no", line.alias("l"), F.col("section").endswith("header").alias("h")))))
-    found = rows.groupBy(key).agg(*(F.bool_or(x).alias(f"_{n}") for n, x in bad.items()), *(of(n).alias(n) for n in STATE_SECTIONS if n != "roles"), roles.alias("roles"))
+    rows = lines.withColumn("part", part)
+    own = F.struct("line_no", "line_id", "text", "part", number.alias("role"), section.endswith("header").alias("h"))
+    rows = rows.select(key, own.alias("_own"), F.lit(None).cast("string").alias("_foreign"), *(x.alias(f"_{n}") for n, x in bad.items()))
+    if foreign is not None:  # a key's lines and its posting's texts meet in one shuffle
+        texts = foreign.where(F.col(key).isNotNull() & (F.trim("text") != ""))
+        rows = rows.unionByName(texts.select(key, F.col("text").alias("_foreign")), allowMissingColumns=True)
+    found = rows.groupBy(key).agg(*(F.bool_or(f"_{n}").alias(f"_{n}") for n in bad), F.collect_list("_own").alias("_own"), F.collect_set("_foreign").alias("_foreign"))
+    found = found.where(F.size("_own") > 0).withColumn("_posting", F.coalesce(F.arrays_overlap(F.transform("_own", lambda x: x["text"]), "_foreign"), F.lit(False)))
+    line = lambda x: F.concat_ws(" ", x["line_id"], x["text"]).alias("l")
+    of = lambda name, made: F.sort_array(F.transform(F.filter("_own", lambda x: x["part"] == name), made))
+    texts_of = lambda name: F.transform(of(name, lambda x: F.struct(x["line_no"].alias("line_no"), line(x))), lambda x: x["l"])
+    roles = of("roles", lambda x: F.struct(x["role"].alias("role"), x["line_no"].alias("line_no"), line(x), x["h"].alias("h")))
+    found = found.select("*", *(texts_of(n).alias(n) for n in STATE_SECTIONS if n != "roles"), roles.alias("roles"))
     numbers = F.array_distinct(F.transform("roles", lambda r: r["role"]))
     texts = lambda n, h: F.transform(F.filter("roles", lambda r: r["role"].eqNullSafe(n) & (r["h"] == h)), lambda r: r["l"])
     grouped = F.transform(numbers, lambda n: F.struct(texts(n, True).alias("header"), texts(n, False).alias("lines")))
     refused = F.lit(None).cast("string")
-    for name in reversed(bad):
+    for name in ("section", "posting", "personal", "header"):
         refused = F.when(F.col(f"_{name}"), name).otherwise(refused)
     cv = F.struct("summary", grouped.alias("roles"), "education", "skills", "other")
     found = found.join(titles.select(key, "title"), key, "left").withColumn("refused", refused)

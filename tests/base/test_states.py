@@ -219,3 +219,24 @@ def test_tasks_of_lines_of_items_keep_their_size(spark, monkeypatch):
     found = scan.lines_of_items(items, "k")
     assert "RepartitionByExpression [k#" in (plan := found._jdf.queryExecution().optimizedPlan().toString()) and "], 20" in plan
     assert found.count() == 400
+
+
+def test_states_meet_postings_in_one_shuffle(spark):
+    sections = ["summary", "roles[0].lines", "roles[0].header", "roles[12", "roles[x].lines", "roles[].lines", "roles[ 3].lines", "roles[-3]", "roles", "skills.more", "skills[2]", "Summary", "rolesX[1]", "rolesx[1]", "", None]
+    rows = [(k, j, "L", s, f"t{j}") for k, s in enumerate(sections) for j in (2, 10, 1)] + [(100, 1, None, "skills", "copied"), (101, 1, "L", "skills", None), (None, 1, "L", "skills", "copied"), (102, None, "L", "skills", "copied")]
+    lines = spark.createDataFrame(rows, "cv int, line_no int, line_id string, section string, text string").selectExpr("*", "false AS header", "false AS private")
+    posting = spark.createDataFrame([(100, "copied"), (100, "copied"), (100, " "), (101, None), (0, "t99"), (None, "copied"), (102, "Copied"), (500, "copied")], "cv int, text string")
+    titles = spark.createDataFrame([(k, "T") for k in range(3)], "cv int, title string")
+    found = requests.cv_state(lines, titles, "cv", posting)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+    out = {r.cv: (r.refused, r.state) for r in found.collect()}
+    assert found.count() == len(out) == len(sections) + 4
+    assert {k for k, v in out.items() if v[0] == "posting"} == {100} and {sections[k] for k, v in out.items() if v[0] == "section"} == {"Summary", "rolesx[1]", "", None}
+    many = '["L t1","L t2","L t10"]'
+    shown = lambda k: (out[k][1] or "").split('"cv":')[-1]
+    empty = {"summary": "[]", "roles": "[]", "education": "[]", "skills": "[]", "other": "[]"}
+    cv = lambda **own: "{" + ",".join(f'"{n}":{t}' for n, t in (empty | own).items()) + "}}"
+    assert shown(0) == cv(summary=many) and shown(9) == shown(10) == cv(skills=many)
+    assert shown(2) == cv(roles='[{"header":' + many + ',"lines":[]}]')
+    for k in (1, 3, 4, 5, 6, 7, 8, 12):
+        assert shown(k) == cv(roles='[{"header":[],"lines":' + many + "}]"), sections[k]
