@@ -27,7 +27,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces every secret found; all documents stay."""
+    """Replaces every secret found; grammars are learned from all the documents at hand, and all stay."""
     return secrets.redacted(docs, secrets.learn(docs))
 
 

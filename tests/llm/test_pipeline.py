@@ -103,3 +103,14 @@ def test_queries_equal_their_sql(spark, name):
     found = queries.queries()[name](spark, folder)
     assert sorted(found.columns) == sorted(cols)
     assert sorted((tuple(r[c] for c in cols) for r in found.collect()), key=str) == sorted(df.fetchall(), key=str)
+
+
+def test_redaction_learns_from_all_documents(spark, monkeypatch):
+    """More values than a sample would hold: each is among the labelled lengths, and none is left in the texts."""
+    docs = spark.createDataFrame([(k, f"see {k * 7919 + 2**60:x}00 there") for k in range(500)], "doc_id long, text string")
+    used = []
+    redacted = secrets.redacted
+    monkeypatch.setattr(secrets, "redacted", lambda docs, grammars: used.append(grammars) or redacted(docs, grammars))
+    out = corpus_pipeline.redact_secrets(spark, docs, "").collect()
+    assert {r.text for r in out} == {"see [REDACTED] there"} and len(out) == 500
+    assert sum(used[0].automata["hex"].lengths.values()) == 500
